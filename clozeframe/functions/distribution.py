@@ -10,16 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from clozeframe.functions.measures import ColumnLike, as_column
+from clozeframe.functions.measures import ColumnLike, as_column, bind
 
 
 def softmax(scores: ColumnLike, renormalised: bool = False) -> Column:
     """Probabilities of a score vector; ``renormalised`` applies the softmax a second time."""
-    s = F.transform(as_column(scores), lambda x: x.cast("double"))
-    top = F.array_max(s)
-    exps = F.transform(s, lambda x: F.exp(x - top))
-    total = F.aggregate(exps, F.lit(0.0), lambda acc, x: acc + x)
-    p = F.transform(exps, lambda x: x / total)
+    exps = bind(
+        F.transform(as_column(scores), lambda x: x.cast("double")),
+        lambda s: bind(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top))),
+    )
+    p = bind(
+        exps,
+        lambda e: bind(
+            F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x), lambda total: F.transform(e, lambda x: x / total)
+        ),
+    )
     return softmax(p) if renormalised else p
 
 
@@ -30,9 +35,10 @@ def prob_at(p: ColumnLike, index: ColumnLike) -> Column:
 
 def rank_at(p: ColumnLike, index: ColumnLike) -> Column:
     """1 + number of strictly better entries."""
-    p = as_column(p)
-    at = prob_at(p, index)
-    return F.when(at.isNotNull(), F.size(F.filter(p, lambda x: x > at)) + 1)
+    return bind(
+        as_column(p),
+        lambda q: bind(prob_at(q, index), lambda at: F.when(at.isNotNull(), F.size(F.filter(q, lambda x: x > at)) + 1)),
+    )
 
 
 def maxprob(p: ColumnLike) -> Column:
@@ -44,8 +50,7 @@ constraint_score = maxprob
 
 def argmax_index(p: ColumnLike) -> Column:
     """0-based index of the largest entry, lowest index on ties."""
-    p = as_column(p)
-    return (F.array_position(p, F.array_max(p)) - 1).cast("int")
+    return bind(as_column(p), lambda q: (F.array_position(q, F.array_max(q)) - 1).cast("int"))
 
 
 def argmax_token(p: ColumnLike, vocabulary: ColumnLike) -> Column:

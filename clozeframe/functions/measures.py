@@ -19,6 +19,15 @@ def as_column(c: ColumnLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row.
+
+    An array expression named inside a higher-order function would be computed again for every
+    element; a lambda variable holds the finished value.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def finite(c: ColumnLike) -> Column:
     """NaN becomes NULL: Spark orders NaN above every number, so ``NaN > 0`` would count as true."""
     c = as_column(c).cast("double")

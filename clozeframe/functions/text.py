@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from clozeframe.functions.measures import ColumnLike, as_column
+from clozeframe.functions.measures import ColumnLike, as_column, bind
 
 # Special tokens of a cloze context and the two priming templates.
 CLS, MASK, SEP = "[CLS]", "[MASK]", "[SEP]"
@@ -43,25 +43,23 @@ def singletons(tokens_col: ColumnLike) -> Column:
     Sorting puts equal tokens side by side, so each element is compared with two neighbours only.
     """
     ordered = F.sort_array(F.filter(as_column(tokens_col), lambda t: t.isNotNull()))
-    once = F.filter(
-        F.transform(
-            ordered,
-            lambda t, i: F.when(
-                ~t.eqNullSafe(F.get(ordered, i - 1)) & ~t.eqNullSafe(F.get(ordered, i + 1)), t
-            ),
+    return bind(
+        ordered,
+        lambda o: F.filter(
+            o, lambda t, i: ~t.eqNullSafe(F.get(o, i - 1)) & ~t.eqNullSafe(F.get(o, i + 1))
         ),
-        lambda t: t.isNotNull(),
     )
-    return once
 
 
 def neighbours(tokens_col: ColumnLike) -> Column:
     """Array of (prev, token, next) structs; NULL beyond the ends of the sentence."""
-    toks = as_column(tokens_col)
-    return F.transform(
-        toks,
-        lambda t, i: F.struct(
-            F.get(toks, i - 1).alias("prev"), t.alias("token"), F.get(toks, i + 1).alias("next")
+    return bind(
+        as_column(tokens_col),
+        lambda toks: F.transform(
+            toks,
+            lambda t, i: F.struct(
+                F.get(toks, i - 1).alias("prev"), t.alias("token"), F.get(toks, i + 1).alias("next")
+            ),
         ),
     )
 

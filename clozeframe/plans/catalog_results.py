@@ -465,7 +465,7 @@ _GRID = 64
                   from w cross join (values (0), (1)) as t(side) group by all)
        select s.task, s.bw, cast(i as integer) as point, start + i * step as x,
               sum(weight * exp(-0.5::double * power((i - cell) * step / s.bw, 2))) / (s.n * s.bw * sqrt(2 * pi())) as density
-       from s join c using (task) cross join (select unnest(range({_GRID})) as i) group by all""",
+       from s join c using (task) cross join (select unnest(range({_GRID})) as i) group by s.task, s.bw, s.n, i, start, step""",
     "bw x density",
 )
 def norm_density(v):

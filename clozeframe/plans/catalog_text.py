@@ -115,23 +115,17 @@ def joined_tokens(v):
 
 # --- stimuli --------------------------------------------------------------------------------------
 
-# The checking engine has no look-around, so it matches the neighbours too and puts them back; two
-# passes catch words that share a neighbour.
-_FREE = r"'([^\p{L}\p{N}\p{M}_/-])' || target || '([^\p{L}\p{N}\p{M}_/-])'"
-
-
-def _masked_once(expr: str) -> str:
-    return f"regexp_replace({expr}, {_FREE}, '\\1[MASK]\\2', 'g')"
-
+# The checking engine has no look-around.  It marks every run of word characters, slashes and hyphens,
+# unmarks a run that ends the text, and replaces marked runs that are the word.
+_RUNS = r"regexp_replace(sentence, '([\p{L}\p{N}\p{M}_/-]+)', chr(1) || '\1' || chr(2), 'g')"
+_INNER_RUNS = f"regexp_replace({_RUNS}, chr(1) || '([^' || chr(1) || chr(2) || ']*)' || chr(2) || '$', '\\1')"
 
 
 @query(
-    r"""select doc_id, line, target, '[CLS] ' || masked[2:] || ' [SEP]' as context
-       from (select doc_id, line, target, """
-    + _masked_once(_masked_once("chr(10) || sentence"))
-    + r""" as masked
-             from (select doc_id, line, sentence, tokens[2] as target from sents
-                   where len(tokens) >= 3 and regexp_full_match(tokens[2], '[\p{L}\p{N}]+')))"""
+    f"""select doc_id, line, target, '[CLS] ' || replace(replace(replace(runs, chr(1) || target || chr(2), '[MASK]'),
+               chr(1), ''), chr(2), '') || ' [SEP]' as context
+        from (select doc_id, line, tokens[2] as target, {_INNER_RUNS} as runs from sents
+              where len(tokens) >= 3 and regexp_full_match(tokens[2], '[\\p{{L}}\\p{{N}}]+'))"""
 )
 def masked_sentences(v):
     word = F.get("tokens", F.lit(1))
@@ -177,7 +171,7 @@ def mask_positions(v):
     return v.stimuli.select("doc_id", "line", text.mask_index("context").alias("mask_index"))
 
 
-@query('select distinct isolated_context, "constraint", category from kept')
+@query('select distinct isolated_context, "constraint", category from kept', "constraint")
 def unique_contexts(v):
     return reshape.unique_contexts(v.kept)
 

@@ -303,7 +303,7 @@ SQL_VIEWS: dict[str, str] = {
     "words": "select doc_id, line, unnest(tokens) as token from sents",
     "vocab": "select token, count(*) as n from words group by token",
     "word_lex": """
-        select token as target, unnest(range(1, case when n >= 20 then 3 else 2 end)) as sense
+        select token as target, cast(unnest(range(1, case when n >= 20 then 3 else 2 end)) as integer) as sense
         from vocab where n >= 5 and length(token) >= 2""",
     "once": "select doc_id, line, token as target from words group by all having count(*) = 1",
     "carriers": "select doc_id, line, target from once join word_lex using (target) where target <> 'am'",

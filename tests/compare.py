@@ -36,5 +36,5 @@ def spark_rows(df):
 
 
 def duck_rows(con, sql):
-    table = con.execute(sql).fetch_arrow_table()
+    table = con.sql(sql).to_arrow_table()
     return _rows(table.column_names, list(zip(*[c.to_pylist() for c in table.columns]))), table.schema
