@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from clozeframe.functions import text
 from clozeframe.operators.joins import attach_single_row, join_on_group
+from clozeframe.session import ensure_checkpoint_dir
 from clozeframe.sources.writers import write_table
 
 LEVEL_KEYS = {3: ["prev", "next"], 2: ["prev"], 1: []}
@@ -56,11 +57,14 @@ def _ranked_words(counts: DataFrame, keys: list[str]) -> DataFrame:
     return join_on_group(counts, ranks, [*keys, "n"])
 
 
-def fit_cloze(sents: DataFrame, k: float = 0.5, tokens: str = "tokens") -> ClozeModel:
+def fit_cloze(
+    sents: DataFrame, k: float = 0.5, tokens: str = "tokens", materialise: bool = True
+) -> ClozeModel:
     """Counts for all three levels from tokenised sentences.
 
     Neighbours are read inside each sentence's array.  The corpus is shuffled once, as counts per
-    (previous, next, word); the lower levels are sums of those.
+    (previous, next, word); the lower levels are sums of those.  Six tables hang on these counts, so
+    they are checkpointed unless ``materialise`` is off.
     """
     spots = sents.select(F.explode(text.neighbours(tokens)).alias("_s")).select(
         F.coalesce("_s.prev", F.lit(text.CLS)).alias("prev"),
@@ -68,6 +72,9 @@ def fit_cloze(sents: DataFrame, k: float = 0.5, tokens: str = "tokens") -> Cloze
         F.col("_s.token").alias("token"),
     )
     counts = {3: spots.groupBy("prev", "next", "token").agg(F.count(F.lit(1)).alias("n"))}
+    if materialise:
+        ensure_checkpoint_dir(sents.sparkSession)
+        counts[3] = counts[3].checkpoint()
     counts[2] = counts[3].groupBy("prev", "token").agg(F.sum("n").alias("n"))
     counts[1] = counts[2].groupBy("token").agg(F.sum("n").alias("n"))
     weight = F.col("n") + F.lit(float(k))
@@ -106,13 +113,9 @@ def _level_columns(context: DataFrame, level: int) -> DataFrame:
     return context.select(*LEVEL_KEYS[level], packed)
 
 
-def score_cloze(stimuli: DataFrame, model: ClozeModel, word: str = "target", details: bool = True) -> DataFrame:
-    """Adds ``{word}_probability``, ``{word}_rank``, and with ``details`` level, argmax, maxprob, entropy.
-
-    Distinct (prev, next, word) questions are answered once and joined back, so a context that fills
-    a large part of the stimuli costs no more than a rare one.
-    """
-    asked = stimuli.select("prev", "next", F.col(word).alias("token")).distinct()
+def _answers(asked: DataFrame, model: ClozeModel) -> DataFrame:
+    """Adds probability, rank and context metrics to rows with prev, next and token."""
+    kept = asked.columns
     q = asked.join(_level_columns(model.contexts[3], 3), ["prev", "next"], "left")
     q = q.join(_level_columns(model.contexts[2], 2), ["prev"], "left")
     q = attach_single_row(q, _level_columns(model.contexts[1], 1))
@@ -122,26 +125,46 @@ def score_cloze(stimuli: DataFrame, model: ClozeModel, word: str = "target", det
     level = F.when(F.col("_c3").isNotNull(), 3).when(F.col("_c2").isNotNull(), 2).otherwise(1)
 
     def pick(kind: str):
-        return F.when(level == 3, F.col(f"_{kind}3")).when(level == 2, F.col(f"_{kind}2")).otherwise(F.col(f"_{kind}1"))
+        return (
+            F.when(F.col("level") == 3, F.col(f"_{kind}3"))
+            .when(F.col("level") == 2, F.col(f"_{kind}2"))
+            .otherwise(F.col(f"_{kind}1"))
+        )
 
-    q = q.select("prev", "next", "token", level.alias("level"), pick("c").alias("_c"), pick("w").alias("_w"))
+    q = q.withColumn("level", level).select(*kept, "level", pick("c").alias("_c"), pick("w").alias("_w"))
     k = F.lit(model.k)
     mass = F.col("_c.total") + k * (F.col("_c.types") + 1)
-    answers = q.select(
-        "prev",
-        "next",
-        F.col("token").alias(word),
-        ((F.coalesce("_w.n", F.lit(0)) + k) / mass).alias(f"{word}_probability"),
-        F.coalesce("_w.rank", F.col("_c.types") + 1).cast("int").alias(f"{word}_rank"),
-        *(
-            [
-                "level",
-                F.col("_c.argmax").alias("argmax"),
-                ((F.col("_c.max_n") + k) / mass).alias("maxprob"),
-                (F.log2(mass) - (F.col("_c.logs") + k * F.log2(k)) / mass).alias("entropy"),
-            ]
-            if details
-            else []
-        ),
+    return q.select(
+        *kept,
+        ((F.coalesce("_w.n", F.lit(0)) + k) / mass).alias("probability"),
+        F.coalesce("_w.rank", F.col("_c.types") + 1).cast("int").alias("rank"),
+        "level",
+        F.col("_c.argmax").alias("argmax"),
+        ((F.col("_c.max_n") + k) / mass).alias("maxprob"),
+        (F.log2(mass) - (F.col("_c.logs") + k * F.log2(k)) / mass).alias("entropy"),
+    )
+
+
+def score_cloze(stimuli: DataFrame, model: ClozeModel, words: tuple[str, ...] = ("target",)) -> DataFrame:
+    """Adds level, argmax, maxprob, entropy, and probability and rank of each word column.
+
+    The stimuli hold ``prev`` and ``next`` (see ``mask_neighbours``).  Distinct combinations of
+    neighbours and words are answered once, all words in the same joins, and joined back; a context
+    that fills a large part of the stimuli costs no more than a rare one.
+    """
+    inputs = ["prev", "next", *words]
+    combos = stimuli.select(*inputs).distinct()
+    named = F.array(*[F.struct(F.lit(w).alias("name"), F.col(w).alias("token")) for w in words])
+    asked = combos.withColumn("_t", F.explode(named)).select(
+        *inputs, F.col("_t.name").alias("_name"), F.col("_t.token").alias("token")
+    )
+    shared = ["level", "argmax", "maxprob", "entropy"]
+    wide = _answers(asked, model).groupBy(*inputs).agg(
+        *[F.first(c).alias(c) for c in shared],
+        *[
+            F.max(F.when(F.col("_name") == w, F.col(metric))).alias(f"{w}_{metric}")
+            for w in words
+            for metric in ("probability", "rank")
+        ],
     )
-    return stimuli.join(answers, ["prev", "next", word])
+    return join_on_group(stimuli, wide, inputs)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clozeframe.functions import labels, measures
+from clozeframe.functions import labels, measures, text
 from clozeframe.operators import joins, lexicon, ordered, reshape, summaries, windows
 from clozeframe.plans.registry import query
 from clozeframe.plans.reports import neutral_report
@@ -282,9 +282,6 @@ def relation_summary_by_model(v):
     return summaries.relation_summary(v.kept, v.lex, v.top, ("bucket", "context_type", "model"))
 
 
-_LONG = "select bucket, model, dataset, metric, proportion, label from ({wide}) t, {sides}"
-
-
 def _shares_sql(shares: dict[str, tuple[str, str]], by: str = "bucket, model, dataset") -> str:
     return " union all ".join(
         f"select {by}, '{metric}' as metric, avg(cast({cond} as double)) as proportion, '{label}' as label "
@@ -478,7 +475,7 @@ def norm_density(v):
 
 @query(
     """select model, bucket, target, diff as facilitation, unrelated_rank
-       from (select *, {0}(diff) over (partition by model, bucket) as best from kept) where diff = best""".format("max"),
+       from (select *, max(diff) over (partition by model, bucket) as best from kept) where diff = best""",
     "facilitation",
 )
 def most_facilitated_rows(v):
@@ -631,26 +628,30 @@ def wide_summary(v):
     )
 
 
+EXAMPLE_TARGETS = [f"t{i}" for i in range(60)]
+EXAMPLE_PRIMES = ["cold rod", "hot plate", "hot ring", "large bolt", "large rod", "old rod", "red plate", "small widget"]
+
+
+def _quoted(values: list[str]) -> str:
+    return ", ".join(f"'{x}'" for x in values)
+
+
 @query(
-    """select model, dataset as scenario, category as bucket, "constraint", target, related, unrelated, relation,
+    f"""select model, dataset as scenario, category as bucket, "constraint", target, related, unrelated, relation,
               isolated_context as unprimed_context, replace('[CLS] ' || isolated_context, '[CLS]', '[CLS] ' || related || '.') as related_context,
               replace('[CLS] ' || isolated_context, '[CLS]', '[CLS] ' || unrelated || '.') as unrelated_context, f as facilitation
-       from related_results where target in ('t2', 't3', 't5', 't8', 't13', 't21') and related not in ('red widget')""",
+       from related_results where target in ({_quoted(EXAMPLE_TARGETS)}) and related in ({_quoted(EXAMPLE_PRIMES)})""",
     "constraint facilitation",
 )
 def example_extract(v):
-    from clozeframe.functions import text
-
     context = F.concat(F.lit("[CLS] "), F.col("isolated_context"))
     rows = v.kept.withColumns(
         {
             "related_context": text.prime(context, "related"),
             "unrelated_context": text.prime(context, "unrelated"),
         }
-    ).where(F.col("related") != "red widget")
-    targets = ["t2", "t3", "t5", "t8", "t13", "t21"]
-    colours = ["red", "blue", "green", "small", "large", "hot", "cold"]
-    return reshape.example_extract(rows, v.lex, targets, colours)
+    )
+    return reshape.example_extract(rows, v.lex, EXAMPLE_TARGETS, EXAMPLE_PRIMES)
 
 
 _MISPRIMED = """

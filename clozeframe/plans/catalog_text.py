@@ -378,9 +378,8 @@ def cloze_scores(v):
     built = stimuli.build_stimuli(v.stimuli)
     long = stimuli.conditions_long(built, ["doc_id", "line", "target", "related"])
     asked = cloze.mask_neighbours(long)
-    model = _cloze_model(v)
-    both = cloze.score_cloze(cloze.score_cloze(asked, model), model, "related", details=False)
-    return both.drop("cloze", "mask_index", "target", "related", "prev", "next")
+    scored = cloze.score_cloze(asked, _cloze_model(v), ("target", "related"))
+    return scored.drop("cloze", "mask_index", "target", "related", "prev", "next")
 
 
 def _assembled_sql() -> str:

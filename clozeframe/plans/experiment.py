@@ -36,11 +36,7 @@ def run_priming(stimuli: DataFrame, load_scorer: Callable[[], Scorer], mode: str
 def run_priming_cloze(stimuli: DataFrame, model: ClozeModel, mode: str = "word") -> DataFrame:
     """The 23-column priming result with the count-based cloze model."""
 
-    def score_long(long: DataFrame) -> DataFrame:
-        asked = mask_neighbours(long)
-        return score_cloze(score_cloze(asked, model, "target"), model, "related", details=False)
-
-    return _run(stimuli, mode, score_long)
+    return _run(stimuli, mode, lambda long: score_cloze(mask_neighbours(long), model, ("target", "related")))
 
 
 def run_constraint(stimuli: DataFrame, load_scorer: Callable[[], Scorer], **options) -> DataFrame:

@@ -32,7 +32,10 @@ class Views:
 
     @cached_property
     def scored(self) -> DataFrame:
-        """Priming results: one row per line item, bucket 0 is the neutral one."""
+        """Priming results: one row per line item, bucket 0 is the neutral one.
+
+        The constraint divisor is a prime, so that means do not end on a half of the last compared digit.
+        """
         c, lit, cat = F.col, F.lit, F.concat
         part = self.table("part").select("p_partkey", "p_name", "p_brand", "p_size")
         rows = self.table("lineitem").join(part, c("l_partkey") == c("p_partkey"))
@@ -50,7 +53,7 @@ class Views:
             F.when(c("p_size") % 10 == 0, c("p_name")).otherwise(c("p_brand")).alias("unrelated"),
             cat(lit("ctx "), c("l_suppkey").cast("string")).alias("isolated_context"),
             F.when(c("l_linenumber") == 1, 0.0)
-            .otherwise(F.least(lit(1.0), c("l_extendedprice") / 150000.0))
+            .otherwise(F.least(lit(1.0), c("l_extendedprice") / 149993.0))
             .alias("constraint"),
             ((c("l_tax") * 100 + 1) / 10.0).alias("isolated_probability"),
             (c("l_quantity") / 51.0).alias("related_probability"),
@@ -227,7 +230,7 @@ SQL_VIEWS: dict[str, str] = {
                case when p_size % 10 = 0 then p_name else p_brand end as unrelated,
                concat('ctx ', l_suppkey) as isolated_context,
                case when l_linenumber = 1 then 0.0::double
-                    else least(1.0::double, l_extendedprice / 150000.0::double) end as "constraint",
+                    else least(1.0::double, l_extendedprice / 149993.0::double) end as "constraint",
                (l_tax * 100 + 1) / 10.0::double as isolated_probability,
                l_quantity / 51.0::double as related_probability,
                (l_discount * 100 + 1) / 12.0::double as unrelated_probability,
