@@ -23,38 +23,20 @@ LEVEL_KEYS = {3: ["prev", "next"], 2: ["prev"], 1: []}
 
 @dataclass(frozen=True)
 class ClozeModel:
-    """words[level]: keys, token, n, rank.  contexts[level]: keys, total, types, argmax, max_n, logs."""
+    """counts[level]: neighbour keys, token, n."""
 
     k: float
-    words: dict[int, DataFrame]
-    contexts: dict[int, DataFrame]
+    counts: dict[int, DataFrame]
 
     def save(self, path: str) -> None:
-        """Write the fitted counts, so that later runs read tables instead of the corpus."""
-        for level in LEVEL_KEYS:
-            write_table(self.words[level], f"{path}/words{level}")
-            write_table(self.contexts[level], f"{path}/contexts{level}")
+        """Write the counts, so that later runs read tables instead of the corpus."""
+        for level, df in self.counts.items():
+            write_table(df, f"{path}/level{level}")
 
 
 def load_cloze(spark: SparkSession, path: str, k: float) -> ClozeModel:
-    """A saved model; ``k`` must be the value it was fitted with."""
-
-    def tables(kind: str) -> dict[int, DataFrame]:
-        return {level: spark.read.parquet(f"{path}/{kind}{level}") for level in LEVEL_KEYS}
-
-    return ClozeModel(float(k), tables("words"), tables("contexts"))
-
-
-def _ranked_words(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds the rank of each word in its context.
-
-    Words of equal count share a rank, so ranks are found on the distinct counts of a context; a
-    context of N tokens has fewer than sqrt(2 N) of those.
-    """
-    same_count = counts.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("_words"))
-    better = Window.partitionBy(*keys).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = same_count.select(*keys, "n", (F.coalesce(F.sum("_words").over(better), F.lit(0)) + 1).alias("rank"))
-    return join_on_group(counts, ranks, [*keys, "n"])
+    """A saved model; counts do not depend on ``k``."""
+    return ClozeModel(float(k), {level: spark.read.parquet(f"{path}/level{level}") for level in LEVEL_KEYS})
 
 
 def fit_cloze(
@@ -63,37 +45,49 @@ def fit_cloze(
     """Counts for all three levels from tokenised sentences.
 
     Neighbours are read inside each sentence's array.  The corpus is shuffled once, as counts per
-    (previous, next, word); the lower levels are sums of those.  Six tables hang on these counts, so
-    they are checkpointed unless ``materialise`` is off.
+    (previous, next, word); the lower levels are sums of those.  Every later step reads these counts,
+    so they are checkpointed unless ``materialise`` is off.
     """
     spots = sents.select(F.explode(text.neighbours(tokens)).alias("_s")).select(
         F.coalesce("_s.prev", F.lit(text.CLS)).alias("prev"),
         F.coalesce("_s.next", F.lit(text.SEP)).alias("next"),
         F.col("_s.token").alias("token"),
     )
-    counts = {3: spots.groupBy("prev", "next", "token").agg(F.count(F.lit(1)).alias("n"))}
     if materialise:
         ensure_checkpoint_dir(sents.sparkSession)
-        counts[3] = counts[3].checkpoint()
-    counts[2] = counts[3].groupBy("prev", "token").agg(F.sum("n").alias("n"))
-    counts[1] = counts[2].groupBy("token").agg(F.sum("n").alias("n"))
-    weight = F.col("n") + F.lit(float(k))
-    contexts = {
-        level: counts[level]
-        .groupBy(*keys)
-        .agg(
-            F.sum("n").alias("total"),
-            F.count(F.lit(1)).alias("types"),
-            F.min(F.struct((-F.col("n")).alias("n"), F.col("token").alias("token"))).alias("_top"),
-            F.sum(weight * F.log2(weight)).alias("logs"),
-        )
-        .select(
-            *keys, "total", "types", "logs", F.col("_top.token").alias("argmax"), (-F.col("_top.n")).alias("max_n")
-        )
-        for level, keys in LEVEL_KEYS.items()
-    }
-    words = {level: _ranked_words(counts[level], keys) for level, keys in LEVEL_KEYS.items()}
-    return ClozeModel(float(k), words, contexts)
+
+    def settled(df: DataFrame) -> DataFrame:
+        return df.checkpoint() if materialise else df
+
+    counts = {3: settled(spots.groupBy("prev", "next", "token").agg(F.count(F.lit(1)).alias("n")))}
+    counts[2] = settled(counts[3].groupBy("prev", "token").agg(F.sum("n").alias("n")))
+    counts[1] = settled(counts[2].groupBy("token").agg(F.sum("n").alias("n")))
+    return ClozeModel(float(k), counts)
+
+
+def _contexts(counts: DataFrame, keys: list[str], k: float, name: str) -> DataFrame:
+    """One struct of totals per context: total, types, argmax, max_n, and the entropy sum."""
+    weight = F.col("n") + F.lit(k)
+    per_context = counts.groupBy(*keys).agg(
+        F.sum("n").alias("total"),
+        F.count(F.lit(1)).alias("types"),
+        F.min(F.struct((-F.col("n")).alias("n"), F.col("token").alias("token"))).alias("_top"),
+        F.sum(weight * F.log2(weight)).alias("logs"),
+    )
+    packed = F.struct("total", "types", "logs", F.col("_top.token").alias("argmax"), (-F.col("_top.n")).alias("max_n"))
+    return per_context.select(*keys, packed.alias(name))
+
+
+def _ranked_words(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Count and rank of each word in its context, as a struct.
+
+    Words of equal count share a rank, so ranks are found on the distinct counts of a context; a
+    context of N tokens has fewer than sqrt(2 N) of those.
+    """
+    same_count = counts.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("_words"))
+    better = Window.partitionBy(*keys).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = same_count.select(*keys, "n", (F.coalesce(F.sum("_words").over(better), F.lit(0)) + 1).alias("rank"))
+    return join_on_group(counts, ranks, [*keys, "n"]).select(*keys, "token", F.struct("n", "rank").alias(name))
 
 
 def mask_neighbours(df: DataFrame, context: str = "cloze", mask_index: str = "mask_index") -> DataFrame:
@@ -107,21 +101,24 @@ def mask_neighbours(df: DataFrame, context: str = "cloze", mask_index: str = "ma
     )
 
 
-def _level_columns(context: DataFrame, level: int) -> DataFrame:
-    names = ["total", "types", "logs", "argmax", "max_n"]
-    packed = F.struct(*names).alias(f"_c{level}")
-    return context.select(*LEVEL_KEYS[level], packed)
-
-
 def _answers(asked: DataFrame, model: ClozeModel) -> DataFrame:
-    """Adds probability, rank and context metrics to rows with prev, next and token."""
+    """Adds probability, rank and context metrics to rows with prev, next and token.
+
+    Each level is cut to the contexts that are asked and not answered further up, before anything is
+    computed from it.
+    """
     kept = asked.columns
-    q = asked.join(_level_columns(model.contexts[3], 3), ["prev", "next"], "left")
-    q = q.join(_level_columns(model.contexts[2], 2), ["prev"], "left")
-    q = attach_single_row(q, _level_columns(model.contexts[1], 1))
+    q, open_questions = asked, asked
     for level, keys in LEVEL_KEYS.items():
-        known = model.words[level].select(*keys, "token", F.struct("n", "rank").alias(f"_w{level}"))
-        q = q.join(known, [*keys, "token"], "left")
+        counts = model.counts[level]
+        if keys:
+            counts = counts.join(open_questions.select(*keys).distinct(), keys, "left_semi")
+            contexts = _contexts(counts, keys, model.k, f"_c{level}")
+            q = q.join(contexts, keys, "left")
+            open_questions = open_questions.join(contexts.select(*keys), keys, "left_anti")
+        else:
+            q = attach_single_row(q, _contexts(counts, keys, model.k, f"_c{level}"))
+        q = q.join(_ranked_words(counts, keys, f"_w{level}"), [*keys, "token"], "left")
     level = F.when(F.col("_c3").isNotNull(), 3).when(F.col("_c2").isNotNull(), 2).otherwise(1)
 
     def pick(kind: str):
@@ -145,15 +142,21 @@ def _answers(asked: DataFrame, model: ClozeModel) -> DataFrame:
     )
 
 
-def score_cloze(stimuli: DataFrame, model: ClozeModel, words: tuple[str, ...] = ("target",)) -> DataFrame:
+def score_cloze(
+    stimuli: DataFrame, model: ClozeModel, words: tuple[str, ...] = ("target",), materialise: bool = True
+) -> DataFrame:
     """Adds level, argmax, maxprob, entropy, and probability and rank of each word column.
 
     The stimuli hold ``prev`` and ``next`` (see ``mask_neighbours``).  Distinct combinations of
     neighbours and words are answered once, all words in the same joins, and joined back; a context
-    that fills a large part of the stimuli costs no more than a rare one.
+    that fills a large part of the stimuli costs no more than a rare one.  The combinations are used
+    at every level and are checkpointed unless ``materialise`` is off.
     """
     inputs = ["prev", "next", *words]
     combos = stimuli.select(*inputs).distinct()
+    if materialise:
+        ensure_checkpoint_dir(stimuli.sparkSession)
+        combos = combos.checkpoint()
     named = F.array(*[F.struct(F.lit(w).alias("name"), F.col(w).alias("token")) for w in words])
     asked = combos.withColumn("_t", F.explode(named)).select(
         *inputs, F.col("_t.name").alias("_name"), F.col("_t.token").alias("token")

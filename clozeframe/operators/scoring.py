@@ -60,29 +60,32 @@ def score(
     def reduce_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = load_scorer()
         for pdf in frames:
-            code, distinct = pd.factorize(pd.MultiIndex.from_frame(pdf[[context, mask_index]]))
-            for start in range(0, len(distinct), batch_size):
-                chunk = distinct[start : start + batch_size]
-                scores = np.asarray(
-                    scorer([c for c, _ in chunk], np.array([m for _, m in chunk])), dtype=float
-                )
-                p = _softmax(scores)
-                best = p.argmax(axis=1)
-                top = p.max(axis=1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    entropy = -np.where(p > 0.0, p * np.log2(p), 0.0).sum(axis=1)
+            code = pdf.groupby([context, mask_index], sort=False, dropna=False).ngroup().to_numpy()
+            order = np.argsort(code, kind="stable")
+            code = code[order]
+            starts = np.searchsorted(code, np.arange(code[-1] + 1 if len(code) else 0))
+            contexts = pdf[context].to_numpy()[order[starts]]
+            positions = pdf[mask_index].to_numpy()[order[starts]]
+            out = {"argmax": np.empty(len(pdf), dtype=object)}
+            out |= {name: np.empty(len(pdf)) for name in ("maxprob", "entropy")}
+            for w in words:
+                out |= {f"{w}_probability": np.empty(len(pdf)), f"{w}_rank": np.empty(len(pdf), dtype=np.int32)}
+            word_values = {w: pdf[w].to_numpy() for w in words}
+            for first in range(0, len(contexts), batch_size):
+                last = min(first + batch_size, len(contexts))
+                p = _softmax(np.asarray(scorer(list(contexts[first:last]), positions[first:last]), dtype=float))
+                low, high = np.searchsorted(code, [first, last])
+                rows, at = order[low:high], code[low:high] - first
+                logs = np.log2(p, out=np.zeros_like(p), where=p > 0.0)
+                out["argmax"][rows] = np.array(scorer.word_at(p.argmax(axis=1)), dtype=object)[at]
+                out["maxprob"][rows] = p.max(axis=1)[at]
+                out["entropy"][rows] = -(p * logs).sum(axis=1)[at]
                 target_p = _softmax(p) if renormalised else p
-                member = (code >= start) & (code < start + len(chunk))
-                rows = pdf[member].copy()
-                at = code[member] - start
-                rows["argmax"] = np.array(scorer.word_at(best), dtype=object)[at]
-                rows["maxprob"] = top[at]
-                rows["entropy"] = entropy[at]
                 for w in words:
-                    word_p = target_p[at, scorer.index_of(list(rows[w]))]
-                    rows[f"{w}_probability"] = word_p
-                    rows[f"{w}_rank"] = (target_p[at] > word_p[:, None]).sum(axis=1) + 1
-                yield rows
+                    word_p = target_p[at, scorer.index_of(list(word_values[w][rows]))]
+                    out[f"{w}_probability"][rows] = word_p
+                    out[f"{w}_rank"][rows] = (target_p[at] > word_p[:, None]).sum(axis=1) + 1
+            yield pdf.assign(**out)
 
     work = df.select(*inputs).distinct() if dedupe else df
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema.fields)

@@ -17,7 +17,7 @@ from clozeframe.operators.corpus import tokenize, word_counts
 from clozeframe.operators.joins import exclude, join_lexicon
 from clozeframe.operators.lexicon import clean_lexicon, relation_counts, same_targets
 from clozeframe.operators.reshape import top_n_ties
-from clozeframe.sources.readers import sentences_from_text
+from clozeframe.sources.readers import sentences_from_text, spread
 
 TOP_RELATIONS = 3
 NORMS = ["delta_200ms", "delta_1200ms"]
@@ -165,7 +165,8 @@ class Views:
 
     @cached_property
     def sents(self) -> DataFrame:
-        lines = sentences_from_text(self.table("documents").select("doc_id", "text"), "text", "doc_id")
+        documents = spread(self.table("documents").select("doc_id", "text"), "doc_id")
+        lines = sentences_from_text(documents, "text", "doc_id")
         return tokenize(lines)
 
     @cached_property

@@ -53,6 +53,15 @@ def read_lexicon(spark: SparkSession, path: str | list[str], schema: StructType
     return read_csv(spark, path, schema)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Redistribute by key when the scan gives fewer partitions than there are cores.
+
+    That happens with a few small files; large inputs come in many partitions and stay where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def sentences_from_text(df: DataFrame, text: ColumnLike, *keys: str) -> DataFrame:
     """One row per non-empty line: keys, line number from 0, sentence."""
     return df.select(
