@@ -1,9 +1,13 @@
 """Joins between result tables and lookups.
 
-No broadcast hint is given anywhere: Spark broadcasts a lookup when its size estimate, or its measured
-size during adaptive execution, is under the configured threshold, and shuffles both sides otherwise.
-In the second case one key may hold a large part of the facts.  Adaptive execution then splits the
-skewed partition; ``salts`` does the same without it, by spreading every key over that many
+Plain lookups carry no hint: Spark broadcasts one when its size estimate, or its measured size during
+adaptive execution, is under the configured threshold, and shuffles both sides otherwise.  Estimates
+of *derived* lookups (joins, counts over results) are far too high, so the results would be shuffled
+before the real size is known; ``small_table`` computes such a lookup once, measures it, and asks for a
+broadcast only if it fits.
+
+When both sides are shuffled, one key may hold a large part of the results.  Adaptive execution then
+splits the skewed partition; ``salts`` does the same without it, by spreading every key over that many
 sub-keys and repeating the lookup rows once per sub-key.
 """
 
@@ -14,9 +18,28 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clozeframe.session import ensure_checkpoint_dir
+
 PAIR_KEYS = ("target", "related", "unrelated")
 
 
+# Largest measured lookup that is broadcast.
+BROADCAST_BYTES = 32 * 1024 * 1024
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Size of all values as text plus a fixed share per value, from one aggregate."""
+    per_value = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + F.lit(16) for c in df.columns]
+    return df.agg(F.sum(reduce(lambda a, b: a + b, per_value).cast("bigint"))).first()[0] or 0
+
+
+def small_table(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A lookup computed once (checkpointed), marked for broadcast if its measured size is within the limit."""
+    ensure_checkpoint_dir(df.sparkSession)
+    kept = df.checkpoint()
+    return F.broadcast(kept) if measured_bytes(kept) <= limit else kept
+
+
 def lookup_join(
     facts: DataFrame, lookup: DataFrame, on: tuple[str, ...] | list[str], how: str = "inner", salts: int = 1
 ) -> DataFrame:
@@ -80,10 +103,18 @@ def join_norms(
 
 
 def attach_counts(df: DataFrame, top: DataFrame, on: str = "relation") -> DataFrame:
-    """Keep rows of the listed relations and attach their count ``n``."""
+    """Keep rows of the listed relations and attach their count ``n``.
+
+    Relations are few and frequent: pass ``top`` through ``small_table`` before joining it to results.
+    """
     return lookup_join(df, top.select(on, "n"), [on])
 
 
+def counted_relations(lex: DataFrame, counts: DataFrame) -> DataFrame:
+    """Lexicon pairs of the counted relations with their count, ready to join to results."""
+    return small_table(attach_counts(lex.select(*PAIR_KEYS, "relation"), counts))
+
+
 CONSTRAINT_KEYS = ("target", "related", "unrelated", "relation", "context")
 
 

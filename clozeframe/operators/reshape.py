@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clozeframe.functions.measures import facilitation, rel_facilitation
-from clozeframe.operators.joins import attach_counts, join_lexicon
+from clozeframe.operators.joins import PAIR_KEYS, counted_relations, join_lexicon
 
 
 def order_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -133,8 +133,7 @@ def instance_table(
 
     The lexicon is cut to the counted relations first, so other results drop out at the first join.
     """
-    relations = attach_counts(lex.select("target", "related", "unrelated", "relation"), top)
-    joined = df.join(relations, ["target", "related", "unrelated"])
+    joined = df.join(counted_relations(lex, top), list(PAIR_KEYS))
     return joined.withColumn("facilitation", facilitation(kind=kind)).select(
         *columns, "relation", "n", "facilitation"
     )

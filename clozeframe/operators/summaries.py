@@ -16,7 +16,7 @@ from clozeframe.functions.measures import (
     share,
     std_error,
 )
-from clozeframe.operators.joins import PAIR_KEYS, attach_counts
+from clozeframe.operators.joins import PAIR_KEYS, counted_relations
 
 BUCKET_KEYS = ("model", "bucket", "context_type", "dataset")
 
@@ -45,7 +45,7 @@ def relation_summary(
     The lexicon is cut to the counted relations before it meets the results.  Add ``model`` to
     ``by`` for one summary per model.
     """
-    relations = attach_counts(lex.select(*PAIR_KEYS, "relation"), counts)
+    relations = counted_relations(lex, counts)
     f = facilitation()
     out = (
         df.join(relations, list(PAIR_KEYS))
@@ -150,7 +150,7 @@ def fix_summary_by_relation(
     df: DataFrame, lex: DataFrame, counts: DataFrame, by: tuple[str, ...] = FIX_KEYS
 ) -> DataFrame:
     """Share of primed rows and mean probability difference per relation."""
-    relations = attach_counts(lex.select(*PAIR_KEYS, "relation"), counts)
+    relations = counted_relations(lex, counts)
     d = facilitation(kind="difference")
     out = df.join(relations, list(PAIR_KEYS)).groupBy(*by, "relation", "n").agg(
         share(d > 0).alias("primed"), F.avg(d).alias("facilitation")

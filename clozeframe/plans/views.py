@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from clozeframe.functions import text
 from clozeframe.operators.corpus import tokenize, word_counts
-from clozeframe.operators.joins import exclude, join_lexicon
+from clozeframe.operators.joins import exclude, join_lexicon, small_table
 from clozeframe.operators.lexicon import clean_lexicon, relation_counts, same_targets
 from clozeframe.operators.reshape import top_n_ties
 from clozeframe.sources.readers import sentences_from_text, spread
@@ -98,7 +98,7 @@ class Views:
     @cached_property
     def top(self) -> DataFrame:
         """The most frequent relations among the kept results, ties included."""
-        return top_n_ties(relation_counts(self.lex, self.kept), TOP_RELATIONS, "n")
+        return small_table(top_n_ties(relation_counts(self.lex, self.kept), TOP_RELATIONS, "n"))
 
     @cached_property
     def related_results(self) -> DataFrame:
