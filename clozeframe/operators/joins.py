@@ -56,12 +56,15 @@ def lookup_join(
 
 
 def join_on_group(df: DataFrame, per_group: DataFrame, by: list[str]) -> DataFrame:
-    """Attach one-row-per-group values to every row of the group, NULL groups included."""
+    """Attach per-group values to every row of the group.
+
+    The key is compared as a struct, in which NULL equals NULL, as it does in a group-by.
+    """
     if not by:
         return attach_single_row(df, per_group)
-    renamed = per_group.withColumnsRenamed({k: f"_g_{k}" for k in by})
-    condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in by])
-    return df.join(renamed, condition, "inner").drop(*[f"_g_{k}" for k in by])
+    key = F.struct(*[F.col(k) for k in by]).alias("_key")
+    values = [c for c in per_group.columns if c not in by]
+    return df.select("*", key).join(per_group.select(key, *values), "_key").drop("_key")
 
 
 def attach_single_row(df: DataFrame, one_row: DataFrame) -> DataFrame:

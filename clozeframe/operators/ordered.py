@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clozeframe.functions.measures import ColumnLike, as_column, finite
-from clozeframe.operators.joins import join_on_group
+from clozeframe.operators.joins import join_on_group, small_table
 
 # Bins per doubling of magnitude, and the smallest magnitude told apart from zero.  Doubles above it
 # and up to its inverse give at most 2 * 80 * 1024 bins.
@@ -38,17 +38,23 @@ def value_counts(df: DataFrame, by: list[str], value: ColumnLike, **counts: Colu
 
 
 def running_counts(counts: DataFrame, by: list[str]) -> DataFrame:
-    """Adds ``before``, the number of rows with a smaller value in the group, to value counts."""
-    binned = counts.withColumn("_bin", order_bin("value"))
-    per_bin = binned.groupBy(*by, "_bin").agg(F.sum("n").alias("_rows"))
-    earlier_bins = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bin.select(
-        *by, "_bin", F.coalesce(F.sum("_rows").over(earlier_bins), F.lit(0)).alias("_offset")
+    """Adds ``before``, the number of rows with a smaller value in the group, to value counts.
+
+    Group and bin form one struct key, so that the running count in a bin and the join to the bin's
+    offset share one partitioning.
+    """
+    binned = counts.withColumn("_key", F.struct(*by, order_bin("value").alias("bin")))
+    per_bin = binned.groupBy("_key").agg(F.sum("n").alias("_rows"))
+    earlier_bins = (
+        Window.partitionBy(*[F.col(f"_key.{k}") for k in by])
+        .orderBy("_key.bin")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    in_bin = Window.partitionBy(*by, "_bin").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bin.select("_key", F.coalesce(F.sum("_rows").over(earlier_bins), F.lit(0)).alias("_offset"))
+    in_bin = Window.partitionBy("_key").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     local = binned.withColumn("_local", F.coalesce(F.sum("n").over(in_bin), F.lit(0)))
-    joined = join_on_group(local, offsets, [*by, "_bin"])
-    return joined.withColumn("before", F.col("_offset") + F.col("_local")).drop("_bin", "_offset", "_local")
+    joined = local.join(offsets, "_key")
+    return joined.withColumn("before", F.col("_offset") + F.col("_local")).drop("_key", "_offset", "_local")
 
 
 def quantiles(df: DataFrame, by: list[str], value: ColumnLike, probs: dict[str, float]) -> DataFrame:
@@ -78,7 +84,7 @@ def quantiles(df: DataFrame, by: list[str], value: ColumnLike, probs: dict[str,
 def box_stats(df: DataFrame, by: list[str], value: ColumnLike) -> DataFrame:
     """Five-number summary and whisker ends (last values within 1.5 IQR of the box)."""
     rows = df.withColumn("_v", finite(value))
-    box = quantiles(rows, by, "_v", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    box = small_table(quantiles(rows, by, "_v", {"q1": 0.25, "median": 0.5, "q3": 0.75}))
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
     ends = join_on_group(rows.select(*by, "_v"), box, by)
     return ends.groupBy(*by).agg(
@@ -116,6 +122,7 @@ def density(df: DataFrame, by: list[str], value: ColumnLike, grid: int = 512, cu
     setup = setup.withColumn(
         "_step", (F.col("_max") + F.lit(cut) * F.col("bw") - F.col("_from")) / F.lit(float(grid - 1))
     ).select(*by, "n", "bw", "_from", "_step")
+    setup = small_table(setup)
     place = (F.col("_v") - F.col("_from")) / F.col("_step")
     cell = F.floor(place)
     split = join_on_group(rows, setup, by).select(

@@ -1,7 +1,8 @@
 """Per-group values attached to rows.
 
-Group values are aggregated with map-side combining and joined back, so that a group holding a large
-part of the rows is never sorted or buffered in one task.  Windows are used only where a group has a
+Group values are aggregated with map-side combining, measured, and joined back: by broadcast if they
+are small, so the rows are not moved at all.  A group holding a large part of the rows is never sorted
+or buffered in one task.  Windows are used only where a group has a
 known small size.
 """
 
@@ -11,19 +12,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clozeframe.functions.measures import ratio
-from clozeframe.operators.joins import attach_single_row, join_on_group
+from clozeframe.operators.joins import attach_single_row, join_on_group, small_table
 
 
 def extreme_rows(df: DataFrame, by: list[str], col: str, which: str = "max") -> DataFrame:
     """Rows attaining the group maximum or minimum, ties included."""
     best = {"max": F.max, "min": F.min}[which](col).alias("_best")
-    per_group = df.groupBy(*by).agg(best)
+    per_group = small_table(df.groupBy(*by).agg(best))
     return join_on_group(df, per_group, by).where(F.col(col) == F.col("_best")).drop("_best")
 
 
 def zscore(df: DataFrame, by: list[str], col: str, out: str | None = None, scale: bool = True) -> DataFrame:
     """Values centred on the group mean and, with ``scale``, divided by the group deviation."""
-    per_group = df.groupBy(*by).agg(F.avg(col).alias("_m"), F.stddev_samp(col).alias("_sd"))
+    per_group = small_table(df.groupBy(*by).agg(F.avg(col).alias("_m"), F.stddev_samp(col).alias("_sd")))
     centred = F.col(col) - F.col("_m")
     value = ratio(centred, "_sd") if scale else centred
     return join_on_group(df, per_group, by).withColumn(out or f"{col}_standardized", value).drop("_m", "_sd")
