@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clozeframe.functions import text
-from clozeframe.operators.joins import lookup_join
+from clozeframe.operators.joins import lookup_join, small_table
 
 # Targets never used as carriers, sample size and seed.
 STOP_TARGETS = ["am"]
@@ -29,12 +29,17 @@ def select_carriers(
     """Sentences that hold a lexicon target exactly once: all sentence columns plus ``target``.
 
     The exactly-once test is local to the sentence; only its once-words meet the lexicon, in a hash
-    join.  A target repeated in the lexicon repeats its sentences unless ``dedupe``.
+    join.  A target repeated in the lexicon repeats its sentences unless ``dedupe``: the lexicon is
+    reduced to one row per target with a repeat count, and the repeats are written out after the join.
     """
     once = sents.withColumn("target", F.explode(text.singletons(tokens)))
     once = once.where(~F.col("target").isin(STOP_TARGETS))
-    targets = lex.select("target")
-    return lookup_join(once, targets.distinct() if dedupe else targets, ["target"], "inner", salts)
+    targets = small_table(lex.groupBy("target").agg(F.count(F.lit(1)).alias("_copies")))
+    joined = lookup_join(once, targets, ["target"], "inner", salts)
+    if not dedupe:
+        copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))
+        joined = joined.withColumn("_copy", copies).drop("_copy")
+    return joined.drop("_copies")
 
 
 def carrier_counts(carriers: DataFrame) -> DataFrame:

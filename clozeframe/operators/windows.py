@@ -74,10 +74,17 @@ def ranked(
 ) -> DataFrame:
     """Rows at positions up to ``limit`` in their group, by ``row_number``, ``rank`` or ``dense_rank``.
 
-    ``-name`` sorts descending.  Spark prunes each map task to the limit before the shuffle.
+    ``-name`` sorts descending.  Spark prunes each map task to the limit before the shuffle.  Kinds that
+    keep ties rank the distinct order values and join them back, so tied rows never gather in one task.
     """
-    window = Window.partitionBy(*by).orderBy(
-        *[F.desc(k[1:]) if k.startswith("-") else F.asc(k) for k in order]
-    )
-    position = {"row_number": F.row_number, "rank": F.rank, "dense_rank": F.dense_rank}[kind]
-    return df.withColumn(out, position().over(window)).where(F.col(out) <= limit)
+    names = [k.removeprefix("-") for k in order]
+    ordering = [F.desc(k[1:]) if k.startswith("-") else F.asc(k) for k in order]
+    window = Window.partitionBy(*by).orderBy(*ordering)
+    if kind == "row_number":
+        return df.withColumn(out, F.row_number().over(window)).where(F.col(out) <= limit)
+    values = df.groupBy(*by, *names).agg(F.count(F.lit(1)).alias("_n"))
+    values = values.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= limit)
+    earlier = F.coalesce(F.sum("_n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    position = {"rank": earlier + 1, "dense_rank": F.col("_rn")}[kind]
+    kept = values.withColumn(out, position.cast("int")).where(F.col(out) <= limit)
+    return join_on_group(df, kept.drop("_n", "_rn"), [*by, *names])

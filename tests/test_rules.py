@@ -165,6 +165,17 @@ def test_trend_is_minus_one_for_rising_values(spark):
     assert {round(r.corr, 12) for r in windows.bucket_trend_corr(df, ["item"], "id", "f").collect()} == {-1.0}
 
 
+def test_ranked_kinds(spark):
+    rows = [("a", 5), ("a", 5), ("a", 4), ("a", 3), ("a", 3), ("b", 1), (None, 2), (None, 2)]
+    df = spark.createDataFrame(rows, "g string, x int")
+    pick = lambda kind, n: sorted((str(r.g), r.x, r.rank) for r in windows.ranked(df, ["g"], ["-x"], n, kind).collect())
+    rest = [("None", 2, 1), ("None", 2, 1), ("a", 5, 1), ("a", 5, 1)]
+    assert pick("rank", 2) == [*rest, ("b", 1, 1)]
+    assert pick("rank", 3) == sorted([*rest, ("a", 4, 3), ("b", 1, 1)])
+    assert pick("dense_rank", 2) == sorted([*rest, ("a", 4, 2), ("b", 1, 1)])
+    assert [r for r in pick("row_number", 2) if r[0] == "a"] == [("a", 5, 1), ("a", 5, 2)]
+
+
 def test_wide_rejects_repeated_cells(spark):
     df = spark.createDataFrame([(1, "a", 2.0), (1, "b", 3.0)], "id int, k string, v double")
     assert tuple(reshape.to_wide(df, ["id"], "k", "v", ["a", "b"]).first()) == (1, 2.0, 3.0)
