@@ -53,35 +53,6 @@ def _finish(done: Column) -> Column:
     return done / F.col("target")
 
 
-def mix(
-    docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, passes: int = 2
-) -> DataFrame:
-    """The documents' columns and ``mix_size, mix_source_size, mix_target, mix_sent`` (array of words sent per pass).
-
-    NULL text has size 0.  NULL sources are one source, last in order; NULL ids share one shuffle position and are
-    put in order by size.  Repeated rows are separate documents.  A source without words has target 0 and
-    sends nothing (-1 for its passes, as for every item behind the cut; an item of size 0 before it sends 0).
-    The item on the cut sends the words that still fit.  An empty table gives an empty result.
-    """
-    names = docs.columns
-    row = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
-        F.col("doc_id"),
-        F.col("source"),
-        F.size(words(F.col("text"))).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("shuffle"),
-    )
-    placed, cut = schedule(row, weights, share, passes)
-    sent = F.array(*[_sent(F.col(f"finish_{p}"), p, cut) for p in range(passes)])
-    return placed.select(
-        *[F.col(f"row.`{c}`").alias(c) for c in names],
-        F.col("size").alias("mix_size"),
-        F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"),
-        sent.alias("mix_sent"),
-    )
-
-
 def schedule(row: DataFrame, weights: tuple[int, ...], share: float, passes: int):
     """Rows with the finish time of each pass, and the cut (finish, place, pass, words that still fit), if any."""
     row = kept(row)
@@ -102,7 +73,7 @@ def schedule(row: DataFrame, weights: tuple[int, ...], share: float, passes: int
     placed = row.withColumn("running", running).join(before, ["place", "range"])
     for p in range(passes):
         placed = placed.withColumn(f"finish_{p}", _finish(p * F.col("source_size") + done))
-    placed = kept(placed.drop("running", "before", "range", "shuffle", "n_docs", "weight"))
+    placed = kept(placed.drop("running", "before", "range", "n_docs", "weight"))
 
     total = per_source.agg(F.sum("source_size"), F.sum("n_docs")).first()
     if not total[0]:
@@ -142,17 +113,53 @@ def _sent(finish: Column, number: int, cut) -> Column:
     )
 
 
-def taken_words(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (words of all passes)."""
-    mixed = mix(docs.select("doc_id", "text", "source"))
-    taken = F.aggregate("mix_sent", F.lit(0).cast("long"), lambda total, sent: total + F.greatest(sent, F.lit(0).cast("long")))
-    return mixed.select(
-        "doc_id",
-        F.col("mix_size").alias("size"),
-        F.col("mix_source_size").alias("source_size"),
-        F.col("mix_target").alias("target"),
-        taken.alias("taken"),
+def _slim(docs: DataFrame) -> DataFrame:
+    """What the schedule needs of each document: no text is shuffled."""
+    return docs.select(
+        F.col("doc_id").cast("long"), "source", F.size(words(F.col("text"))).cast("long").alias("size"), _shuffled("doc_id").alias("shuffle")
+    )
+
+
+def _shuffled(doc_id: str) -> Column:
+    return F.md5(F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("")).cast("binary"))
+
+
+def taken_words(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, passes: int = 2) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken (words sent in all passes).
+
+    NULL text has size 0.  NULL sources are one source, last in order; NULL ids share one shuffle position and are
+    put in order by size.  Repeated rows are separate documents.  A source without words has target 0 and
+    sends nothing.  The item on the cut sends the words that still fit.  Other columns are ignored.  An empty
+    table gives an empty result.
+    """
+    placed, cut = schedule(_slim(docs), weights, share, passes)
+    zero = F.lit(0).cast("long")
+    taken = sum([F.greatest(_sent(F.col(f"finish_{p}"), p, cut), zero) for p in range(passes)], zero)
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def resample(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, passes: int = 2) -> DataFrame:
+    """The documents the mix sends, whole and once per pass that sends them, with the columns of ``docs``.
+
+    The schedule is one of ids and sizes.  What a pass sends of a source is a head of its shuffled order, so its last
+    item, one row per source, decides about every document where it lies.  Documents with equal ids are
+    sent together; the document on the cut is sent whole; a source without words is sent once.
+    """
+    placed, cut = schedule(_slim(docs), weights, share, passes)
+    position = F.struct(F.col("_mix_shuffle").alias("shuffle"), F.col("_mix_id").alias("doc_id"))
+    last = [
+        F.max(F.when((_sent(F.col(f"finish_{p}"), p, cut) >= 0) | ((F.col("source_size") == 0) & F.lit(p == 0)), F.struct("shuffle", "doc_id"))).alias(f"_mix_last_{p}")
+        for p in range(passes)
+    ]
+    heads = kept(placed.groupBy(F.col("source").alias("_mix_source")).agg(*last))
+    marked = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_mix_row"), F.col("source").alias("_mix_source"),
+        _shuffled("doc_id").alias("_mix_shuffle"), F.col("doc_id").cast("long").alias("_mix_id"),
     )
+    marked = attach(marked, heads, ["_mix_source"])
+    times = sum([F.coalesce(position <= F.col(f"_mix_last_{p}"), F.lit(False)).cast("int") for p in range(passes)], F.lit(0))
+    sent = marked.select("_mix_row", F.explode(F.array_repeat(F.lit(0), times)))
+    return sent.select(*[F.col(f"_mix_row.`{c}`").alias(c) for c in docs.columns])
 
 
 SQL = r"""
