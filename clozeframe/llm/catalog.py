@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clozeframe.llm import hnsw, mixing, packing, simhash
+from clozeframe.llm import hnsw, mixing, outliers, packing, rules, simhash
 from clozeframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op2_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.quality_rules(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
+
+
 @query()
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -41,3 +48,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(hnsw.SQL)
 def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
