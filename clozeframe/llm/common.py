@@ -17,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 # Group tables of at most this many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 50_000
 # Bytes of text a Python task works on at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -55,7 +55,7 @@ def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes, ends
 
 
-def majority(hashes: np.ndarray, ends: np.ndarray, chunk: int = 1 << 20) -> np.ndarray:
+def majority(hashes: np.ndarray, ends: np.ndarray, chunk: int = 1 << 18) -> np.ndarray:
     """Fingerprint of each text; zero without shingles."""
     counts = np.diff(ends)
     ones = np.zeros((len(counts), 64), dtype=np.int64)
