@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clozeframe.llm import hnsw, mixing, outliers, packing, rules, simhash, toxicity
+from clozeframe.llm import hnsw, langid, mixing, outliers, packing, pii, rules, simhash, toxicity
 from clozeframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,13 @@ def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op7_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predicted(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_semicrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
