@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clozeframe.llm import hnsw, langid, mixing, outliers, packing, pii, rules, simhash, toxicity
+from clozeframe.llm import hnsw, langid, linededup, mixing, outliers, packing, pii, rules, simhash, toxicity
 from clozeframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query()
+def op5_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.cleaned(table(spark, sf_dir, "documents"))
+
+
 @query(mixing.SQL)
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))

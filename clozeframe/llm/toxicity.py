@@ -213,3 +213,10 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
         "doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"), F.size("passages").alias("n_passages"),
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` with a score below the threshold, with all their columns."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    scored_rows = learn(docs, labels).apply(docs.select(row, "text"))
+    return scored_rows.where(F.col("score") < threshold).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
