@@ -50,7 +50,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
 
 
 def _finish(done: Column) -> Column:
-    return done / F.col("target")
+    return F.try_divide(done, F.col("target"))
 
 
 def schedule(row: DataFrame, weights: tuple[int, ...], share: float, passes: int):

@@ -99,13 +99,16 @@ def fit(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, penalty: fl
     """Learn from rows (x array<double>, y); the share of label 1 where one label is missing or there is no row."""
     rows = kept(labelled.select(array_to_vector("x").alias("features"), "x", F.col("y").cast("double").alias("label")))
     count, ones = rows.agg(F.count("*"), F.sum("label")).first()
+    rate = ((ones or 0.0) + 0.5) / (count + 1.0)
+    constant = Ensemble(math.log(rate / (1 - rate)), [])
     if not count or ones in (0, count):
-        rate = min(max((ones or 0.0) + 0.5, 0.5) / (count + 1.0), 1 - 1e-6)
-        return Ensemble(math.log(rate / (1 - rate)), [])
+        return constant
     forest = RandomForestClassifier(
         numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=5, maxBins=64, featureSubsetStrategy="onethird"
     ).fit(rows)
     rules = paths(forest.toDebugString)
+    if not rules:
+        return constant
     holds = F.array(*[rule.holds("x").cast("double") for rule in rules])
     model = LogisticRegression(regParam=penalty, elasticNetParam=1.0, maxIter=100, standardization=False).fit(
         rows.select(array_to_vector(holds).alias("features"), "label")
