@@ -10,7 +10,7 @@ from compare import connect, duck_rows, spark_rows
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SQL = entry_module.oracle_sql()
 QUERIES = entry_module.queries()
-TYPES = {"int": "int32", "bigint": "int64", "double": "double", "string": "string"}
+TYPES = {"int": "int32", "bigint": "int64", "double": "double", "string": "string", "boolean": "bool"}
 
 
 @pytest.fixture(scope="module")
