@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from clozeframe.functions import text
 from clozeframe.operators.joins import attach_single_row, join_on_group
-from clozeframe.session import ensure_checkpoint_dir
+from clozeframe.session import computed_once
 from clozeframe.sources.writers import write_table
 
 LEVEL_KEYS = {3: ["prev", "next"], 2: ["prev"], 1: []}
@@ -53,11 +53,9 @@ def fit_cloze(
         F.coalesce("_s.next", F.lit(text.SEP)).alias("next"),
         F.col("_s.token").alias("token"),
     )
-    if materialise:
-        ensure_checkpoint_dir(sents.sparkSession)
 
     def settled(df: DataFrame) -> DataFrame:
-        return df.checkpoint() if materialise else df
+        return computed_once(df) if materialise else df
 
     counts = {3: settled(spots.groupBy("prev", "next", "token").agg(F.count(F.lit(1)).alias("n")))}
     counts[2] = settled(counts[3].groupBy("prev", "token").agg(F.sum("n").alias("n")))
@@ -155,8 +153,7 @@ def score_cloze(
     inputs = ["prev", "next", *words]
     combos = stimuli.select(*inputs).distinct()
     if materialise:
-        ensure_checkpoint_dir(stimuli.sparkSession)
-        combos = combos.checkpoint()
+        combos = computed_once(combos)
     named = F.array(*[F.struct(F.lit(w).alias("name"), F.col(w).alias("token")) for w in words])
     asked = combos.withColumn("_t", F.explode(named)).select(
         *inputs, F.col("_t.name").alias("_name"), F.col("_t.token").alias("token")

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clozeframe.session import ensure_checkpoint_dir
+from clozeframe.session import computed_once
 
 PAIR_KEYS = ("target", "related", "unrelated")
 
@@ -35,15 +35,21 @@ def measured_bytes(df: DataFrame) -> int:
 
 def small_table(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A lookup computed once (checkpointed), marked for broadcast if its measured size is within the limit."""
-    ensure_checkpoint_dir(df.sparkSession)
-    kept = df.checkpoint()
+    kept = computed_once(df)
     return F.broadcast(kept) if measured_bytes(kept) <= limit else kept
 
 
+def natural_join(facts: DataFrame, lookup: DataFrame, on: tuple[str, ...] | list[str], salts: int = 1) -> DataFrame:
+    """Inner join on named keys in which NULL matches NULL: the keys are compared as a struct."""
+    key = F.struct(*[F.col(k) for k in on]).alias("_key")
+    rest = [F.col(c) for c in lookup.columns if c not in on]
+    return lookup_join(facts.select("*", key), lookup.select(key, *rest), ["_key"], "inner", salts).drop("_key")
+
+
 def lookup_join(
     facts: DataFrame, lookup: DataFrame, on: tuple[str, ...] | list[str], how: str = "inner", salts: int = 1
 ) -> DataFrame:
-    """Equi-join of facts to a lookup on named keys (``inner``, ``left``, ``left_semi``, ``left_anti``)."""
+    """Equi-join of facts to a lookup on named keys (``inner``, ``left``, ``left_semi``, ``left_anti``); NULL keys match nothing."""
     on = list(on)
     if salts <= 1:
         return facts.join(lookup, on, how)
@@ -91,7 +97,7 @@ def join_lexicon(
     results: DataFrame, lex: DataFrame, on: tuple[str, ...] = PAIR_KEYS, salts: int = 1
 ) -> DataFrame:
     """Attach the relation of each (target, related, unrelated); repeated lexicon rows repeat results."""
-    return lookup_join(results, lex.select(*on, "relation"), on, "inner", salts)
+    return natural_join(results, lex.select(*on, "relation"), on, salts)
 
 
 def join_norms(
@@ -101,7 +107,7 @@ def join_norms(
 
     The join moves each result once; the fan-out to tasks happens after it.
     """
-    joined = lookup_join(results, lex.select(*on, "relation", *norms), on, "inner", salts)
+    joined = natural_join(results, lex.select(*on, "relation", *norms), on, salts)
     return joined.unpivot([c for c in joined.columns if c not in norms], norms, "task", "delta")
 
 
@@ -110,7 +116,7 @@ def attach_counts(df: DataFrame, top: DataFrame, on: str = "relation") -> DataFr
 
     Relations are few and frequent: pass ``top`` through ``small_table`` before joining it to results.
     """
-    return lookup_join(df, top.select(on, "n"), [on])
+    return natural_join(df, top.select(on, "n"), [on])
 
 
 def counted_relations(lex: DataFrame, counts: DataFrame) -> DataFrame:
@@ -124,8 +130,8 @@ CONSTRAINT_KEYS = ("target", "related", "unrelated", "relation", "context")
 def join_constraint(
     results: DataFrame, scores: DataFrame, on: tuple[str, ...] = CONSTRAINT_KEYS, salts: int = 1
 ) -> DataFrame:
-    """Attach the constraint score of each stimulus."""
-    return lookup_join(results, scores.select(*on, "constraint"), on, "inner", salts)
+    """Attach the constraint score of each stimulus; a missing relation matches a missing one."""
+    return natural_join(results, scores.select(*on, "constraint"), on, salts)
 
 
 def join_entropy(
@@ -141,7 +147,7 @@ def join_entropy(
     the two sides may have been written and read back.
     """
     if constraint is None:
-        return lookup_join(results, contexts.select(context, "entropy"), [context], "inner", salts)
+        return natural_join(results, contexts.select(context, "entropy"), [context], salts)
     facts = results.withColumn("_constraint_key", F.round(constraint, 12))
     lookup = contexts.select(context, F.round(constraint, 12).alias("_constraint_key"), "entropy")
-    return lookup_join(facts, lookup, [context, "_constraint_key"], "inner", salts).drop("_constraint_key")
+    return natural_join(facts, lookup, [context, "_constraint_key"], salts).drop("_constraint_key")

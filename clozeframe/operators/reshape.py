@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clozeframe.functions.measures import facilitation, rel_facilitation
-from clozeframe.operators.joins import PAIR_KEYS, counted_relations, join_lexicon
+from clozeframe.operators.joins import PAIR_KEYS, counted_relations, join_lexicon, join_on_group
 
 
 def order_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -27,13 +27,14 @@ def top_n_ties(df: DataFrame, n: int, col: str) -> DataFrame:
 def with_levels(df: DataFrame, col: str, by: str, out: str | None = None) -> DataFrame:
     """Ordinal of a categorical column, levels ordered by descending ``by`` and then by name.
 
-    Only the distinct levels are ranked.
+    Only the distinct levels are ranked: in one task, since ordinals are global, so levels must be few (a factor's).  A NULL
+    level is a level of its own, first among equals.
     """
     levels = df.groupBy(col).agg(F.max(by).alias("_by"))
     ranked = levels.select(
         F.col(col), F.row_number().over(Window.orderBy(F.desc("_by"), col)).alias(out or f"{col}_ord")
     )
-    return df.join(ranked, col)
+    return join_on_group(df, ranked, [col])
 
 
 def distinct_on(df: DataFrame, cols: list[str]) -> DataFrame:

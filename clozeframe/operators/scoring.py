@@ -44,12 +44,16 @@ def score(
     batch_size: int = BATCH_SIZE,
     renormalised: bool = False,
     dedupe: bool = True,
+    tasks: int | None = None,
+    salts: int = 1,
 ) -> DataFrame:
     """Adds argmax, maxprob, entropy, and probability and rank of each word column.
 
-    The model is loaded once per task.  Score vectors are reduced to metrics inside the task and
-    never leave it.  With ``dedupe`` equal (context, words) rows are scored once in the whole run;
-    without it, once per Arrow batch.
+    The model is loaded once per task; ``tasks`` (default: the session's shuffle partitions) is kept as given, because the
+    work of a task follows from its contexts and not from their bytes.  Rows of one context go to one task, or with
+    ``salts`` to that many, and lie together there, so a context is scored once per Arrow batch that holds it.  Score
+    vectors are reduced to metrics inside the task and never leave it; memory follows from the batch
+    size and the vocabulary, not from the number of words.  With ``dedupe`` equal (context, words) rows are answered once.
     """
     inputs = [context, mask_index, *words]
     metric_schema = ", ".join(
@@ -81,13 +85,22 @@ def score(
                 out["maxprob"][rows] = p.max(axis=1)[at]
                 out["entropy"][rows] = -(p * logs).sum(axis=1)[at]
                 target_p = _softmax(p) if renormalised else p
+                ascending = np.sort(target_p, axis=1)
+                bounds = np.searchsorted(at, np.arange(last - first + 1))
                 for w in words:
                     word_p = target_p[at, scorer.index_of(list(word_values[w][rows]))]
                     out[f"{w}_probability"][rows] = word_p
-                    out[f"{w}_rank"][rows] = (target_p[at] > word_p[:, None]).sum(axis=1) + 1
+                    rank = np.empty(len(rows), dtype=np.int32)
+                    for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                        rank[a:b] = ascending.shape[1] - np.searchsorted(ascending[k], word_p[a:b], side="right") + 1
+                    out[f"{w}_rank"][rows] = rank
             yield pdf.assign(**out)
 
-    work = df.select(*inputs).distinct() if dedupe else df
+    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64(*(words or [context])), F.lit(salts))
+    work = (df.select(*inputs) if dedupe else df).repartition(tasks, context, mask_index, salt)
+    # Equal rows are in one task already, so dropping repeats moves nothing.
+    work = (work.distinct() if dedupe else work).sortWithinPartitions(context, mask_index)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema.fields)
     scored = work.mapInPandas(reduce_batches, f"{fields}, {metric_schema}")
     return join_on_group(df, scored, inputs) if dedupe else scored

@@ -16,7 +16,7 @@ from clozeframe.functions import tails
 from clozeframe.functions.measures import ColumnLike, finite, ratio
 from clozeframe.operators.joins import join_on_group
 from clozeframe.operators.ordered import running_counts, value_counts
-from clozeframe.session import ensure_checkpoint_dir
+from clozeframe.session import computed_once
 
 
 def _pairs(df: DataFrame, by: list[str], y: ColumnLike, x: ColumnLike) -> DataFrame:
@@ -310,8 +310,7 @@ def shift_estimates(
     if not by:
         whole = counts.withColumn("_all", F.lit(True))
         return shift_estimates(whole, ["_all"], alternative, level, tolerance).drop("_all")
-    ensure_checkpoint_dir(counts.sparkSession)
-    counts = counts.checkpoint()
+    counts = computed_once(counts)
     one_sided = alternative != "two.sided"
     z = tails.normal_quantile(level if one_sided else 0.5 + level / 2)
     # Name, quantile, and correction of each crossing.
@@ -327,9 +326,7 @@ def shift_estimates(
         (F.min(in_a) - F.max(in_b)).alias("_lo"), (F.max(in_a) - F.min(in_b)).alias("_hi")
     )
     span = span.where(F.col("_lo").isNotNull())
-    state = span.withColumn(
-        "_root", F.explode(F.array(*[F.lit(name) for name, _, _ in roots]))
-    ).checkpoint()
+    state = computed_once(span.withColumn("_root", F.explode(F.array(*[F.lit(name) for name, _, _ in roots]))))
     widest = state.agg(F.max(F.col("_hi") - F.col("_lo"))).first()[0]
     passes = max(1, math.ceil(math.log(max(widest or 0.0, tolerance) / tolerance, SECTIONS)))
 
@@ -364,11 +361,10 @@ def shift_estimates(
             .groupBy(*by, "_root")
             .agg(F.coalesce(F.max(F.when(F.col("_above"), F.col("_cut"))), F.lit(0)).alias("_section"))
         )
-        state = (
+        state = computed_once(
             join_on_group(state, crossing, [*by, "_root"])
             .withColumn("_low", F.col("_lo") + step * F.col("_section"))
             .select(*by, "_root", F.col("_low").alias("_lo"), (F.col("_low") + step).alias("_hi"))
-            .checkpoint()
         )
     middle = (F.col("_lo") + F.col("_hi")) / 2.0
     out = state.groupBy(*by).agg(

@@ -205,7 +205,7 @@ def mean_scores(v):
     f"""select r.model, r.target, r.relation, r.isolated_context as context, r.unrelated_rank, m."constraint"
         from related_results r join ({_MEAN_SCORES}) m
           on r.target = m.target and r.related = m.related and r.unrelated = m.unrelated
-             and r.relation = m.relation and r.isolated_context = m.context""",
+             and r.relation is not distinct from m.relation and r.isolated_context = m.context""",
     "constraint",
 )
 def results_with_constraint(v):
@@ -579,6 +579,13 @@ def relation_levels(v):
     return reshape.with_levels(lexicon.relation_counts(v.lex, v.kept), "relation", "n")
 
 
+@query("""
+    select relation, n, cast(row_number() over (order by n desc, relation nulls first) as integer) as relation_ord
+    from (select relation, count(*) as n from lex group by relation)""")
+def relation_levels_with_missing(v):
+    return reshape.with_levels(v.lex.groupBy("relation").agg(F.count(F.lit(1)).alias("n")), "relation", "n")
+
+
 @query("""
     select target, related, cast(null as integer) as unrelated_rank from lex
     union all select target, related, unrelated_rank from kept""")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clozeframe.functions import distribution as dist
 from clozeframe.functions import text
 from clozeframe.operators import cloze, corpus, lexicon, reshape, scoring, stimuli, windows
-from clozeframe.plans.experiment import run_constraint, run_priming, run_priming_cloze
+from clozeframe.plans.experiment import run_constraint, run_entropy, run_legacy, run_priming, run_priming_cloze
 from clozeframe.plans.registry import query
 from clozeframe.plans.views import sql_context_tokens
 from clozeframe.sources.provenance import parse_provenance
@@ -103,9 +103,9 @@ def carrier_sample(v):
     return _sample(v).select("target", text.join_tokens("tokens").alias("sentence"))
 
 
-@query("select target, sense from word_lex where target in (select token from vocab where n >= 50)")
+@query("select target, sense from word_lex join pieces using (target)")
 def single_piece_targets(v):
-    return lexicon.single_piece(v.word_lex, v.vocab.where(F.col("n") >= 50))
+    return lexicon.single_piece(v.word_lex, v.pieces)
 
 
 @query("select doc_id, line, array_to_string(tokens, ' ') as text from sents")
@@ -124,13 +124,14 @@ _INNER_RUNS = f"regexp_replace({_RUNS}, chr(1) || '([^' || chr(1) || chr(2) || '
 @query(
     f"""select doc_id, line, target, '[CLS] ' || replace(replace(replace(runs, chr(1) || target || chr(2), '[MASK]'),
                chr(1), ''), chr(2), '') || ' [SEP]' as context
-        from (select doc_id, line, tokens[2] as target, {_INNER_RUNS} as runs from sents
-              where len(tokens) >= 3 and regexp_full_match(tokens[2], '[\\p{{L}}\\p{{N}}]+'))"""
+        from (select doc_id, line, {_INNER_RUNS} as runs,
+                     list_filter(tokens, lambda t: regexp_full_match(t, '[\\p{{L}}\\p{{N}}]+'))[1] as target from sents)"""
 )
 def masked_sentences(v):
-    word = F.get("tokens", F.lit(1))
-    rows = v.sents.where((F.size("tokens") >= 3) & word.rlike(r"^[\p{L}\p{N}]+$"))
-    return rows.select("doc_id", "line", word.alias("target"), text.mask_word("sentence", word).alias("context"))
+    """The first plain word of every sentence masked; a sentence without one has no context."""
+    word = F.get(F.filter("tokens", lambda t: t.rlike(r"^[\p{L}\p{N}]+$")), F.lit(0))
+    rows = v.sents.select("doc_id", "line", "sentence", word.alias("target"))
+    return rows.select("doc_id", "line", "target", text.mask_word("sentence", "target").alias("context"))
 
 
 @query("""
@@ -317,6 +318,64 @@ def constraint_results_batch(v):
     return run_constraint(v.stimuli, LengthScorer)
 
 
+_CONTEXT_SCORES = f"""
+    select *, exp(s) / sum(exp(s)) over (partition by cloze) as p
+    from (select cloze, j, ((length(cloze) * 31 + cast(len({sql_context_tokens("string_split(cloze, '[MASK]')[1]")}) as integer) * 7
+                             + j * j * 13) % 97) / 10.0::double as s
+          from asked cross join (select unnest(range(16)) as j))"""
+
+
+@query(
+    f"""with asked as (select distinct context as cloze from stimuli),
+             entropies as (select cloze, sum(-p * log2(p)) as entropy from ({_CONTEXT_SCORES}) group by cloze)
+        select distinct context, length(target) / 10.0::double as "constraint", entropy
+        from stimuli join entropies on context = cloze""",
+    "constraint entropy",
+)
+def entropy_results_batch(v):
+    contexts = v.stimuli.select("context", (F.length("target") / 10.0).alias("constraint"))
+    return run_entropy(contexts, LengthScorer)
+
+
+_LEGACY_STIMULI_SQL = """
+    select cast(length(related) as integer) as category, length(target) / 10.0::double as "constraint", target, related, unrelated,
+           context as isolated_context, replace(context, '[CLS]', '[CLS] ' || related || '.') as related_context,
+           replace(context, '[CLS]', '[CLS] ' || unrelated || '.') as unrelated_context from stimuli"""
+
+
+def _legacy_sql() -> str:
+    conditions = ("isolated", "related", "unrelated")
+    cells = ", ".join(
+        f"max({m}) filter (where condition = '{c}') as {c}_{m}" for c in conditions for m in ("probability", "rank")
+    )
+    return f"""with legacy as (select *, row_number() over () as id from ({_LEGACY_STIMULI_SQL})),
+        placed as (select id, target, unnest(['isolated', 'related', 'unrelated']) as condition,
+                          unnest([isolated_context, related_context, unrelated_context]) as cloze from legacy),
+        asked as (select distinct cloze from placed),
+        scores as materialized ({_CONTEXT_SCORES}),
+        own as (select id, condition, p, max(p) filter (where j = length(target) % 16) over (partition by id, condition) as tp
+                from placed join scores using (cloze)),
+        answers as (select id, condition, max(tp) as probability, cast(count(*) filter (where p > tp) + 1 as integer) as rank
+                    from own group by id, condition),
+        wide as (select id, {cells} from answers group by id)
+        select legacy.* exclude (id), wide.* exclude (id) from legacy join wide using (id)"""
+
+
+@query(_legacy_sql(), "constraint isolated_probability related_probability unrelated_probability")
+def legacy_results_batch(v):
+    rows = v.stimuli.select(
+        F.length("related").alias("category"),
+        (F.length("target") / 10.0).alias("constraint"),
+        "target",
+        "related",
+        "unrelated",
+        F.col("context").alias("isolated_context"),
+        text.prime("context", "related").alias("related_context"),
+        text.prime("context", "unrelated").alias("unrelated_context"),
+    )
+    return run_legacy(rows, LengthScorer)
+
+
 # --- cloze model ----------------------------------------------------------------------------------
 
 _CLOZE_SQL = f"""

@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clozeframe.functions.text import mask_index
 from clozeframe.operators.cloze import ClozeModel, mask_neighbours, score_cloze
 from clozeframe.operators.joins import join_on_group
 from clozeframe.operators.scoring import Scorer, assemble_results, prime_metrics, score
 from clozeframe.operators.stimuli import build_stimuli, conditions_long
-from clozeframe.sources.schemas import PRIMING_RESULT, STIMULI
+from clozeframe.sources.schemas import (
+    CONDITIONS,
+    ENTROPY_RESULT,
+    LEGACY_PRIMING_RESULT,
+    LEGACY_STIMULI,
+    PRIMING_RESULT,
+    STIMULI,
+)
 from clozeframe.sources.writers import write_table
 
 RESULT_KEYS = PRIMING_RESULT.fieldNames()[:7]
@@ -50,6 +58,36 @@ def run_constraint(stimuli: DataFrame, load_scorer: Callable[[], Scorer], **opti
     )
 
 
+def run_entropy(contexts: DataFrame, load_scorer: Callable[[], Scorer], **options) -> DataFrame:
+    """Entropy of each distinct context, with the constraint it came with (columns ``context, constraint``)."""
+    asked = contexts.select("context", "constraint").distinct().withColumn("mask_index", mask_index("context"))
+    scored = score(asked.select("context", "mask_index").distinct(), load_scorer, [], context="context", dedupe=False, **options)
+    joined = join_on_group(asked, scored, ["context", "mask_index"])
+    return joined.select(*ENTROPY_RESULT.fieldNames())
+
+
+def run_legacy(stimuli: DataFrame, load_scorer: Callable[[], Scorer], **options) -> DataFrame:
+    """The 14-column result of stimuli that bring their three contexts: probability and rank of the target in each.
+
+    Copies of a stimulus are scored once and repeated at the end.
+    """
+    names = LEGACY_STIMULI.fieldNames()
+    counted = stimuli.groupBy(*names).agg(F.count(F.lit(1)).alias("_copies"))
+    cloze = F.explode(
+        F.array(*[F.struct(F.lit(c).alias("condition"), F.col(f"{c}_context").alias("cloze")) for c in CONDITIONS])
+    )
+    long = counted.select(*names, "_copies", cloze.alias("_c")).select(*names, "_copies", "_c.*")
+    scored = score(long.withColumn("mask_index", mask_index("cloze")), load_scorer, ["target"], **options)
+    cells = [
+        F.max(F.when(F.col("condition") == c, F.col(f"target_{m}"))).alias(f"{c}_{m}")
+        for c in CONDITIONS
+        for m in ("probability", "rank")
+    ]
+    wide = scored.groupBy(*names, "_copies").agg(*cells)
+    copy = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))
+    return wide.withColumn("_copy", copy).select(*LEGACY_PRIMING_RESULT.fieldNames())
+
+
 def run_experiments(
     stimuli: DataFrame,
     scorers: dict[str, Callable[[], Scorer]],

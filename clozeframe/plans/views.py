@@ -19,7 +19,9 @@ from clozeframe.operators.lexicon import clean_lexicon, relation_counts, same_ta
 from clozeframe.operators.reshape import top_n_ties
 from clozeframe.sources.readers import sentences_from_text, spread
 
-TOP_RELATIONS = 3
+TOP_RELATIONS = 10
+# Occurrences that make a word an entry of the stand-in model vocabulary.
+PIECE_COUNT = 50
 NORMS = ["delta_200ms", "delta_1200ms"]
 
 
@@ -74,7 +76,7 @@ class Views:
             .when(c("p_type") == "LARGE", "FPA")
             .when(c("p_type") == "MEDIUM", "BPA")
             .when(c("p_type") == "ECONOMY", F.lit(None).cast("string"))
-            .otherwise(c("p_type"))
+            .otherwise(F.concat(c("p_type"), F.lit(" "), (c("p_size") % 9).cast("string")))
         )
         return self.table("part").select(
             F.concat(F.lit("T"), c("p_partkey").cast("string")).alias("target"),
@@ -137,15 +139,15 @@ class Views:
 
     @cached_property
     def eleven(self) -> DataFrame:
-        """Items with exactly eleven ordered contexts: neighbouring parts in groups of eleven."""
+        """Items with eleven ordered contexts, made of every part."""
+        c = F.col
         part = self.table("part").select(
-            F.floor(F.col("p_partkey") / 11).alias("item"),
-            F.col("p_partkey").alias("ordinal"),
-            (F.col("p_retailprice") / 1000.0).alias("f"),
-            F.col("p_size").alias("size"),
+            c("p_partkey").alias("item"), "p_retailprice", "p_size", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("ordinal")
+        )
+        varied = (c("item") * 7 + c("ordinal") * c("ordinal") * 5) % 23
+        return part.select(
+            "item", "ordinal", (c("p_retailprice") / 1000.0 + varied).alias("f"), (c("p_size") + varied).alias("size")
         )
-        full = part.groupBy("item").agg(F.count("ordinal").alias("rows")).where(F.col("rows") == 11)
-        return part.join(full.select("item"), "item")
 
     @cached_property
     def result_files(self) -> DataFrame:
@@ -175,27 +177,34 @@ class Views:
 
     @cached_property
     def word_lex(self) -> DataFrame:
-        """Lexicon over corpus words: words of middling frequency, the most frequent half twice."""
-        words = self.vocab.where((F.col("n") >= 5) & (F.length("token") >= 2))
+        """Lexicon over all corpus words, frequent ones twice."""
+        words = self.vocab
         repeats = F.when(F.col("n") >= 20, 2).otherwise(1)
         return words.select(
             F.col("token").alias("target"), F.explode(F.sequence(F.lit(1), repeats)).alias("sense")
         )
 
+    @cached_property
+    def pieces(self) -> DataFrame:
+        """Words that are one entry of the stand-in model vocabulary."""
+        return self.vocab.where(F.col("n") >= PIECE_COUNT)
+
     @cached_property
     def stimuli(self) -> DataFrame:
-        """Cloze stimuli: the third token of a sentence masked, its neighbours as primes."""
-        t = F.col("tokens")
-        long = self.sents.where(F.size(t) >= 3)
-        masked = F.concat(
-            F.slice(t, 1, 2), F.array(F.lit(text.MASK)), F.slice(t, F.lit(4), F.greatest(F.size(t) - 3, F.lit(0)))
-        )
-        return long.select(
+        """Cloze stimuli: the middle token of every sentence masked, its neighbours as primes.
+
+        At the ends the first or last token stands in for a missing neighbour.  Only a sentence of white
+        space has no token to mask.
+        """
+        t, n = F.col("tokens"), F.size("tokens")
+        middle = F.floor(n / 2).cast("int")
+        masked = F.concat(F.slice(t, F.lit(1), middle), F.array(F.lit(text.MASK)), F.slice(t, middle + 2, n - middle - 1))
+        return self.sents.where(n >= 1).select(
             "doc_id",
             "line",
-            F.get(t, F.lit(2)).alias("target"),
-            F.coalesce(F.get(t, F.lit(3)), F.get(t, F.lit(0))).alias("related"),
-            F.get(t, F.lit(1)).alias("unrelated"),
+            F.get(t, middle).alias("target"),
+            F.coalesce(F.get(t, middle + 1), F.get(t, F.lit(0))).alias("related"),
+            F.coalesce(F.get(t, middle - 1), F.get(t, n - 1)).alias("unrelated"),
             F.lit("next").alias("relation"),
             F.concat(F.lit("[CLS] "), F.array_join(masked, " "), F.lit(" [SEP]")).alias("context"),
         )
@@ -244,7 +253,8 @@ SQL_VIEWS: dict[str, str] = {
         select concat('T', p_partkey) as target, p_name as prime,
                case when p_size % 10 = 0 then p_name else p_brand end as unrelated,
                case p_type when 'PROMO' then 'Uncl' when 'SMALL' then 'Antonyms' when 'LARGE' then 'FPA'
-                           when 'MEDIUM' then 'BPA' when 'ECONOMY' then null else p_type end as relation,
+                           when 'MEDIUM' then 'BPA' when 'ECONOMY' then null
+                           else concat(p_type, ' ', p_size % 9) end as relation,
                p_brand as context_word,
                case when p_size <> 7 then p_retailprice - 950.0::double end as delta_200ms,
                cast(p_size as double) as delta_1200ms
@@ -285,10 +295,9 @@ SQL_VIEWS: dict[str, str] = {
     "context_entropy": """
         select concat('ctx ', s_suppkey) as isolated_context, s_acctbal / 2000.0::double as entropy from supplier""",
     "eleven": """
-        select * from (select cast(floor(p_partkey / 11.0::double) as bigint) as item, p_partkey as ordinal,
-                              p_retailprice / 1000.0::double as f, p_size as size,
-                              count(*) over (partition by floor(p_partkey / 11.0::double)) as rows_in_item from part)
-        where rows_in_item = 11""",
+        select p_partkey as item, ordinal, p_retailprice / 1000.0::double + (p_partkey * 7 + ordinal * ordinal * 5) % 23 as f,
+               p_size + (p_partkey * 7 + ordinal * ordinal * 5) % 23 as size
+        from part cross join (select cast(unnest(range(11)) as integer) as ordinal)""",
     "result_files": """
         select c_custkey,
                case when c_nationkey = 7 then concat('other/', lower(c_mktsegment))
@@ -308,15 +317,16 @@ SQL_VIEWS: dict[str, str] = {
     "vocab": "select token, count(*) as n from words group by token",
     "word_lex": """
         select token as target, cast(unnest(range(1, case when n >= 20 then 3 else 2 end)) as integer) as sense
-        from vocab where n >= 5 and length(token) >= 2""",
+        from vocab""",
+    "pieces": f"select token as target from vocab where n >= {PIECE_COUNT}",
     "once": "select doc_id, line, token as target from words group by all having count(*) = 1",
     "carriers": "select doc_id, line, target from once join word_lex using (target) where target <> 'am'",
     "stimuli": """
-        select doc_id, line, tokens[3] as target, coalesce(tokens[4], tokens[1]) as related,
-               tokens[2] as unrelated, 'next' as relation,
-               '[CLS] ' || array_to_string(list_concat(list_concat(tokens[1:2], ['[MASK]']), tokens[4:]), ' ')
-               || ' [SEP]' as context
-        from sents where len(tokens) >= 3""",
+        select doc_id, line, tokens[m + 1] as target, coalesce(tokens[m + 2], tokens[1]) as related,
+               coalesce(case when m > 0 then tokens[m] end, tokens[len(tokens)]) as unrelated, 'next' as relation,
+               '[CLS] ' || array_to_string(list_concat(list_concat(case when m > 0 then tokens[1:m] else [] end, ['[MASK]']),
+                                                       tokens[m + 2:]), ' ') || ' [SEP]' as context
+        from (select *, len(tokens) // 2 as m from sents) where len(tokens) >= 1""",
     "vectors": "select vec_id, embedding, label, (label + 1) % 10 as prime from embeddings",
     "scores_long": """
         select vec_id, label, prime, cast(unnest(range(len(embedding))) as integer) as pos,

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", name: str = "clozeframe") -> SparkSession:
-    return (
+    session = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.ui.enabled", "false")
@@ -19,19 +19,22 @@ def local_session(cpus: int | str = "*", name: str = "clozeframe") -> SparkSessi
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
+    if session.sparkContext.getCheckpointDir() is None:
+        session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="clozeframe-checkpoint-"))
+    return session
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; make a folder of our own only for a local master."""
-    context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is not None:
-        return
-    if shared:
+def computed_once(df: DataFrame) -> DataFrame:
+    """The rows computed once: in the checkpoint folder if the session has one (it survives lost executors), else cached.
+
+    The library chooses no folder.  Set ``spark.checkpoint.dir`` on a cluster, and
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` to have files of dropped tables removed.
+    """
+    context = df.sparkSession.sparkContext
+    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None and shared:
         context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="clozeframe-checkpoint-"))
-    else:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return df.persist() if context.getCheckpointDir() is None else df.checkpoint()

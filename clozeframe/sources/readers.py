@@ -4,34 +4,59 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DataType, StringType, StructField, StructType
 
 from clozeframe.functions.measures import ColumnLike, as_column
 from clozeframe.sources import schemas
 
 
+# Markers of a missing number.
+NO_NUMBER = ["", "NA", "NaN", "nan"]
+
+
+def number(name: str, kind: DataType) -> Column:
+    """A number read as text: known markers are NULL, any other text that is no number is an error."""
+    text = F.trim(F.col(name))
+    value = F.coalesce(
+        text.try_cast("double"), F.raise_error(F.concat(F.lit(f"no number in column {name}: "), text)).cast("double")
+    )
+    return F.when(text.isNotNull() & ~text.isin(NO_NUMBER), value).cast(kind).alias(name)
+
+
 def read_csv(
-    spark: SparkSession, path: str | list[str], schema: StructType, glob: str | None = None, file: bool = False
+    spark: SparkSession,
+    path: str | list[str],
+    schema: StructType,
+    glob: str | None = None,
+    file: bool = False,
+    by_header: bool = False,
+    na_text: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """CSV with a header line.  Empty, ``NA`` and NaN numbers are NULL; ``file`` adds the source path.
+    """CSV with a header line; ``file`` adds the source path.
 
-    Numbers are read as text and cast, because the reader knows one null marker only and ``NA`` may
-    be a word in a text column.
+    Numbers are read as text and cast (``number``), because the reader knows one null marker only.  ``by_header`` takes the
+    columns by their names in the header, in any order, and fails if one is missing or files differ; without it they are
+    taken by position.  ``na_text`` reads ``NA`` as NULL in text columns too.  ``multi_line`` accepts line breaks in quotes, but
+    then a file is not split among tasks.
     """
-    as_text = StructType([StructField(f.name, StringType(), True) for f in schema.fields])
-    reader = spark.read.schema(as_text).option("header", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    if by_header:
+        reader = reader.option("enforceSchema", False)
+    else:
+        reader = reader.schema(StructType([StructField(f.name, StringType(), True) for f in schema.fields]))
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    columns = [
-        F.col(f.name)
-        if isinstance(f.dataType, StringType)
-        else F.nullif(F.col(f.name).try_cast("double"), F.lit(float("nan"))).cast(f.dataType).alias(f.name)
-        for f in schema.fields
-    ]
+
+    def value(f: StructField) -> Column:
+        if not isinstance(f.dataType, StringType):
+            return number(f.name, f.dataType)
+        return F.nullif(F.col(f.name), F.lit("NA")).alias(f.name) if na_text else F.col(f.name)
+
     origin = [F.col("_metadata.file_path").alias("file")] if file else []
-    return reader.csv(path).select(*origin, *columns)
+    return reader.csv(path).select(*origin, *map(value, schema.fields))
 
 
 def read_stimuli(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -50,7 +75,8 @@ def read_contexts(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_lexicon(spark: SparkSession, path: str | list[str], schema: StructType = schemas.LEXICON) -> DataFrame:
-    return read_csv(spark, path, schema)
+    """By header; ``NA`` is a missing value in every column."""
+    return read_csv(spark, path, schema, by_header=True, na_text=True)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -89,8 +115,13 @@ def read_results(
     glob: str | None = "*_10.csv",
     schema: StructType = schemas.LEGACY_PRIMING_RESULT,
 ) -> DataFrame:
-    """All matching result files in one scan, with a ``file`` column for provenance."""
-    return read_csv(spark, path, schema, glob, file=True)
+    """All matching result files in one scan, by header, with a ``file`` column for provenance; ``NA`` is missing."""
+    return read_csv(spark, path, schema, glob, file=True, by_header=True, na_text=True)
+
+
+def read_fix_results(spark: SparkSession, path: str | list[str], glob: str | None = "*.csv") -> DataFrame:
+    """Before/after result files, whose constraint is a word."""
+    return read_results(spark, path, glob, schemas.FIX_RESULT)
 
 
 def union_files(frames: list[DataFrame]) -> DataFrame:

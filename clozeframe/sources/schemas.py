@@ -59,6 +59,11 @@ PRIMING_RESULT = StructType(
 
 LEGACY_PRIMING_RESULT = StructType(LEGACY_STIMULI.fields + _metric_fields(CONDITIONS, best=False))
 
+# Before/after files hold the constraint as a word.
+FIX_RESULT = StructType(
+    [StructField(f.name, StringType() if f.name == "constraint" else f.dataType, True) for f in LEGACY_PRIMING_RESULT.fields]
+)
+
 CONSTRAINT_RESULT = StructType(STIMULI.fields + _fields(["constraint", "entropy"], DoubleType))
 
 ENTROPY_RESULT = StructType(_fields(["context"], StringType) + _fields(["constraint", "entropy"], DoubleType))
