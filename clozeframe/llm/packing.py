@@ -28,7 +28,7 @@ from clozeframe.llm.common import flat_words, ragged, slices
 END_ID = 1
 CAPACITY = 2048
 # Words whose ids a task remembers; beyond that it starts anew.
-REMEMBERED_WORDS = 1_000_000
+REMEMBERED_WORDS = 300_000
 
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"

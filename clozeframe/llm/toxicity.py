@@ -113,13 +113,13 @@ def decay(share: np.ndarray, scores: np.ndarray) -> float:
     return low
 
 
-def segment_scores(docs: DataFrame, scores: dict[str, float], decay_rate: float, k: float) -> DataFrame:
-    """``docs`` (with a column ``text``) and columns n_tokens, passages (significant), best, total.
+def segment_scores(docs: DataFrame, scores: dict[str, float], decay_rate: float, k: float, keep: bool = False) -> DataFrame:
+    """``docs`` (with a column ``text``, which only ``keep`` passes on) and columns n_tokens, passages (significant), best, total.
 
     best and total are minus the log E-values of the best segment and summed over significant ones, floored at -20.
     """
     names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if keep or f.name != "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64())]))
@@ -145,9 +145,10 @@ def segment_scores(docs: DataFrame, scores: dict[str, float], decay_rate: float,
                         if e <= SIGNIFICANT:
                             total[i] -= math.log(max(e, 1e-300))
                             passages[i].append({"first": int(at[a] - offsets[i]), "last": int(at[b] - offsets[i]), "score": s, "e_value": e})
-                arrays = [part.column(c) for c in names if c != "text"]
+                passed = [c for c in names if keep or c != "text"]
+                arrays = [part.column(c) for c in passed]
                 arrays += [pa.array(sizes, pa.int64()), pa.array(passages, kind), pa.array(best), pa.array(total)]
-                yield pa.RecordBatch.from_arrays(arrays, [c for c in names if c != "text"] + ["n_tokens", "passages", "best", "total"])
+                yield pa.RecordBatch.from_arrays(arrays, passed + ["n_tokens", "passages", "best", "total"])
 
     return docs.mapInArrow(run, ", ".join(x for x in (schema, SCORED) if x))
 
@@ -162,12 +163,12 @@ class Model:
     def __init__(self, scores: dict[str, float], decay_rate: float, k: float, weights: list[float], bias: float):
         self.scores, self.decay, self.k, self.weights, self.bias = scores, decay_rate, k, weights, bias
 
-    def apply(self, docs: DataFrame) -> DataFrame:
-        """``docs`` without text, with n_tokens, passages, best, total and the chance ``score``."""
+    def apply(self, docs: DataFrame, keep: bool = False) -> DataFrame:
+        """``docs`` (without text unless ``keep``), with n_tokens, passages, best, total and the chance ``score``."""
         total = F.lit(self.bias)
         for w, x in zip(self.weights, _evidence(), strict=True):
             total = total + F.lit(w) * x
-        return segment_scores(docs, self.scores, self.decay, self.k).withColumn("score", 1.0 / (1.0 + F.exp(-total)))
+        return segment_scores(docs, self.scores, self.decay, self.k, keep).withColumn("score", 1.0 / (1.0 + F.exp(-total)))
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -217,6 +218,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` with a score below the threshold, with all their columns."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    scored_rows = learn(docs, labels).apply(docs.select(row, "text"))
-    return scored_rows.where(F.col("score") < threshold).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    rest = [c for c in docs.columns if c != "text"]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row")
+    found = learn(docs, labels).apply(docs.select(row, "text"), keep=True).where(F.col("score") < threshold)
+    return found.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
