@@ -35,8 +35,10 @@ KEY = ["doc_key", "text_key"]
 
 def _masked(line: Column) -> Column:
     """The line with single spaces and a wildcard for every word that has a digit."""
-    plain = F.regexp_replace(F.trim(line), SPACES, " ")
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(plain)
+    spaced = F.regexp_replace(F.trim(line), SPACES, " ")
+    wild = F.regexp_replace(spaced, "[^ ]*[0-9][^ ]*", "<*>")
+    # Most lines have neither digits nor other white space than single spaces.
+    return F.when(line.rlike(r"[0-9\x09-\x0D]|\x20\x20"), wild).otherwise(F.trim(line))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -46,11 +48,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Long enough lines: key, at (position), masked line, n_words, n_chars, leaf."""
+    """Long enough lines: key, at (position), masked line, n_words, leaf.  Lines with too few words are still there."""
     lines = _keyed(docs).select(*KEY, F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    lines = lines.select(*KEY, "at", F.length("line").alias("n_chars"), _masked(F.col("line")).alias("masked"))
+    lines = lines.where(F.length(F.trim("line")) >= MIN_CHARS).select(*KEY, "at", _masked(F.col("line")).alias("masked"))
     lines = lines.withColumn("n_words", F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1)
-    lines = lines.where((F.col("n_words") >= MIN_WORDS) & (F.length("masked") >= MIN_CHARS))
     return lines.withColumn("leaf", F.xxhash64("n_words", F.substring_index("masked", " ", LEADING)))
 
 
@@ -74,7 +75,8 @@ def _templates(docs: DataFrame, shared: DataFrame) -> DataFrame:
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(key, drop: positions of recurring lines, dropped_chars) of every text that has one."""
-    slim = kept(_lines(docs).select(*KEY, "at", "n_chars", "leaf", F.xxhash64("masked").alias("line")))
+    # The word limit is applied to the kept rows: pushed below, it would mask every line once more.
+    slim = kept(_lines(docs).select(*KEY, "at", "n_words", "leaf", F.xxhash64("masked").alias("line"))).where(F.col("n_words") >= MIN_WORDS)
     # Leaves with different lines, in which wildcards can be found.
     per_line = slim.groupBy("leaf", "line").agg(F.count("*").alias("n"))
     shared = per_line.groupBy("leaf").agg(F.count("*").alias("different"), F.sum("n").alias("n_lines"))
@@ -103,11 +105,13 @@ def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFr
     rows = rows.join(right, (F.col("_line_doc") == F.col("_right_doc")) & (F.col("_line_key") == F.col("_right_key")), "left")
     lines = F.split("_line_text", "\n")
     left = F.filter(lines, lambda x, i: ~F.array_contains("_line_drop", i))
-    less = F.array_join(left, "\n")
-    apply = F.col("_line_drop").isNotNull() & (F.length(less) >= (1 - COPY) * F.length("_line_text"))
-    kept_text = F.when(apply, less).otherwise(F.col("_line_text"))
+    # NULL where too much would go.
+    less = bind(F.array_join(left, "\n"), lambda t: F.when(F.length(t) >= (1 - COPY) * F.length("_line_text"), t))
+    rows = rows.withColumn("_line_less", F.when(F.col("_line_drop").isNotNull(), less))
+    kept_text = F.coalesce("_line_less", "_line_text")
     out = [(kept_text if c == "text" else F.col(f"_line_row.`{c}`")).alias(c) for c in docs.columns]
-    return rows.select(*out, F.when(apply, F.size("_line_drop")).otherwise(F.lit(0)).cast("long").alias("_line_drops"))
+    drops = F.when(F.col("_line_less").isNotNull(), F.size("_line_drop")).otherwise(F.lit(0))
+    return rows.select(*out, drops.cast("long").alias("_line_drops"))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
