@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 from clozeframe.functions.measures import ColumnLike, as_column, finite
 from clozeframe.operators.joins import join_on_group, small_table
+from clozeframe.session import computed_once
 
 # Bins per doubling of magnitude, and the smallest magnitude told apart from zero.  Doubles above it
 # and up to its inverse give at most 2 * 80 * 1024 bins.
 BINS_PER_OCTAVE = 1024
 SMALLEST = 2.0**-40
+# Equal parts that the values of a bin are dealt to.
+PARTS = 256
 
 
 def order_bin(value: ColumnLike) -> Column:
@@ -37,22 +40,44 @@ def value_counts(df: DataFrame, by: list[str], value: ColumnLike, **counts: Colu
     )
 
 
-def running_counts(counts: DataFrame, by: list[str]) -> DataFrame:
+def ranged(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Value counts with their ``bin`` and ``part``: the bin of the magnitude, and one of ``PARTS`` equal parts of the range that
+    the group's values have in that bin.
+
+    The bins tell magnitudes apart whatever the spread, the parts tell apart values that are close together whatever
+    their magnitude, so rows of a group spread over many (bin, part) unless they are equal.
+    """
+    binned = counts.withColumn("bin", order_bin("value"))
+    ranges = binned.groupBy(*by, "bin").agg(F.min("value").alias("_least"), F.max("value").alias("_most"))
+    placed = join_on_group(binned, small_table(ranges), [*by, "bin"])
+    share = F.try_divide(F.col("value") - F.col("_least"), F.col("_most") - F.col("_least"))
+    part = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * PARTS), F.lit(PARTS - 1)).cast("int")
+    return placed.withColumn("part", part).drop("_least", "_most")
+
+
+def running_counts(counts: DataFrame, by: list[str], measured: bool = True) -> DataFrame:
     """Adds ``before``, the number of rows with a smaller value in the group, to value counts.
 
-    Group and bin form one struct key, so that the running count in a bin and the join to the bin's
-    offset share one partitioning.
+    Group, bin and part form one struct key, so that the running count in a part and the join to its offset
+    share one partitioning.  Offsets are running sums over the bins of a group and over the parts of a
+    bin, both of bounded number.  ``measured=False`` starts no job to find the parts: each bin is one part.
     """
-    binned = counts.withColumn("_key", F.struct(*by, order_bin("value").alias("bin")))
-    per_bin = binned.groupBy("_key").agg(F.sum("n").alias("_rows"))
+    parts = ranged(computed_once(counts), by) if measured else counts.withColumns({"bin": order_bin("value"), "part": F.lit(0)})
+    placed = parts.withColumn("_key", F.struct(*by, "bin", "part")).drop("bin", "part")
+    per_part = placed.groupBy("_key").agg(F.sum("n").alias("_rows"))
+    group = [F.col(f"_key.{k}") for k in by]
+    earlier_parts = Window.partitionBy(*group, "_key.bin").orderBy("_key.part").rowsBetween(Window.unboundedPreceding, -1)
+    per_part = per_part.withColumn("_in_bin", F.coalesce(F.sum("_rows").over(earlier_parts), F.lit(0)))
+    bin_key = F.struct(*group, F.col("_key.bin").alias("bin")).alias("_bin")
+    per_bin = per_part.groupBy(bin_key).agg(F.sum("_rows").alias("_rows"))
     earlier_bins = (
-        Window.partitionBy(*[F.col(f"_key.{k}") for k in by])
-        .orderBy("_key.bin")
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*[F.col(f"_bin.{k}") for k in by]).orderBy("_bin.bin").rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = per_bin.select("_key", F.coalesce(F.sum("_rows").over(earlier_bins), F.lit(0)).alias("_offset"))
-    in_bin = Window.partitionBy("_key").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    local = binned.withColumn("_local", F.coalesce(F.sum("n").over(in_bin), F.lit(0)))
+    before_bin = per_bin.select("_bin", F.coalesce(F.sum("_rows").over(earlier_bins), F.lit(0)).alias("_before_bin"))
+    offsets = per_part.select("_key", "_in_bin", bin_key).join(before_bin, "_bin")
+    offsets = offsets.select("_key", (F.col("_in_bin") + F.col("_before_bin")).alias("_offset"))
+    in_part = Window.partitionBy("_key").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.withColumn("_local", F.coalesce(F.sum("n").over(in_part), F.lit(0)))
     joined = local.join(offsets, "_key")
     return joined.withColumn("before", F.col("_offset") + F.col("_local")).drop("_key", "_offset", "_local")
 

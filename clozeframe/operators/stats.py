@@ -237,11 +237,11 @@ def _two_samples(df: DataFrame, by: list[str], a: ColumnLike, b: ColumnLike) ->
     return value_counts(sides, by, "v", na=F.count_if(F.col("first")), nb=F.count_if(~F.col("first")))
 
 
-def _rank_sums(counts: DataFrame, by: list[str]) -> DataFrame:
+def _rank_sums(counts: DataFrame, by: list[str], measured: bool = True) -> DataFrame:
     """by, n_x, n_y, statistic, sigma from value counts (columns value, n, na, nb)."""
     n = F.col("n").cast("double")
     mid_rank = F.col("before") + (n + 1.0) / 2.0
-    sums = running_counts(counts, by).groupBy(*by).agg(
+    sums = running_counts(counts, by, measured).groupBy(*by).agg(
         F.sum("na").alias("n_x"),
         F.sum("nb").alias("n_y"),
         F.sum(F.col("na") * mid_rank).alias("_ranks"),
@@ -356,7 +356,7 @@ def shift_estimates(
         dz = F.col("statistic") - F.col("n_x").cast("double") * F.col("n_y") / 2.0
         correct = F.coalesce(fixed[F.col("_root")], F.signum(dz) * 0.5)
         crossing = (
-            _rank_sums(shifted, key)
+            _rank_sums(shifted, key, measured=False)
             .withColumn("_above", F.coalesce(ratio(dz - correct, "sigma"), F.lit(0.0)) > quantile[F.col("_root")])
             .groupBy(*by, "_root")
             .agg(F.coalesce(F.max(F.when(F.col("_above"), F.col("_cut"))), F.lit(0)).alias("_section"))

@@ -2,6 +2,8 @@
 from clozeframe.sources.provenance import parse_provenance
 from clozeframe.sources.readers import (
     read_contexts,
+    read_csv,
+    read_fix_results,
     read_legacy_stimuli,
     read_lexicon,
     read_results,
@@ -15,6 +17,8 @@ from clozeframe.sources.writers import write_table
 __all__ = [
     "parse_provenance",
     "read_contexts",
+    "read_csv",
+    "read_fix_results",
     "read_legacy_stimuli",
     "read_lexicon",
     "read_results",

@@ -212,3 +212,17 @@ def test_neutral_and_bins(spark):
     assert one(spark, neutral, measures.neutral_constraint(lit("x"), lit(0.4))) == (0.0, 0.4)
     df = spark.createDataFrame([(0.0,), (0.1,), (0.11,), (1.0,), (None,)], "constraint double")
     assert [r[0] for r in df.select(measures.bin_constraint()).collect()] == [1, 1, 2, 10, None]
+
+
+def test_null_keys_match_in_natural_joins(spark):
+    keys = "target string, related string, unrelated string, relation string, context string"
+    rows = [("a", "b", "c", None, "x"), ("a", "b", "c", "r", "x")]
+    results = spark.createDataFrame(rows, keys)
+    scores = spark.createDataFrame([(*r, float(i)) for i, r in enumerate(rows)], keys + ", constraint double")
+    got = joins.join_constraint(results, scores).select("relation", "constraint").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, 0.0), ("r", 1.0)], key=str)
+
+
+def test_levels_keep_null(spark):
+    df = spark.createDataFrame([("a", 1), (None, 3), ("b", 2)], "name string, n int")
+    assert {r["name"]: r["name_ord"] for r in reshape.with_levels(df, "name", "n").collect()} == {None: 1, "b": 2, "a": 3}

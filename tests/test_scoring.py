@@ -9,8 +9,15 @@ from pyspark.sql import functions as F
 
 from clozeframe.operators import cloze, corpus, scoring, stimuli
 from clozeframe.plans.catalog_text import LengthScorer
-from clozeframe.plans.experiment import run_constraint, run_experiments, run_priming, run_priming_cloze
-from clozeframe.sources.schemas import CONSTRAINT_RESULT, PRIMING_RESULT
+from clozeframe.plans.experiment import (
+    run_constraint,
+    run_entropy,
+    run_experiments,
+    run_legacy,
+    run_priming,
+    run_priming_cloze,
+)
+from clozeframe.sources.schemas import CONSTRAINT_RESULT, ENTROPY_RESULT, LEGACY_PRIMING_RESULT, PRIMING_RESULT
 
 STIMULI = [
     ("cat", "dog", "pen", "category", "[CLS] the [MASK] sat . [SEP]"),
@@ -128,3 +135,53 @@ def test_sparse_metrics_with_huge_scores_and_ties(spark):
     out = {r.k: r for r in scoring.dist_metrics_long(df, ["k"], "t", "s", F.lit("w2")).collect()}
     assert (out["a"].argmax, out["a"].maxprob, out["a"].rank) == ("w1", 0.5, 3) and out["a"].entropy == pytest.approx(1.0)
     assert out["b"].rank is None and out["b"].maxprob == 1.0
+
+
+def test_entropy_run(spark):
+    contexts = spark.createDataFrame([("[CLS] a [MASK] b [SEP]", 0.5)] * 2 + [("[CLS] [MASK] [SEP]", None)], "context string, constraint double")
+    out = run_entropy(contexts, LengthScorer)
+    assert out.columns == ENTROPY_RESULT.fieldNames()
+    got = {r.context: (r.constraint, r.entropy) for r in out.collect()}
+    for context, mask, constraint in (("[CLS] a [MASK] b [SEP]", 2, 0.5), ("[CLS] [MASK] [SEP]", 1, None)):
+        assert got[context] == (constraint, pytest.approx(direct(context, mask, "x")[4]))
+
+
+def test_legacy_run(spark):
+    row = (1, 0.5, "cat", "dog", "pen", "[CLS] the [MASK] . [SEP]", "[CLS] dog. the [MASK] . [SEP]", "[CLS] pen. the [MASK] . [SEP]")
+    schema = "category int, constraint double, target string, related string, unrelated string, isolated_context string, related_context string, unrelated_context string"
+    out = run_legacy(spark.createDataFrame([row, row], schema), LengthScorer)
+    assert out.columns == LEGACY_PRIMING_RESULT.fieldNames()
+    rows = out.collect()
+    assert len(rows) == 2 and rows[0] == rows[1]
+    for name, context, mask in (("isolated", row[5], 2), ("related", row[6], 4), ("unrelated", row[7], 4)):
+        p, rank, *_ = direct(context, mask, "cat")
+        assert (rows[0][f"{name}_probability"], rows[0][f"{name}_rank"]) == (pytest.approx(p), rank)
+
+
+class WideScorer(LengthScorer):
+    size = 30_000
+
+    def index_of(self, words):
+        return np.array([int(w[1:]) for w in words])
+
+
+def test_many_words_of_one_context(spark):
+    """A context with 10,000 words: memory follows from the vocabulary, not from the words."""
+    import resource
+
+    rows = spark.range(10_000).select(
+        F.lit("[CLS] a [MASK] b [SEP]").alias("cloze"), F.lit(2).alias("mask_index"), F.concat(F.lit("w"), "id").alias("target")
+    )
+
+    def peak(frames):
+        import pandas as pd
+
+        for f in frames:
+            yield pd.DataFrame({"mb": [resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024] * len(f), "rank": f["target_rank"]})
+
+    scored = scoring.score(rows, WideScorer, ["target"])
+    got = scored.select("target_rank").mapInPandas(peak, "mb double, rank int").agg(F.max("mb"), F.count("rank")).first()
+    s = WideScorer()(["[CLS] a [MASK] b [SEP]"], np.array([2]))[0]
+    some = scored.where("target = 'w77'").first()
+    assert got[1] == 10_000 and got[0] < 900
+    assert some.target_rank == (s > s[77]).sum() + 1

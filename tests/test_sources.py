@@ -25,13 +25,58 @@ def test_stimuli(spark, tmp_path):
 def test_lexicon_missing_norms(spark, tmp_path):
     head = ",".join(schemas.LEXICON.fieldNames())
     path = write(tmp_path, "l.csv", f"{head}\nNA,dog,pen,category,w,NA,1.5\ncat,dog,pen,,w,NaN,\n")
-    rows = sources.read_lexicon(spark, path).orderBy("target").collect()
+    rows = sources.read_lexicon(spark, path).orderBy(F.col("target").asc_nulls_first()).collect()
     assert [(r.target, r.relation, r.delta_200ms, r.delta_1200ms) for r in rows] == [
-        ("NA", "category", None, 1.5),
+        (None, "category", None, 1.5),
         ("cat", None, None, None),
     ]
 
 
+def test_stimuli_keep_the_word_na(spark, tmp_path):
+    path = write(tmp_path, "s.csv", "target,related,unrelated,relation,context\nNA,dog,pen,category,c\n")
+    assert sources.read_stimuli(spark, path).first().target == "NA"
+
+
+def test_unreadable_numbers_are_errors(spark, tmp_path):
+    head = ",".join(schemas.LEXICON.fieldNames())
+    path = write(tmp_path, "l.csv", f"{head}\ncat,dog,pen,category,w,high,1.5\n")
+    with pytest.raises(Exception, match="no number in column delta_200ms: high"):
+        sources.read_lexicon(spark, path).collect()
+
+
+def test_columns_by_header(spark, tmp_path):
+    names = schemas.LEXICON.fieldNames()[::-1]
+    path = write(tmp_path, "l.csv", ",".join(names) + "\n1.5,2.5,w,category,pen,dog,cat\n")
+    row = sources.read_lexicon(spark, path).first()
+    assert (row.target, row.delta_200ms, row.delta_1200ms) == ("cat", 2.5, 1.5)
+    short = write(tmp_path, "short.csv", "target,prime\ncat,dog\n")
+    with pytest.raises(Exception, match="unrelated"):
+        sources.read_lexicon(spark, short).collect()
+
+
+def test_files_with_different_headers_are_errors(spark, tmp_path):
+    names = schemas.LEGACY_PRIMING_RESULT.fieldNames()
+    write(tmp_path, "results/m-uncased_word_10.csv", ",".join(names) + "\n" + result_line(1, "a"))
+    swapped = [*names[:2], names[3], names[2], *names[4:]]
+    write(tmp_path, "results/n-uncased_word_10.csv", ",".join(swapped) + "\n" + result_line(1, "a"))
+    with pytest.raises(Exception, match="header|HEADER"):
+        sources.read_results(spark, str(tmp_path / "results")).collect()
+
+
+def test_fix_results_keep_the_constraint_word(spark, tmp_path):
+    head = ",".join(schemas.FIX_RESULT.fieldNames()) + "\n"
+    lines = "".join(result_line(1, t).replace(",0.5,", f",{c},") for t, c in (("a", "high"), ("b", "low"), ("c", "NA")))
+    write(tmp_path, "fix/m-uncased_prior_fix.csv", head + lines)
+    rows = sources.read_fix_results(spark, str(tmp_path / "fix")).orderBy("target").collect()
+    assert [r.constraint for r in rows] == ["high", "low", None]
+
+
+def test_line_breaks_in_quotes(spark, tmp_path):
+    path = write(tmp_path, "s.csv", 'target,related,unrelated,relation,context\ncat,dog,pen,category,"a\nb"\n')
+    rows = sources.read_csv(spark, path, schemas.STIMULI, multi_line=True).collect()
+    assert [r.context for r in rows] == ["a\nb"]
+
+
 def result_line(category, target):
     return f"{category},0.5,{target},r,u,c,rc,uc,0.1,3,0.2,2,NaN,1\n"
 

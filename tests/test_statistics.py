@@ -260,3 +260,14 @@ def test_constant_predictor_has_no_test(spark):
     df = spark.createDataFrame([(i % 5, 2.0, float(i * i % 7)) for i in range(30)], "g int, x double, y double")
     row = mixed.lmm_lrt(df.withColumn("cell", F.lit(1)), ["cell"], "y", "x", "g").first()
     assert row.statistic is None and row.p_value is None
+
+
+@pytest.mark.parametrize("low, width", [(1e6, 1.0), (0.0, 1e-13), (-5.0, 10.0)])
+def test_close_values_spread_over_parts(spark, low, width):
+    df = spark.range(20_000).select(F.lit("g").alias("g"), (F.lit(low) + F.col("id") * (width / 20_000)).alias("x"))
+    counts = ordered.value_counts(df, ["g"], "x")
+    dealt = ordered.ranged(counts, ["g"]).groupBy("bin", "part").count()
+    most, cells = dealt.agg(F.max("count"), F.count("count")).first()
+    assert cells >= 200 and most < 400
+    wrong = ordered.running_counts(counts, ["g"]).withColumn("rank", F.round((F.col("value") - low) / (width / 20_000)))
+    assert wrong.where("before <> rank").count() == 0
