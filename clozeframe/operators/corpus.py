@@ -62,6 +62,6 @@ def sample_per_key(
     Rows are ordered by a seeded hash of their id columns.  Spark keeps only the first n rows per key
     in each map task before the shuffle, so a frequent key sends few rows to its reducer.
     """
-    order = [F.xxhash64(F.lit(seed), F.col(key), *ids), *[F.col(c) for c in ids]]
+    order = [F.md5(F.concat_ws("|", F.lit(str(seed)), key, *[F.col(c).cast("string") for c in ids]).cast("binary")), *[F.col(c) for c in ids]]
     window = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("_pick", F.row_number().over(window)).where(F.col("_pick") <= n).drop("_pick")

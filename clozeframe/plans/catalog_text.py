@@ -98,7 +98,10 @@ def carrier_sample_sizes(v):
     return _sample(v).groupBy("target").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""
+    select target, array_to_string(tokens, ' ') as sentence
+    from (select *, row_number() over (partition by target order by md5(concat_ws('|', '{corpus.SEED}', target, doc_id, line)), doc_id, line) as r
+          from carriers) join sents using (doc_id, line) where r <= {corpus.SAMPLE_SIZE}""")
 def carrier_sample(v):
     return _sample(v).select("target", text.join_tokens("tokens").alias("sentence"))
 
@@ -308,16 +311,6 @@ def batch_scoring(v):
     return scoring.prime_metrics(long, LengthScorer).drop("cloze", "mask_index", "target", "related")
 
 
-@query()
-def priming_results_batch(v):
-    return run_priming(v.stimuli, LengthScorer, "sentence")
-
-
-@query()
-def constraint_results_batch(v):
-    return run_constraint(v.stimuli, LengthScorer)
-
-
 _CONTEXT_SCORES = f"""
     select *, exp(s) / sum(exp(s)) over (partition by cloze) as p
     from (select cloze, j, ((length(cloze) * 31 + cast(len({sql_context_tokens("string_split(cloze, '[MASK]')[1]")}) as integer) * 7
@@ -337,6 +330,55 @@ def entropy_results_batch(v):
     return run_entropy(contexts, LengthScorer)
 
 
+@query(
+    f"""with asked as (select distinct context as cloze from stimuli),
+             answers as (select cloze, max(p) as "constraint", sum(-p * log2(p)) as entropy from ({_CONTEXT_SCORES}) group by cloze)
+        select target, related, unrelated, relation, context, "constraint", entropy from stimuli join answers on context = cloze""",
+    "constraint entropy",
+)
+def constraint_results_batch(v):
+    return run_constraint(v.stimuli, LengthScorer)
+
+
+def _priming_batch_sql() -> str:
+    before = text.PRIME_TEMPLATES["sentence"].split("{}")[0]
+    cells = [
+        f"max({source}) filter (where condition = '{c}') as {c}_{name}"
+        for c in ("isolated", "related", "unrelated")
+        for name, source in (("probability", "tp"), ("rank", "target_rank"), ("argmax", "argmax"), ("maxprob", "maxprob"))
+    ]
+    cells += [
+        f"max({source}) filter (where condition = '{c}') as rp_{c}_{name}"
+        for c in ("isolated", "related")
+        for name, source in (("probability", "rp"), ("rank", "related_rank"))
+    ]
+    return f"""with placed as (
+            select target, related, unrelated, relation, context, replace(context, '[CLS]', '{before}' || related || '.') as related_context,
+                   replace(context, '[CLS]', '{before}' || unrelated || '.') as unrelated_context, row_number() over () as id from stimuli),
+        long as (select id, target, related, unnest(['isolated', 'related', 'unrelated']) as condition,
+                        unnest([context, related_context, unrelated_context]) as cloze from placed),
+        asked as (select distinct cloze from long),
+        scores as materialized ({_CONTEXT_SCORES}),
+        own as (select id, condition, j, p, max(p) filter (where j = length(target) % 16) over w as tp,
+                       max(p) filter (where j = length(related) % 16) over w as rp
+                from long join scores using (cloze) window w as (partition by id, condition)),
+        answers as (select id, condition, max(tp) as tp, cast(count(*) filter (where p > tp) + 1 as integer) as target_rank,
+                           max(rp) as rp, cast(count(*) filter (where p > rp) + 1 as integer) as related_rank,
+                           concat('w', cast(arg_max(j, (p, -j)) as varchar)) as argmax, max(p) as maxprob
+                    from own group by id, condition),
+        wide as (select id, {", ".join(cells)} from answers group by id)
+        select placed.* exclude (id), wide.* exclude (id) from placed join wide using (id)"""
+
+
+@query(
+    _priming_batch_sql(),
+    "isolated_probability isolated_maxprob related_probability related_maxprob unrelated_probability "
+    "unrelated_maxprob rp_isolated_probability rp_related_probability",
+)
+def priming_results_batch(v):
+    return run_priming(v.stimuli, LengthScorer, "sentence")
+
+
 _LEGACY_STIMULI_SQL = """
     select cast(length(related) as integer) as category, length(target) / 10.0::double as "constraint", target, related, unrelated,
            context as isolated_context, replace(context, '[CLS]', '[CLS] ' || related || '.') as related_context,
