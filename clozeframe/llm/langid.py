@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clozeframe.llm.common import held_out, kept, slices
+from clozeframe.llm.common import giving_back, held_out, kept, slices
 
 UNKNOWN = "und"
 # At most so many documents are learnt from, an equal number per language in the order of a hash of their ids; and so many languages.
@@ -156,5 +156,5 @@ def predicted(docs: DataFrame, model: Model | None = None) -> DataFrame:
                         ["doc_id", "lang_pred", "score", "rejected"],
                     )
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double, rejected boolean")
+    found = docs.select("doc_id", "text").mapInArrow(giving_back(run), "doc_id bigint, lang_pred string, score double, rejected boolean")
     return found.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score", "rejected")

@@ -23,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clozeframe.llm.common import flat_words, ragged, slices
+from clozeframe.llm.common import flat_words, giving_back, ragged, slices
 
 END_ID = 1
 CAPACITY = 2048
-# Words whose ids a task remembers; beyond that it starts anew.
-REMEMBERED_WORDS = 300_000
+# Words whose ids a worker remembers (about 150 bytes each); beyond that it starts anew.
+REMEMBERED_WORDS = 1_000_000
 
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -43,9 +43,10 @@ class WordIds:
     commas at their ends; only texts that may hold a special token, which is read before that, stay as they are.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED_WORDS):
         from tokenizers import Tokenizer
 
+        self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(path)
         self.clear()
 
@@ -71,7 +72,7 @@ class WordIds:
         words, offsets = flat_words(self.plain(texts))
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.known) > REMEMBERED_WORDS:
+        if len(self.known) > self.remembered:
             self.clear()
         if unseen := [w for w in distinct if w not in self.known]:
             self.learn(unseen)
@@ -84,9 +85,9 @@ class WordIds:
 
 
 @lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, remembered: int) -> WordIds:
     """One per Python worker, kept from task to task."""
-    return WordIds(path)
+    return WordIds(path, remembered)
 
 
 class Packer:
@@ -183,7 +184,9 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [f.split()[0] for f in SCHEMA.split(", ")])
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, remembered: int = REMEMBERED_WORDS
+) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     NULL and empty texts are the end id alone.  NULL ids stay NULL; repeated rows are packed once each.
@@ -196,7 +199,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        encoder = word_ids(path)
+        encoder = word_ids(path, remembered)
         packer = Packer(TaskContext.get().partitionId() << 40, capacity)
         for batch in batches:
             for part in slices(batch, "text"):
@@ -208,4 +211,4 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
         if (out := packer.take()) is not None:
             yield out
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(giving_back(run), SCHEMA)

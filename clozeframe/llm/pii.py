@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clozeframe.llm.common import kept, slices
+from clozeframe.llm.common import giving_back, kept, slices
 
 KINDS = ("email", "ip", "card", "phone")
 # Texts and regions of text learnt from at most, in the order of a hash.
@@ -250,7 +250,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
     likely = docs.where(F.col("text").rlike(r"[0-9@]"))
     # At most ``TEXTS`` ids: a bounded broadcast.
     chosen = kept(likely.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TEXTS))
-    found = likely.join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(run, "region string").distinct()
+    found = likely.join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(giving_back(run), "region string").distinct()
     rows = kept(found.orderBy(F.xxhash64("region"), "region").limit(sample)).collect()
     return fit(examples([r[0] for r in rows]))
 
@@ -309,4 +309,4 @@ def personal_data(docs: DataFrame, weights: dict[str, float] | None = None) -> D
                     [part.column("doc_id"), *[pa.array(c, pa.string() if n in ("base_sha256", "spans") else pa.int64()) for n, c in zip(names[1:], columns, strict=True)]], names
                 )
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(giving_back(run), SCHEMA)

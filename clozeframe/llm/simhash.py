@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clozeframe.llm.common import flat_words, kept, slices
+from clozeframe.llm.common import flat_words, giving_back, kept, slices
 from clozeframe.llm.graph import components
 
 SEED = 42
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
                 prints = majority(*shingles(part.column("text"), width))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints)], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, fingerprint bigint")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(giving_back(run), "doc_id bigint, fingerprint bigint")
 
 
 def links(prints: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clozeframe.llm.common import bind, flat_words, held_out, kept, slices
+from clozeframe.llm.common import bind, flat_words, giving_back, held_out, kept, slices
 
 # Labelled documents learnt from at most, in the order of a hash of their ids.
 SAMPLE = 20_000
@@ -150,7 +150,7 @@ def segment_scores(docs: DataFrame, scores: dict[str, float], decay_rate: float,
                 arrays += [pa.array(sizes, pa.int64()), pa.array(passages, kind), pa.array(best), pa.array(total)]
                 yield pa.RecordBatch.from_arrays(arrays, passed + ["n_tokens", "passages", "best", "total"])
 
-    return docs.mapInArrow(run, ", ".join(x for x in (schema, SCORED) if x))
+    return docs.mapInArrow(giving_back(run), ", ".join(x for x in (schema, SCORED) if x))
 
 
 def _evidence() -> list:
