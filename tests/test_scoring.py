@@ -158,17 +158,17 @@ def test_legacy_run(spark):
         assert (rows[0][f"{name}_probability"], rows[0][f"{name}_rank"]) == (pytest.approx(p), rank)
 
 
-class WideScorer(LengthScorer):
-    size = 30_000
-
-    def index_of(self, words):
-        return np.array([int(w[1:]) for w in words])
-
-
 def test_many_words_of_one_context(spark):
     """A context with 10,000 words: memory follows from the vocabulary, not from the words."""
     import resource
 
+    # Defined here, so that workers get the class itself.
+    class WideScorer(LengthScorer):
+        size = 30_000
+
+        def index_of(self, words):
+            return np.array([int(w[1:]) for w in words])
+
     rows = spark.range(10_000).select(
         F.lit("[CLS] a [MASK] b [SEP]").alias("cloze"), F.lit(2).alias("mask_index"), F.concat(F.lit("w"), "id").alias("target")
     )
