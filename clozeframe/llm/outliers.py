@@ -22,8 +22,9 @@ STEPS = 4
 MIN_GROUP = 200
 # Chi-squared distribution, 5 degrees of freedom: median, and the 0.9999 quantile beyond which a document is rejected.
 MEDIAN, CUTOFF = 4.351, 25.745
-# Least standard deviations of the transformed statistics, so that a constant one rejects no small change.
-FLOOR = (0.35, 0.12, 0.5, 0.5, 0.5)
+# Least standard deviations of the transformed statistics, so that a constant one rejects no small change.  For the shares it is a third
+# of what one repeat makes in a short text (a repeated window in 50 words, a line in 10): the estimated covariance decides on more.
+FLOOR = (0.35, 0.12, 0.25, 0.25, 0.25)
 P = len(FLOOR)
 BINS_PER_OCTAVE = 16
 KEYS = ["g_lang", "g_source", "g_small"]

@@ -290,3 +290,15 @@ def test_statistics_of_repeated_windows(spark):
     got = with_statistics(frame(spark, [(i, t, None, None) for i, t in enumerate(texts)]).select("doc_id", "text", F.lit(1).alias("_words"))).select("doc_id", "stats.*").toPandas().set_index("doc_id")
     for i, t in enumerate(texts):
         assert got.loc[i, ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]].tolist() == base_statistics(t)
+
+
+@pytest.mark.parametrize("kind", ["lines", "words"])
+def test_repetition_under_the_base_limit_is_an_outlier(spark, kind):
+    rng = random.Random(12)
+    line = lambda: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(10))
+    rows = [(i, "\n".join(line() for _ in range(20)), "en", "a") for i in range(300)]
+    own, again = [line() for _ in range(11)], line()
+    rows.append((900, "\n".join(own + [again] * 9) if kind == "lines" else "\n".join([*own, " ".join([again] * 9)]), "en", "a"))
+    got = outliers.quality_rules(frame(spark, rows)).toPandas().set_index("doc_id")
+    assert not got.base_failed.any() and got.n_repeat_words[900] == 90 and (got.n_dup_lines[900] > 0) == (kind == "lines")
+    assert not got.kept[900] and got.kept.drop(900).all()
