@@ -79,6 +79,22 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def hash_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """At most ``limit`` rows in the order of a hash of the key (distinct); all if there are no more.
+
+    The hashes below a threshold that the number of rows gives are a little more than enough, and only these are sorted.
+    """
+    rows = kept(rows)
+    n = rows.count()
+    if n <= limit:
+        return rows
+    share = min(1.0, (limit + 6 * limit**0.5 + 50) / n)
+    # xxhash64 is spread evenly over all longs.
+    bound = round(-(2.0**63) + share * 2.0**64)
+    hashed = F.xxhash64(key)
+    return rows.where(hashed <= F.lit(min(bound, 2**63 - 1))).orderBy(hashed, key).limit(limit)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most ``limit`` bytes of text, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

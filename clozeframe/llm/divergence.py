@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clozeframe.llm.common import flat_words, giving_back, kept, slices
+from clozeframe.llm.common import attach, flat_words, giving_back, kept, slices
 
 MIN_DOCS = 10
 TOP = 10
@@ -184,7 +184,7 @@ def shards(names: DataFrame, shard_terms: int = SHARD_TERMS) -> DataFrame:
 
     out = "lang string, n_shards bigint, shard bigint, n bigint, words binary, sizes array<bigint>, terms string, unparted bigint"
     columns = [f.split()[0] for f in out.split(", ")]
-    dealt = names.join(F.broadcast(totals) if totals.limit(50_001).count() <= 50_000 else totals, "lang").withColumn("shard", shard)
+    dealt = attach(names, kept(totals), ["lang"]).withColumn("shard", shard)
     made = dealt.groupBy("lang", "shard").applyInPandas(build, out)
     return kept(made)
 
@@ -344,11 +344,11 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, shard_terms
     block = F.expr("slot div width")
     last = F.greatest(F.lit(0), F.expr("(n_terms - 1) div width"))
     per_lang = ["lang", "n_terms", "width"]
-    named_sources = groups.join(langs, "lang").select(*per_lang, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"), F.lit(0).alias("kind"), F.col("source").alias("name"), F.lit(0).cast("long").alias("slot"), "n")
+    named_sources = attach(groups, langs, ["lang"]).select(*per_lang, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"), F.lit(0).alias("kind"), F.col("source").alias("name"), F.lit(0).cast("long").alias("slot"), "n")
     stored = made.join(places, ["lang", "shard"]).select("lang", "first", F.posexplode(F.split("terms", " ")).alias("at", "name"))
-    stored = stored.select("lang", "name", (F.col("first") + F.col("at")).alias("slot")).join(langs, "lang")
+    stored = attach(stored.select("lang", "name", (F.col("first") + F.col("at")).alias("slot")), langs, ["lang"])
     stored = stored.select(*per_lang, block.alias("block"), F.lit(1).alias("kind"), "name", "slot", F.lit(0).cast("long").alias("n"))
-    cell_rows = counts.join(langs, "lang").select(*per_lang, block.alias("block"), F.lit(2).alias("kind"), F.col("source").alias("name"), "slot", "n")
+    cell_rows = attach(counts, langs, ["lang"]).select(*per_lang, block.alias("block"), F.lit(2).alias("kind"), F.col("source").alias("name"), "slot", "n")
     rows = named_sources.unionByName(stored).unionByName(cell_rows)
     out = "lang string, source string, part string, item string, value bigint"
     found = kept(rows.groupBy("lang", "block").applyInPandas(lambda pdf: compared(pdf, top), out))

@@ -1,13 +1,18 @@
 """Line deduplication with a log-template tree.
 
-Words with a digit are variable fields.  The tree has a fixed depth: a line goes to the leaf of its number of words and its
-first three words (variable ones as a wildcard).  In a leaf, a word is constant at its position if enough lines of the leaf have it
-there; the others become wildcards, and lines with the same constants have the same template.  A template found in at
-least ``MIN_DOCS`` documents is recurring, and its lines are dropped.  A text that mostly consists of recurring lines is a
-copy of another as a whole, which is left to near-duplicate removal: it keeps all lines.
-
-Lines are shuffled as hashes, never as text.  Equal lines of a document count once.  All counts combine before the shuffle, and the
-table of recurring templates is broadcast only when its measured size allows.
+Words with a digit are variable fields.  The tree has a fixed depth: a line goes to the node of its number of words and its first
+three words (variable ones as a wildcard).  Below it a line has the template of all its words and ``PARTS`` templates in which one
+part of its words, a fifth of them, is a variable field (the first part covers leading words, so that template hangs on the wildcard
+child).  So lines that differ inside one part meet in a template, whatever else is in their node.
+
+A template is recurring if it is in enough *families* of texts: two for long lines, ``MIN_DOCS`` for short ones.  Equal texts are one
+text.  Texts that are near copies share their other lines too: each text has ``SKETCHES`` least hashes of its nodes, those of the line itself
+left out, and for each of them the number of distinct values says how many families the texts of a template fall into.  The smallest
+of these numbers counts, and it must be over ``SHARE`` of the texts, so a group of near copies of any size keeps its lines for near-duplicate
+removal, while a line that different texts share goes.
+
+Lines are shuffled as hashes, never as text.  All counts combine before the shuffle, and a table of recurring templates is broadcast
+only when its measured size allows.
 """
 
 from __future__ import annotations
@@ -17,20 +22,20 @@ from pyspark.sql import functions as F
 
 from clozeframe.llm.common import attach, bind, kept
 
-MIN_DOCS = 6
+# Families that make a template recurring, for lines of under and of at least LONG words.
+MIN_DOCS, MIN_LONG, LONG = 6, 2, 20
 # Shorter lines are headings, list items and the like, and recur by chance.
 MIN_WORDS, MIN_CHARS = 3, 15
 LEADING = 3
-# Share of a line's words that a template must hold constant.
-CONSTANT = 0.8
-# Share of a leaf's lines that makes a word constant at its position.
-FREQUENT = 0.1
-# Share of a text in recurring lines beyond which it is a copy.
-COPY = 0.5
+# Parts of a line, one of which may be variable.
+PARTS = 5
+SKETCHES = 4
+# Families per text below which the texts of a template are copies of each other.
+SHARE = 0.5
 BOUND = 200_000
 
 SPACES = r"[\x20\x09-\x0D]+"
-KEY = ["doc_key", "text_key"]
+KEY = ["text_key", "text_size"]
 
 
 def _masked(line: Column) -> Column:
@@ -41,81 +46,87 @@ def _masked(line: Column) -> Column:
     return F.when(line.rlike(r"[0-9\x09-\x0D]|\x20\x20"), wild).otherwise(F.trim(line))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_key"), F.xxhash64("text").alias("text_key"), "text"
-    )
+def _text_key(text: str = "text") -> list[Column]:
+    return [F.xxhash64(text).alias("text_key"), F.octet_length(text).alias("text_size")]
+
+
+def _templates(masked: Column, n_words: Column) -> Column:
+    """Hashes of the line itself and, from ``PARTS`` words on, of its templates with one variable part."""
+
+    def hashes(words: Column) -> Column:
+        edge = lambda i: F.floor(n_words * i / PARTS).cast("int")
+        parts = F.array(*[F.xxhash64(F.lit(i), F.array_join(F.slice(words, edge(i) + 1, edge(i + 1) - edge(i)), " ")) for i in range(PARTS)])
+        without = lambda p, k: F.xxhash64(n_words, F.lit(k), *[p[i] for i in range(PARTS) if i != k])
+        return bind(parts, lambda p: F.array(F.xxhash64(n_words, p), *[without(p, k) for k in range(PARTS)]))
+
+    return F.when(n_words >= PARTS, bind(F.split(masked, " "), hashes)).otherwise(F.array(F.xxhash64(masked)))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Long enough lines: key, at (position), masked line, n_words, leaf.  Lines with too few words are still there."""
-    lines = _keyed(docs).select(*KEY, F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    """Long enough lines as hashes: key of the text, at (position), n_words, node, templates."""
+    lines = docs.select(*_text_key(), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     lines = lines.where(F.length(F.trim("line")) >= MIN_CHARS).select(*KEY, "at", _masked(F.col("line")).alias("masked"))
     lines = lines.withColumn("n_words", F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1)
-    return lines.withColumn("leaf", F.xxhash64("n_words", F.substring_index("masked", " ", LEADING)))
+    node = F.xxhash64("n_words", F.substring_index("masked", " ", LEADING))
+    return lines.select(*KEY, "at", "n_words", node.alias("node"), _templates(F.col("masked"), F.col("n_words")).alias("templates"))
 
 
-def _recurring(rows: DataFrame, name: str, min_docs: int) -> DataFrame:
-    """Values of a column found in at least ``min_docs`` documents (keys)."""
-    return rows.select(name, *KEY).distinct().groupBy(name).count().where(F.col("count") >= min_docs).select(name)
+def _sketches(lines: DataFrame) -> DataFrame:
+    """(key, sketches): for each of ``SKETCHES`` hash functions the two least hashes of the nodes of a text."""
+    nodes = lines.groupBy(*KEY).agg(F.collect_set("node").alias("_nodes"))
+    least = [F.slice(F.array_sort(F.transform("_nodes", lambda n, j=j: F.xxhash64(n, F.lit(j)))), 1, 2) for j in range(SKETCHES)]
+    return nodes.select(*KEY, F.array(*least).alias("sketches"))
 
 
-def _templates(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """key, at, template (NULL below the constant share) of the lines in shared leaves (leaf, n_lines)."""
-    places = lambda masked: F.transform(F.split(masked, " "), lambda w, i: F.xxhash64(w, i))
-    lines = attach(_lines(docs), shared, ["leaf"], BOUND).select(*KEY, "at", "leaf", "n_lines", "n_words", places(F.col("masked")).alias("places"))
-    each = lines.select("leaf", "n_lines", F.explode("places").alias("place")).groupBy("leaf", "place").agg(F.count("*").alias("n"), F.first("n_lines").alias("n_lines"))
-    # At most 1 / FREQUENT words per position of a line.
-    constants = each.where((F.col("n") >= 2) & (F.col("n") >= FREQUENT * F.col("n_lines"))).groupBy("leaf").agg(F.collect_set("place").alias("constants"))
-    lines = attach(lines, kept(constants), ["leaf"], BOUND)
-    hit = F.array_intersect("places", "constants")
-    template = bind(hit, lambda h: F.when(F.size(h) >= CONSTANT * F.col("n_words"), F.xxhash64(F.col("leaf"), F.sort_array(h))))
-    return lines.select(*KEY, "at", template.alias("template"))
+def recurring_templates(lines: DataFrame, shared: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """Templates, out of rows (key, at, n_words, node, template) of shared templates, that are in enough families."""
+    rows = shared.select(*KEY, "node", "n_words", "template").distinct()
+    # A line's own node says nothing about the rest of its text; a text without any other is a family of its own.
+    own = lambda two, j: F.coalesce(F.get(F.filter(two, lambda h: h != F.xxhash64(F.col("node"), j)), F.lit(0)), F.col("text_key"))
+    placed = attach(rows, kept(_sketches(lines)), KEY).select("template", "n_words", F.posexplode(F.transform("sketches", own)).alias("j", "family"))
+    families = placed.groupBy("template", "j", "family").agg(F.count("*").alias("texts"), F.max("n_words").alias("n_words"))
+    counted = families.groupBy("template", "j").agg(F.count("*").alias("families"), F.sum("texts").alias("texts"), F.max("n_words").alias("n_words"))
+    counted = counted.groupBy("template").agg(F.min("families").alias("families"), F.max("texts").alias("texts"), F.max("n_words").alias("n_words"))
+    least = F.when(F.col("n_words") >= LONG, MIN_LONG).otherwise(min_docs)
+    return counted.where((F.col("families") >= least) & (F.col("families") > SHARE * F.col("texts"))).select("template")
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(key, drop: positions of recurring lines, dropped_chars) of every text that has one."""
+    """(key, drop: positions of recurring lines) of every distinct text that has one."""
     # The word limit is applied to the kept rows: pushed below, it would mask every line once more.
-    slim = kept(_lines(docs).select(*KEY, "at", "n_words", "leaf", F.xxhash64("masked").alias("line"))).where(F.col("n_words") >= MIN_WORDS)
-    # Leaves with different lines, in which wildcards can be found.
-    per_line = slim.groupBy("leaf", "line").agg(F.count("*").alias("n"))
-    shared = per_line.groupBy("leaf").agg(F.count("*").alias("different"), F.sum("n").alias("n_lines"))
-    shared = kept(shared.where((F.col("different") > 1) & (F.col("n_lines") >= min_docs)).drop("different"))
-    templates = kept(_templates(docs, shared).where("template is not null"))
-    same = kept(_recurring(slim, "line", min_docs))
-    alike = kept(_recurring(templates, "template", min_docs))
-    found = attach(slim, same, ["line"], BOUND).select(*KEY, "at").unionByName(attach(templates, alike, ["template"], BOUND).select(*KEY, "at")).distinct()
-    return found.groupBy(*KEY).agg(F.collect_set("at").alias("drop"))
+    lines = kept(_lines(docs)).where(F.col("n_words") >= MIN_WORDS)
+    each = lines.select(*KEY, "at", "n_words", "node", F.explode("templates").alias("template"))
+    # Templates of at least two different texts.
+    shared = each.groupBy("template").agg(F.min("text_key").alias("_a"), F.max("text_key").alias("_b")).where("_a <> _b").select("template")
+    rows = kept(attach(each, kept(shared), ["template"], BOUND))
+    found = kept(recurring_templates(lines.join(rows.select(*KEY).distinct(), KEY, "left_semi"), rows, min_docs))
+    return attach(rows, found, ["template"], BOUND).groupBy(*KEY).agg(F.collect_set("at").alias("drop"))
 
 
 def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text``, and a last column ``_line_drops`` (how many).
 
-    NULL and empty texts and texts without a recurring line stay as they are, to the character.  Rows of equal id and text are
-    one document for counting and are all treated alike.  An empty table gives an empty result.
+    NULL and empty texts and texts without a recurring line stay as they are, to the character.  Equal texts are one text for
+    counting and are treated alike, whatever their ids.  An empty table gives an empty result.
     """
     drops = kept(recurring_lines(docs, min_docs))
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_line_row"), F.col("text").alias("_line_text"),
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_line_doc"), F.xxhash64("text").alias("_line_key"),
+        *[c.alias(f"_line_{name}") for c, name in zip(_text_key(), KEY, strict=True)],
     )
-    right = drops.select(F.col("doc_key").alias("_right_doc"), F.col("text_key").alias("_right_key"), F.col("drop").alias("_line_drop"))
+    right = drops.select(*[F.col(k).alias(f"_right_{k}") for k in KEY], F.col("drop").alias("_line_drop"))
     if drops.limit(BOUND + 1).count() <= BOUND:
         right = F.broadcast(right)
-    rows = rows.join(right, (F.col("_line_doc") == F.col("_right_doc")) & (F.col("_line_key") == F.col("_right_key")), "left")
-    lines = F.split("_line_text", "\n")
-    left = F.filter(lines, lambda x, i: ~F.array_contains("_line_drop", i))
-    # NULL where too much would go.
-    less = bind(F.array_join(left, "\n"), lambda t: F.when(F.length(t) >= (1 - COPY) * F.length("_line_text"), t))
-    rows = rows.withColumn("_line_less", F.when(F.col("_line_drop").isNotNull(), less))
-    kept_text = F.coalesce("_line_less", "_line_text")
-    out = [(kept_text if c == "text" else F.col(f"_line_row.`{c}`")).alias(c) for c in docs.columns]
-    drops = F.when(F.col("_line_less").isNotNull(), F.size("_line_drop")).otherwise(F.lit(0))
-    return rows.select(*out, drops.cast("long").alias("_line_drops"))
+    on = [F.col(f"_line_{k}") == F.col(f"_right_{k}") for k in KEY]
+    rows = rows.join(right, on[0] & on[1], "left")
+    left = F.filter(F.split("_line_text", "\n"), lambda x, i: ~F.array_contains("_line_drop", i))
+    text = F.when(F.col("_line_drop").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("_line_text"))
+    out = [(text if c == "text" else F.col(f"_line_row.`{c}`")).alias(c) for c in docs.columns]
+    return rows.select(*out, F.coalesce(F.size("_line_drop"), F.lit(0)).cast("long").alias("_line_drops"))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines (before), n_dropped, text (after) of every document."""
-    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    rows = without_recurring_lines(docs.select("doc_id", "text"))
-    return rows.select("doc_id", (lines + F.col("_line_drops")).alias("n_lines"), F.col("_line_drops").alias("n_dropped"), "text")
+    counted = docs.select("doc_id", "text", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
+    rows = without_recurring_lines(counted)
+    return rows.select("doc_id", "n_lines", F.col("_line_drops").alias("n_dropped"), "text")

@@ -5,96 +5,40 @@ holds, for every fill level, how many open windows stand there.  A document goes
 of squared counts smallest (a new window counts as level 0, a filled window leaves the array).  Documents
 longer than a window are cut into full windows first and only the rest is placed.
 
-Open windows keep their pieces in memory, so their number is bounded: beyond ``max_open``, and at the end of a partition,
-the open windows are joined by cutting, which fills all but the last.  What is left at the end of a
-partition is cut into sequences whose lengths are powers of two, which need no padding.
+Open windows keep the ids of their pieces (two bytes each, at most those of one input partition).  At the end of a partition they are
+joined by cutting, which fills all but the last; what is left is cut into sequences whose lengths are powers of two, which need
+no padding.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clozeframe.llm.common import flat_words, giving_back, ragged, slices
+from clozeframe.llm.common import giving_back, slices
+from clozeframe.llm.tokens import lower_words
 
 END_ID = 1
 CAPACITY = 2048
-# Words whose ids a worker remembers (about 150 bytes each); beyond that it starts anew.
-REMEMBERED_WORDS = 1_000_000
 
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 )
 
 
-class WordIds:
-    """Token ids of whole texts, one distinct word at a time.
-
-    The tokenizer drops white space and no token spans it, so the ids of a text are those of its words in turn.  It ignores
-    case, and parts letters or digits from punctuation, so words are looked up in lower case and without the full stops and
-    commas at their ends; only texts that may hold a special token, which is read before that, stay as they are.
-    """
-
-    def __init__(self, path: str, remembered: int = REMEMBERED_WORDS):
-        from tokenizers import Tokenizer
-
-        self.remembered = remembered
-        self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.lengths, self.parts, self.flat = np.zeros(0, np.int64), [], np.zeros(0, np.uint32)
-
-    def learn(self, unseen: list[str]) -> None:
-        encoded = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch(unseen, add_special_tokens=False)]
-        self.known.update(zip(unseen, range(len(self.known), len(self.known) + len(unseen)), strict=True))
-        self.lengths = np.concatenate([self.lengths, np.array([len(e) for e in encoded], dtype=np.int64)])
-        self.flat = np.concatenate([self.flat, *encoded])
-
-    @staticmethod
-    def plain(texts: pa.Array) -> pa.Array:
-        texts = pc.fill_null(texts, "")
-        if pc.any(pc.match_substring(texts, "<|")).as_py():
-            return texts
-        return pc.replace_substring_regex(pc.ascii_lower(texts), r"([\p{L}\p{N}])([.,]+[ \n])", r"\1 \2")
-
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """For each text its ids and the end id."""
-        words, offsets = flat_words(self.plain(texts))
-        coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.known) > self.remembered:
-            self.clear()
-        if unseen := [w for w in distinct if w not in self.known]:
-            self.learn(unseen)
-        at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
-        lengths = self.lengths[at]
-        starts = (np.cumsum(self.lengths) - self.lengths)[at]
-        ids = self.flat[ragged(starts, lengths)]
-        ends = np.concatenate([[0], np.cumsum(lengths)])[offsets]
-        return [np.append(ids[a:b], np.uint32(END_ID)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-
-
-@lru_cache(maxsize=1)
-def word_ids(path: str, remembered: int) -> WordIds:
-    """One per Python worker, kept from task to task."""
-    return WordIds(path, remembered)
-
-
 class Packer:
     """Windows of one partition; ``done`` collects finished pieces as rows of ``SCHEMA``."""
 
-    def __init__(self, first_sequence: int, capacity: int = CAPACITY, max_open: int = 256):
-        self.capacity, self.max_open = capacity, max_open
+    def __init__(self, first_sequence: int, capacity: int = CAPACITY):
+        self.capacity = capacity
+        # Windows that a piece has filled exactly.
+        self.filled = 0
         self.next_sequence = first_sequence
         self.counts = np.zeros(capacity + 1, dtype=np.int64)
         self.windows: dict[int, list[list]] = {}  # fill level -> open windows, each a list of pieces
@@ -130,16 +74,11 @@ class Packer:
             window = []
         window.append(piece)
         if level + size == self.capacity:
+            self.filled += 1
             self.close(window)
             return
         self.windows.setdefault(level + size, []).append(window)
         self.counts[level + size] += 1
-        if self.counts.sum() > self.max_open:
-            rest = self.join_open()
-            if rest:
-                filled = sum(len(p[2]) for p in rest)
-                self.windows[filled] = [rest]
-                self.counts[filled] = 1
 
     def close(self, window: list[tuple]) -> None:
         offset = 0
@@ -184,9 +123,7 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [f.split()[0] for f in SCHEMA.split(", ")])
 
 
-def pack(
-    docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, remembered: int = REMEMBERED_WORDS
-) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     NULL and empty texts are the end id alone.  NULL ids stay NULL; repeated rows are packed once each.
@@ -199,12 +136,16 @@ def pack(
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        encoder = word_ids(path, remembered)
+        encoder = lower_words(path)
         packer = Packer(TaskContext.get().partitionId() << 40, capacity)
         for batch in batches:
             for part in slices(batch, "text"):
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text")), strict=True):
-                    packer.add(doc_id, ids)
+                ids, ends = encoder.encode(part.column("text"))
+                # Every document ends with the end id; the ids of this vocabulary have two bytes.
+                ids = np.insert(ids, ends[1:], END_ID).astype(np.uint16)
+                ends = ends + np.arange(len(ends))
+                for doc_id, a, b in zip(part.column("doc_id").to_pylist(), ends[:-1], ends[1:], strict=True):
+                    packer.add(doc_id, ids[a:b].copy())
                 if (out := packer.take()) is not None:
                     yield out
         packer.finish()

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clozeframe.llm.common import giving_back, kept, slices
+from clozeframe.llm.common import giving_back, hash_sample, kept, slices
 
 KINDS = ("email", "ip", "card", "phone")
 # Texts and regions of text learnt from at most, in the order of a hash.
@@ -249,9 +249,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
 
     likely = docs.where(F.col("text").rlike(r"[0-9@]"))
     # At most ``TEXTS`` ids: a bounded broadcast.
-    chosen = kept(likely.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TEXTS))
+    chosen = kept(hash_sample(likely.select("doc_id").distinct(), "doc_id", TEXTS))
     found = likely.join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(giving_back(run), "region string").distinct()
-    rows = kept(found.orderBy(F.xxhash64("region"), "region").limit(sample)).collect()
+    rows = hash_sample(found, "region", sample).orderBy(F.xxhash64("region"), "region").collect()
     return fit(examples([r[0] for r in rows]))
 
 

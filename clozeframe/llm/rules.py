@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clozeframe.llm.common import held_out, kept
+from clozeframe.llm.common import hash_sample, held_out, kept
 from clozeframe.llm.statistics import with_statistics
 
 # At most this many labelled documents, in the order of a hash of their ids, are learnt from.
@@ -124,11 +124,8 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: i
     largest counts, NULL labels are none.  NULL and empty texts are scored as empty ones.  Repeated rows are scored alike,
     other columns are ignored, an empty table gives an empty result.
     """
-    chosen = (
-        labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
-        .groupBy("doc_id").agg(F.max(label).alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    )
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
+    chosen = hash_sample(known.groupBy("doc_id").agg(F.max(label).alias("y")), "doc_id", sample)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     # At most ``sample`` ids: a bounded broadcast.
     learnt = docs.join(F.broadcast(kept(chosen)), "doc_id")
