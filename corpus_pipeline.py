@@ -5,7 +5,7 @@ the last return the columns of docs.
 
 1. toxicity: documents scored 0.3 or more go.
 2. line dedup: recurring template lines are taken out of the texts; no document goes.
-3. near-dedup: one document of each group of copies (five-word shingles, similarity 0.8 or more) stays.
+3. near-dedup: one document of each group of near copies (SimHash of three-word shingles, at most two bits apart) stays.
 4. mixing: sources are sent to their target weights; a document sent twice is two rows, one not sent goes.
 5. packing: token sequences of at most 2048 ids.
 """
@@ -16,18 +16,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clozeframe.llm import linededup, mixing, nearcopies, packing, toxicity
+from clozeframe.llm import linededup, mixing, packing, simhash, toxicity
 from clozeframe.llm.common import checkpoint_dir, table
 
 
 # The stages share executors and Python workers one after another, so each holds little.
-REMEMBERED_WORDS = 200_000
 ROWS_PER_BATCH = 1_000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def small_batches(docs: DataFrame) -> DataFrame:
     """``docs``, with texts sent to Python in batches of at most ``ROWS_PER_BATCH`` rows (a setting of the session)."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
+    docs.sparkSession.conf.set(BATCH_SETTING, ROWS_PER_BATCH)
     return docs
 
 
@@ -40,7 +40,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return nearcopies.one_of_each(small_batches(docs))
+    return simhash.one_of_each(small_batches(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(small_batches(docs), remembered=REMEMBERED_WORDS)
+    return packing.pack(small_batches(docs))
 
 
 STAGES = [
@@ -62,12 +62,27 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def forget(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that no later stage reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written under the checkpoint folder and read again."""
+    """All stages over ``documents``; what a stage returns is written under the checkpoint folder and read again.
+
+    A written stage is removed when the next one is written; the last stage reads the last of them whenever the result is asked for.
+    The session's batch setting is put back before that.
+    """
     checkpoint_dir(spark)
+    before = spark.conf.get(BATCH_SETTING)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for place, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{place}")
         docs = spark.read.parquet(f"{folder}/{place}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if place:
+            forget(spark, f"{folder}/{place - 1}")
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    spark.conf.set(BATCH_SETTING, before)
+    return packed
