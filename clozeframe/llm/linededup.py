@@ -6,10 +6,10 @@ part of its words, a fifth of them, is a variable field (the first part covers l
 child).  So lines that differ inside one part meet in a template, whatever else is in their node.
 
 A template is recurring if it is in enough *families* of texts: two for long lines, ``MIN_DOCS`` for short ones.  Equal texts are one
-text.  Texts that are near copies share their other lines too: each text has ``SKETCHES`` least hashes of its nodes, those of the line itself
-left out, and for each of them the number of distinct values says how many families the texts of a template fall into.  The smallest
-of these numbers counts, and it must be over ``SHARE`` of the texts, so a group of near copies of any size keeps its lines for near-duplicate
-removal, while a line that different texts share goes.
+text.  Texts that are near copies share the rest of their words too: three-word shingles are dealt to ``SKETCHES`` classes by their hash,
+a text has the least hash of each class over its other lines, and texts with the same least hash are one family.  Their number, averaged over
+the classes, must be enough, and over half as large as that of the texts (by a margin for the chance in few texts).  So a group of near
+copies of any size keeps its lines for near-duplicate removal, while a line that different texts share goes.
 
 Lines are shuffled as hashes, never as text.  All counts combine before the shuffle, and a table of recurring templates is broadcast
 only when its measured size allows.
@@ -29,9 +29,9 @@ MIN_WORDS, MIN_CHARS = 3, 15
 LEADING = 3
 # Parts of a line, one of which may be variable.
 PARTS = 5
-SKETCHES = 4
-# Families per text below which the texts of a template are copies of each other.
-SHARE = 0.5
+SKETCHES = 8
+# Further families per further text up to which the texts of a template are copies, and what one text adds to that bound.
+SHARE, MARGIN = 0.5, 0.4
 BOUND = 200_000
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -50,57 +50,75 @@ def _text_key(text: str = "text") -> list[Column]:
     return [F.xxhash64(text).alias("text_key"), F.octet_length(text).alias("text_size")]
 
 
-def _templates(masked: Column, n_words: Column) -> Column:
-    """Hashes of the line itself and, from ``PARTS`` words on, of its templates with one variable part."""
+def _hashes(masked: Column, n_words: Column) -> Column:
+    """Struct of the line's own hash and of its templates with one variable part (from ``PARTS`` words on)."""
 
-    def hashes(words: Column) -> Column:
+    def of(words: Column) -> Column:
         edge = lambda i: F.floor(n_words * i / PARTS).cast("int")
         parts = F.array(*[F.xxhash64(F.lit(i), F.array_join(F.slice(words, edge(i) + 1, edge(i + 1) - edge(i)), " ")) for i in range(PARTS)])
         without = lambda p, k: F.xxhash64(n_words, F.lit(k), *[p[i] for i in range(PARTS) if i != k])
-        return bind(parts, lambda p: F.array(F.xxhash64(n_words, p), *[without(p, k) for k in range(PARTS)]))
+        return bind(parts, lambda p: F.struct(F.xxhash64(n_words, p).alias("line"), F.array(*[without(p, k) for k in range(PARTS)]).alias("templates")))
 
-    return F.when(n_words >= PARTS, bind(F.split(masked, " "), hashes)).otherwise(F.array(F.xxhash64(masked)))
+    short = F.struct(F.xxhash64(masked).alias("line"), F.array().cast("array<bigint>").alias("templates"))
+    return F.when(n_words >= PARTS, bind(F.split(masked, " "), of)).otherwise(short)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Long enough lines as hashes: key of the text, at (position), n_words, node, templates."""
+    """Long enough lines as hashes: key of the text, at (position), n_words, line, templates."""
     lines = docs.select(*_text_key(), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     lines = lines.where(F.length(F.trim("line")) >= MIN_CHARS).select(*KEY, "at", _masked(F.col("line")).alias("masked"))
     lines = lines.withColumn("n_words", F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1)
-    node = F.xxhash64("n_words", F.substring_index("masked", " ", LEADING))
-    return lines.select(*KEY, "at", "n_words", node.alias("node"), _templates(F.col("masked"), F.col("n_words")).alias("templates"))
-
-
-def _sketches(lines: DataFrame) -> DataFrame:
-    """(key, sketches): for each of ``SKETCHES`` hash functions the two least hashes of the nodes of a text."""
-    nodes = lines.groupBy(*KEY).agg(F.collect_set("node").alias("_nodes"))
-    least = [F.slice(F.array_sort(F.transform("_nodes", lambda n, j=j: F.xxhash64(n, F.lit(j)))), 1, 2) for j in range(SKETCHES)]
-    return nodes.select(*KEY, F.array(*least).alias("sketches"))
-
-
-def recurring_templates(lines: DataFrame, shared: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Templates, out of rows (key, at, n_words, node, template) of shared templates, that are in enough families."""
-    rows = shared.select(*KEY, "node", "n_words", "template").distinct()
-    # A line's own node says nothing about the rest of its text; a text without any other is a family of its own.
-    own = lambda two, j: F.coalesce(F.get(F.filter(two, lambda h: h != F.xxhash64(F.col("node"), j)), F.lit(0)), F.col("text_key"))
-    placed = attach(rows, kept(_sketches(lines)), KEY).select("template", "n_words", F.posexplode(F.transform("sketches", own)).alias("j", "family"))
+    return lines.select(*KEY, "at", "n_words", _hashes(F.col("masked"), F.col("n_words")).alias("h")).select(*KEY, "at", "n_words", "h.*")
+
+
+def _sketches(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, sketches) of the texts with these keys: for each class of shingles the two least (hash, position of the line), of different lines."""
+    texts = attach(docs.select(*_text_key(), "text"), keys, KEY, BOUND)
+    lines = texts.select(*KEY, F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    shingles = lambda w: F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    classes = F.sequence(F.lit(0), F.lit(SKETCHES - 1))
+    least = lambda hs: F.transform(classes, lambda j: F.array_min(F.filter(hs, lambda h: F.pmod(h, F.lit(SKETCHES)) == j)))
+    lines = lines.select(*KEY, F.struct("at", bind(bind(F.split(F.trim("line"), " "), shingles), least).alias("least")).alias("_line"))
+    whole = lines.groupBy(*KEY).agg(F.collect_set("_line").alias("_lines"))
+    of_class = lambda j: F.transform("_lines", lambda x: F.struct(F.get(x["least"], j).alias("hash"), x["at"].alias("at")))
+    two = lambda j: F.slice(F.array_sort(F.filter(of_class(j), lambda s: s["hash"].isNotNull())), 1, 2)
+    return whole.select(*KEY, F.transform(classes, two).alias("sketches"))
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows of templates that are in at least two different texts."""
+    shared = rows.groupBy("template").agg(F.min("text_key").alias("_a"), F.max("text_key").alias("_b")).where("_a <> _b").select("template")
+    return kept(attach(rows, kept(shared), ["template"], BOUND))
+
+
+def _recurring(docs: DataFrame, rows: DataFrame, min_docs: int) -> DataFrame:
+    """Templates, out of rows (key, at, n_words, template) of shared templates, that are in enough families of texts."""
+    rows = rows.groupBy("template", *KEY).agg(F.min("at").alias("at"), F.max("n_words").alias("n_words"))
+    each = attach(rows, kept(_sketches(docs, kept(rows.select(*KEY).distinct()))), KEY)
+    # A line says nothing about the rest of its text; a text without any other is a family of its own.
+    other = lambda two: F.get(F.filter(two, lambda s: s["at"] != F.col("at")), F.lit(0))["hash"]
+    family = lambda two: F.coalesce(other(two), F.col("text_key"))
+    placed = each.select("template", "n_words", F.posexplode(F.transform("sketches", family)).alias("j", "family"))
     families = placed.groupBy("template", "j", "family").agg(F.count("*").alias("texts"), F.max("n_words").alias("n_words"))
     counted = families.groupBy("template", "j").agg(F.count("*").alias("families"), F.sum("texts").alias("texts"), F.max("n_words").alias("n_words"))
-    counted = counted.groupBy("template").agg(F.min("families").alias("families"), F.max("texts").alias("texts"), F.max("n_words").alias("n_words"))
+    counted = counted.groupBy("template").agg(F.avg("families").alias("families"), F.max("texts").alias("texts"), F.max("n_words").alias("n_words"))
     least = F.when(F.col("n_words") >= LONG, MIN_LONG).otherwise(min_docs)
-    return counted.where((F.col("families") >= least) & (F.col("families") > SHARE * F.col("texts"))).select("template")
+    apart = F.col("families") - 1 > (F.col("texts") - 1) * (SHARE + MARGIN / F.col("texts"))
+    # Half a family is left to chance.
+    return kept(counted.where((F.col("families") >= least - 0.5) & apart).select("template"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(key, drop: positions of recurring lines) of every distinct text that has one."""
     # The word limit is applied to the kept rows: pushed below, it would mask every line once more.
     lines = kept(_lines(docs)).where(F.col("n_words") >= MIN_WORDS)
-    each = lines.select(*KEY, "at", "n_words", "node", F.explode("templates").alias("template"))
-    # Templates of at least two different texts.
-    shared = each.groupBy("template").agg(F.min("text_key").alias("_a"), F.max("text_key").alias("_b")).where("_a <> _b").select("template")
-    rows = kept(attach(each, kept(shared), ["template"], BOUND))
-    found = kept(recurring_templates(lines.join(rows.select(*KEY).distinct(), KEY, "left_semi"), rows, min_docs))
-    return attach(rows, found, ["template"], BOUND).groupBy(*KEY).agg(F.collect_set("at").alias("drop"))
+    same = _shared(lines.select(*KEY, "at", "n_words", F.col("line").alias("template")))
+    found = kept(attach(same, _recurring(docs, same, min_docs), ["template"], BOUND).select(*KEY, "at"))
+    # Other lines are looked at by their templates.
+    others = lines.join(found, [*KEY, "at"], "left_anti").select(*KEY, "at", "n_words", F.explode("templates").alias("template"))
+    alike = _shared(others)
+    more = attach(alike, _recurring(docs, alike, min_docs), ["template"], BOUND).select(*KEY, "at")
+    return found.unionByName(more).groupBy(*KEY).agg(F.collect_set("at").alias("drop"))
 
 
 def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
