@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clozeframe.functions import text
-from clozeframe.operators.joins import attach_single_row, join_on_group
+from clozeframe.operators.joins import join_on_group, small_table
 from clozeframe.session import computed_once
 from clozeframe.sources.writers import write_table
 
@@ -63,29 +63,31 @@ def fit_cloze(
     return ClozeModel(float(k), counts)
 
 
-def _contexts(counts: DataFrame, keys: list[str], k: float, name: str) -> DataFrame:
-    """One struct of totals per context: total, types, argmax, max_n, and the entropy sum."""
+# What stands for a neighbour that a level does not look at; no token is empty.
+ANY = ""
+
+
+def _totals(k: float) -> list:
+    """Aggregates of the words of a context: total, types, entropy sum, and the top word with its count."""
     weight = F.col("n") + F.lit(k)
-    per_context = counts.groupBy(*keys).agg(
+    return [
         F.sum("n").alias("total"),
         F.count(F.lit(1)).alias("types"),
-        F.min(F.struct((-F.col("n")).alias("n"), F.col("token").alias("token"))).alias("_top"),
         F.sum(weight * F.log2(weight)).alias("logs"),
-    )
-    packed = F.struct("total", "types", "logs", F.col("_top.token").alias("argmax"), (-F.col("_top.n")).alias("max_n"))
-    return per_context.select(*keys, packed.alias(name))
+        F.min(F.struct((-F.col("n")).alias("n"), F.col("token").alias("token"))).alias("top"),
+    ]
 
 
-def _ranked_words(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Count and rank of each word in its context, as a struct.
+def _all_words(counts: DataFrame) -> DataFrame:
+    """The words of the lowest level with their ranks.
 
-    Words of equal count share a rank, so ranks are found on the distinct counts of a context; a
-    context of N tokens has fewer than sqrt(2 N) of those.
+    Words of equal count share a rank, so ranks are found on the distinct counts; a corpus of N tokens has fewer than
+    sqrt(2 N) of those.
     """
-    same_count = counts.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("_words"))
-    better = Window.partitionBy(*keys).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = same_count.select(*keys, "n", (F.coalesce(F.sum("_words").over(better), F.lit(0)) + 1).alias("rank"))
-    return join_on_group(counts, ranks, [*keys, "n"]).select(*keys, "token", F.struct("n", "rank").alias(name))
+    same_count = counts.groupBy("n").agg(F.count(F.lit(1)).alias("_words"))
+    better = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = same_count.select("n", (F.coalesce(F.sum("_words").over(better), F.lit(0)) + 1).alias("rank"))
+    return counts.join(small_table(ranks), "n").select(F.lit(ANY).alias("key_prev"), F.lit(ANY).alias("key_next"), "token", "n", "rank")
 
 
 def mask_neighbours(df: DataFrame, context: str = "cloze", mask_index: str = "mask_index") -> DataFrame:
@@ -102,40 +104,39 @@ def mask_neighbours(df: DataFrame, context: str = "cloze", mask_index: str = "ma
 def _answers(asked: DataFrame, model: ClozeModel) -> DataFrame:
     """Adds probability, rank and context metrics to rows with prev, next and token.
 
-    Each level is cut to the contexts that are asked and not answered further up, before anything is
-    computed from it.
+    The upper two levels are one relation, keyed by the neighbours that a level looks at.  It is cut to the keys that are asked and
+    shuffled once by key; totals and ranks need no further shuffle.  Each distinct context takes its highest level with totals, and
+    each word is looked up once, under the key of that level.
     """
-    kept = asked.columns
-    q, open_questions = asked, asked
-    for level, keys in LEVEL_KEYS.items():
-        counts = model.counts[level]
-        if keys:
-            counts = counts.join(open_questions.select(*keys).distinct(), keys, "left_semi")
-            contexts = _contexts(counts, keys, model.k, f"_c{level}")
-            q = q.join(contexts, keys, "left")
-            open_questions = open_questions.join(contexts.select(*keys), keys, "left_anti")
-        else:
-            q = attach_single_row(q, _contexts(counts, keys, model.k, f"_c{level}"))
-        q = q.join(_ranked_words(counts, keys, f"_w{level}"), [*keys, "token"], "left")
-    level = F.when(F.col("_c3").isNotNull(), 3).when(F.col("_c2").isNotNull(), 2).otherwise(1)
-
-    def pick(kind: str):
-        return (
-            F.when(F.col("level") == 3, F.col(f"_{kind}3"))
-            .when(F.col("level") == 2, F.col(f"_{kind}2"))
-            .otherwise(F.col(f"_{kind}1"))
-        )
-
-    q = q.withColumn("level", level).select(*kept, "level", pick("c").alias("_c"), pick("w").alias("_w"))
+    key = ["key_prev", "key_next"]
+    tagged = model.counts[3].select(F.col("prev").alias("key_prev"), F.col("next").alias("key_next"), "token", "n").unionByName(
+        model.counts[2].select(F.col("prev").alias("key_prev"), F.lit(ANY).alias("key_next"), "token", "n")
+    )
+    places = F.array(*[F.struct(F.lit(level).alias("level"), F.col("prev").alias("key_prev"), n.alias("key_next")) for level, n in ((3, F.col("next")), (2, F.lit(ANY)))])
+    contexts = asked.select("prev", "next", F.explode(places).alias("_k")).select("prev", "next", "_k.*")
+    words = tagged.join(contexts.select(*key).distinct(), key, "left_semi")
+    totals = words.groupBy(*key).agg(*_totals(model.k))
+    found = contexts.distinct().join(totals, key)
+    answer = F.struct("level", *key, "total", "types", "logs", "top")
+    highest = found.groupBy("prev", "next").agg(F.max_by(answer, "level").alias("_c"))
+    lowest = model.counts[1].agg(*_totals(model.k))
+    lowest = lowest.select(F.struct(F.lit(1).alias("level"), F.lit(ANY).alias("key_prev"), F.lit(ANY).alias("key_next"), "total", "types", "logs", "top").alias("_one"))
+    place = F.struct("prev", "next").alias("_place")
+    q = asked.select("*", place).join(highest.select(place, "_c"), "_place", "left").drop("_place")
+    q = q.withColumn("_c", F.coalesce("_c", lowest.scalar()))
+    q = q.withColumns({"key_prev": F.col("_c.key_prev"), "key_next": F.col("_c.key_next")})
+    rank = F.rank().over(Window.partitionBy(*key).orderBy(F.desc("n")))
+    ranked = words.withColumn("rank", rank).unionByName(_all_words(model.counts[1]))
+    q = q.join(ranked.withColumnRenamed("n", "_n").withColumnRenamed("rank", "_rank"), [*key, "token"], "left")
     k = F.lit(model.k)
     mass = F.col("_c.total") + k * (F.col("_c.types") + 1)
     return q.select(
-        *kept,
-        ((F.coalesce("_w.n", F.lit(0)) + k) / mass).alias("probability"),
-        F.coalesce("_w.rank", F.col("_c.types") + 1).cast("int").alias("rank"),
-        "level",
-        F.col("_c.argmax").alias("argmax"),
-        ((F.col("_c.max_n") + k) / mass).alias("maxprob"),
+        *asked.columns,
+        ((F.coalesce("_n", F.lit(0)) + k) / mass).alias("probability"),
+        F.coalesce("_rank", F.col("_c.types") + 1).cast("int").alias("rank"),
+        F.col("_c.level").alias("level"),
+        F.col("_c.top.token").alias("argmax"),
+        ((k - F.col("_c.top.n")) / mass).alias("maxprob"),
         (F.log2(mass) - (F.col("_c.logs") + k * F.log2(k)) / mass).alias("entropy"),
     )
 

@@ -61,6 +61,38 @@ def lookup_join(
     return salted.join(repeated, on + ["_salt"], how).drop("_salt")
 
 
+# A key is hot if it has more than this share of the rows of an average partition; at most so many keys are looked at.
+HOT_SHARE, HOT_KEYS = 1.0, 100
+
+
+def hot_keys(facts: DataFrame, on: tuple[str, ...] | list[str]) -> list[int]:
+    """Hashes of the keys with more rows than an average shuffle partition, by a mergeable sketch of frequent items.
+
+    The sketch never counts a frequent key too low by more than its resolution, and takes a bounded size whatever the number
+    of keys.  A key that only seems hot costs a few repeated lookup rows.
+    """
+    parts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    row = facts.select(F.xxhash64(*on).alias("_k")).agg(F.approx_top_k("_k", F.lit(HOT_KEYS), F.lit(100 * HOT_KEYS)).alias("top"), F.count("*").alias("n")).first()
+    return [r["item"] for r in row["top"] or [] if r["count"] * parts > HOT_SHARE * row["n"]]
+
+
+def split_join(facts: DataFrame, lookup: DataFrame, on: tuple[str, ...] | list[str], how: str = "inner", salts: int = 16) -> DataFrame:
+    """``lookup_join`` in which only the hot keys of the facts are spread over ``salts`` sub-keys.
+
+    Lookup rows of hot keys are repeated once per sub-key, all others stay single, so nothing else grows.
+    """
+    on = list(on)
+    hot = hot_keys(facts, on)
+    if not hot:
+        return lookup_join(facts, lookup, on, how)
+    is_hot = F.xxhash64(*on).isin(hot)
+    salt = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in facts.columns]), F.lit(salts))
+    salted = facts.withColumn("_salt", F.when(is_hot, salt).otherwise(0).cast("int"))
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    repeated = lookup.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
+    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+
+
 def join_on_group(df: DataFrame, per_group: DataFrame, by: list[str]) -> DataFrame:
     """Attach per-group values to every row of the group.
 

@@ -1,9 +1,9 @@
 """Exact order statistics of large groups: running counts by value, quantiles, box plots, densities.
 
-A group is never sorted as a whole.  Rows are first counted per distinct value, with map-side
-combining.  Values then go to order-preserving bins; counts per bin give the number of rows before
-each bin, and a running count inside each bin gives the rest.  The result is exact for any data; the
-bins only decide how evenly the work spreads.
+A group is never sorted as a whole.  Rows are first counted per distinct value, with map-side combining.  A mergeable quantile sketch
+of a group's distinct values then gives the edges of parts of about equal size, whatever the distribution; counts per part give the number
+of rows before each part, and a running count inside each part gives the rest.  The result is exact for any data; the sketch
+only decides how evenly the work spreads.
 """
 
 from __future__ import annotations
@@ -15,19 +15,15 @@ from clozeframe.functions.measures import ColumnLike, as_column, finite
 from clozeframe.operators.joins import join_on_group, small_table
 from clozeframe.session import computed_once
 
-# Bins per doubling of magnitude, and the smallest magnitude told apart from zero.  Doubles above it
-# and up to its inverse give at most 2 * 80 * 1024 bins.
-BINS_PER_OCTAVE = 1024
-SMALLEST = 2.0**-40
-# Equal parts that the values of a bin are dealt to.
+# Parts that the distinct values of a group are dealt to.
 PARTS = 256
 
 
-def order_bin(value: ColumnLike) -> Column:
-    """Bin number that never decreases with the value; a fixed function of the value alone."""
-    v = as_column(value).cast("double")
-    magnitude = F.floor(F.log2(F.lit(1.0) + F.abs(v) / F.lit(SMALLEST)) * F.lit(float(BINS_PER_OCTAVE)))
-    return F.when(v < 0.0, -magnitude).otherwise(magnitude)
+def part_of(value: ColumnLike, edges: ColumnLike, parts: int) -> Column:
+    """How many of the ascending edges (fewer than ``parts``, a power of two) are at most the value, by halving steps."""
+    v, e = as_column(value), as_column(edges)
+    steps = F.array(*[F.lit(1 << k) for k in range(parts.bit_length() - 2, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(e, at + step - 1) <= v, at + step).otherwise(at))
 
 
 def value_counts(df: DataFrame, by: list[str], value: ColumnLike, **counts: Column) -> DataFrame:
@@ -41,41 +37,22 @@ def value_counts(df: DataFrame, by: list[str], value: ColumnLike, **counts: Colu
 
 
 def ranged(counts: DataFrame, by: list[str]) -> DataFrame:
-    """Value counts with their ``bin`` and ``part``: the bin of the magnitude, and one of ``PARTS`` equal parts of the range that
-    the group's values have in that bin.
-
-    The bins tell magnitudes apart whatever the spread, the parts tell apart values that are close together whatever
-    their magnitude, so rows of a group spread over many (bin, part) unless they are equal.
-    """
-    binned = counts.withColumn("bin", order_bin("value"))
-    ranges = binned.groupBy(*by, "bin").agg(F.min("value").alias("_least"), F.max("value").alias("_most"))
-    placed = join_on_group(binned, small_table(ranges), [*by, "bin"])
-    share = F.try_divide(F.col("value") - F.col("_least"), F.col("_most") - F.col("_least"))
-    part = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * PARTS), F.lit(PARTS - 1)).cast("int")
-    return placed.withColumn("part", part).drop("_least", "_most")
+    """Value counts with their ``part``: ranges of the group's values that hold about equally many distinct values each."""
+    sketch = F.percentile_approx("value", [k / PARTS for k in range(1, PARTS)], 8 * PARTS)
+    edges = counts.groupBy(*by).agg(sketch.alias("_edges"))
+    return join_on_group(counts, small_table(edges), by).withColumn("part", part_of("value", "_edges", PARTS)).drop("_edges")
 
 
-def running_counts(counts: DataFrame, by: list[str], measured: bool = True) -> DataFrame:
+def running_counts(counts: DataFrame, by: list[str]) -> DataFrame:
     """Adds ``before``, the number of rows with a smaller value in the group, to value counts.
 
-    Group, bin and part form one struct key, so that the running count in a part and the join to its offset
-    share one partitioning.  Offsets are running sums over the bins of a group and over the parts of a
-    bin, both of bounded number.  ``measured=False`` starts no job to find the parts: each bin is one part.
+    Group and part form one struct key, so that the running count in a part and the join to its offset share one partitioning.
+    Offsets are running sums over the parts of a group, at most ``PARTS`` of them.
     """
-    parts = ranged(computed_once(counts), by) if measured else counts.withColumns({"bin": order_bin("value"), "part": F.lit(0)})
-    placed = parts.withColumn("_key", F.struct(*by, "bin", "part")).drop("bin", "part")
+    placed = ranged(computed_once(counts), by).withColumn("_key", F.struct(*by, "part")).drop("part")
     per_part = placed.groupBy("_key").agg(F.sum("n").alias("_rows"))
-    group = [F.col(f"_key.{k}") for k in by]
-    earlier_parts = Window.partitionBy(*group, "_key.bin").orderBy("_key.part").rowsBetween(Window.unboundedPreceding, -1)
-    per_part = per_part.withColumn("_in_bin", F.coalesce(F.sum("_rows").over(earlier_parts), F.lit(0)))
-    bin_key = F.struct(*group, F.col("_key.bin").alias("bin")).alias("_bin")
-    per_bin = per_part.groupBy(bin_key).agg(F.sum("_rows").alias("_rows"))
-    earlier_bins = (
-        Window.partitionBy(*[F.col(f"_bin.{k}") for k in by]).orderBy("_bin.bin").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    before_bin = per_bin.select("_bin", F.coalesce(F.sum("_rows").over(earlier_bins), F.lit(0)).alias("_before_bin"))
-    offsets = per_part.select("_key", "_in_bin", bin_key).join(before_bin, "_bin")
-    offsets = offsets.select("_key", (F.col("_in_bin") + F.col("_before_bin")).alias("_offset"))
+    earlier = Window.partitionBy(*[F.col(f"_key.{k}") for k in by]).orderBy("_key.part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_part.select("_key", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
     in_part = Window.partitionBy("_key").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     local = placed.withColumn("_local", F.coalesce(F.sum("n").over(in_part), F.lit(0)))
     joined = local.join(offsets, "_key")

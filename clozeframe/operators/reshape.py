@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clozeframe.functions.measures import facilitation, rel_facilitation
-from clozeframe.operators.joins import PAIR_KEYS, counted_relations, join_lexicon, join_on_group
+from clozeframe.operators.joins import PAIR_KEYS, counted_relations, join_lexicon, join_on_group, natural_join
+from clozeframe.session import computed_once
 
 
 def order_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -27,13 +28,17 @@ def top_n_ties(df: DataFrame, n: int, col: str) -> DataFrame:
 def with_levels(df: DataFrame, col: str, by: str, out: str | None = None) -> DataFrame:
     """Ordinal of a categorical column, levels ordered by descending ``by`` and then by name.
 
-    Only the distinct levels are ranked: in one task, since ordinals are global, so levels must be few (a factor's).  A NULL
-    level is a level of its own, first among equals.
+    Only the distinct levels are ranked, however many they are: they are sorted by range, numbered inside each range, and the
+    sizes of earlier ranges (one number per partition) are added.  A NULL level is a level of its own, first among equals.
     """
+    order = [F.desc("_by"), F.asc(col)]
     levels = df.groupBy(col).agg(F.max(by).alias("_by"))
-    ranked = levels.select(
-        F.col(col), F.row_number().over(Window.orderBy(F.desc("_by"), col)).alias(out or f"{col}_ord")
-    )
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = computed_once(levels.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = {r["_part"]: r["count"] for r in placed.groupBy("_part").count().collect()}
+    earlier = F.array(*[F.lit(sum(sizes.get(k, 0) for k in range(part))).cast("bigint") for part in range(parts)])
+    number = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.get(earlier, F.col("_part"))
+    ranked = placed.select(F.col(col), number.cast("int").alias(out or f"{col}_ord"))
     return join_on_group(df, ranked, [col])
 
 
@@ -132,9 +137,9 @@ def instance_table(
 ) -> DataFrame:
     """Single results with relation, relation count and facilitation, for the counted relations only.
 
-    The lexicon is cut to the counted relations first, so other results drop out at the first join.
+    The lexicon is cut to the counted relations first, so other results drop out at the first join; missing keys match missing ones.
     """
-    joined = df.join(counted_relations(lex, top), list(PAIR_KEYS))
+    joined = natural_join(df, counted_relations(lex, top), PAIR_KEYS)
     return joined.withColumn("facilitation", facilitation(kind=kind)).select(
         *columns, "relation", "n", "facilitation"
     )

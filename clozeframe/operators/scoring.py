@@ -7,11 +7,13 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clozeframe.functions.measures import ratio
 from clozeframe.operators.joins import join_on_group
+from clozeframe.session import computed_once
 
 # Fixed value: contexts per model call.
 BATCH_SIZE = 30
@@ -106,9 +108,60 @@ def score(
     return join_on_group(df, scored, inputs) if dedupe else scored
 
 
-def prime_metrics(df: DataFrame, load_scorer: Callable[[], Scorer], **options) -> DataFrame:
-    """Target and related-prime metrics of the same context in one model pass."""
-    return score(df, load_scorer, ["target", "related"], **options)
+def prime_metrics(
+    df: DataFrame, load_scorer: Callable[[], Scorer], store: ScoreStore | None = None, model: str | None = None, **options
+) -> DataFrame:
+    """Target and related-prime metrics of the same context in one model pass, or from a store for a named model."""
+    words = ["target", "related"]
+    return score(df, load_scorer, words, **options) if store is None else store.score(df, load_scorer, model, words, **options)
+
+
+class ScoreStore:
+    """Scores that outlive a run: one row per model, context, mask and word, in a table partitioned by model.
+
+    Rows are found by a 128-bit hash of those four.  A run scores only what an anti join finds missing, and adds it to the table in
+    one write, so a run that is stopped adds all of its scores or none.
+    """
+
+    METRICS = ["argmax", "maxprob", "entropy", "word_probability", "word_rank"]
+    SCHEMA = "id string, argmax string, maxprob double, entropy double, word_probability double, word_rank int, model string"
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def known(self, spark: SparkSession, model: str) -> DataFrame:
+        """Stored scores of a model, one row per id."""
+        try:
+            table = spark.read.schema(self.SCHEMA).parquet(self.path)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            table = spark.createDataFrame([], self.SCHEMA)
+        return table.where(F.col("model") == model).drop("model").dropDuplicates(["id"])
+
+    def score(
+        self, df: DataFrame, load_scorer: Callable[[], Scorer], model: str, words: list[str], context: str = "cloze", mask_index: str = "mask_index", **options
+    ) -> DataFrame:
+        """What the operator ``score`` gives, from the store where it has it."""
+        spark = df.sparkSession
+        part = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+        key = lambda w: F.md5(F.concat(F.lit(f"{len(model)}:{model}"), part(context), part(mask_index), part(w)).cast("binary"))
+        rows = df.withColumns({f"_id_{w}": key(w) for w in words})
+        pairs = F.array(*[F.struct(F.col(f"_id_{w}").alias("id"), F.col(w).alias("word")) for w in words])
+        asked = rows.select(context, mask_index, F.explode(pairs).alias("_p")).select(context, mask_index, "_p.*").dropDuplicates(["id"])
+        missing = computed_once(asked.join(self.known(spark, model).select("id"), "id", "left_anti"))
+        if not missing.isEmpty():
+            scored = score(missing, load_scorer, ["word"], context=context, mask_index=mask_index, dedupe=False, **options)
+            added = scored.select("id", *self.METRICS).withColumn("model", F.lit(model))
+            added.write.mode("append").partitionBy("model").parquet(self.path)
+        known = self.known(spark, model)
+        out = rows
+        for i, w in enumerate(words):
+            shared = ["argmax", "maxprob", "entropy"] if i == 0 else []
+            found = known.select(F.col("id").alias(f"_id_{w}"), *shared, F.col("word_probability").alias(f"{w}_probability"), F.col("word_rank").alias(f"{w}_rank"))
+            out = out.join(found, f"_id_{w}")
+        metrics = ["argmax", "maxprob", "entropy", *[f"{w}_{m}" for w in words for m in ("probability", "rank")]]
+        return out.select(*df.columns, *metrics)
 
 
 def dist_metrics_long(

@@ -16,6 +16,7 @@ from clozeframe.functions import tails
 from clozeframe.functions.measures import ColumnLike, finite, ratio
 from clozeframe.operators.joins import join_on_group
 from clozeframe.operators.ordered import running_counts, value_counts
+from clozeframe.operators.shift import ranked_differences
 from clozeframe.session import computed_once
 
 
@@ -237,31 +238,40 @@ def _two_samples(df: DataFrame, by: list[str], a: ColumnLike, b: ColumnLike) ->
     return value_counts(sides, by, "v", na=F.count_if(F.col("first")), nb=F.count_if(~F.col("first")))
 
 
-def _rank_sums(counts: DataFrame, by: list[str], measured: bool = True) -> DataFrame:
-    """by, n_x, n_y, statistic, sigma from value counts (columns value, n, na, nb)."""
+def _rank_sums(counts: DataFrame, by: list[str]) -> DataFrame:
+    """by, n_x, n_y, statistic, sigma, _ties from value counts (columns value, n, na, nb)."""
     n = F.col("n").cast("double")
     mid_rank = F.col("before") + (n + 1.0) / 2.0
-    sums = running_counts(counts, by, measured).groupBy(*by).agg(
+    sums = running_counts(counts, by).groupBy(*by).agg(
         F.sum("na").alias("n_x"),
         F.sum("nb").alias("n_y"),
         F.sum(F.col("na") * mid_rank).alias("_ranks"),
         F.sum(n * n * n - n).alias("_ties"),
     )
     nx, ny = F.col("n_x").cast("double"), F.col("n_y").cast("double")
+    return sums.select(*by, "n_x", "n_y", (F.col("_ranks") - nx * (nx + 1.0) / 2.0).alias("statistic"), _sigma(nx, ny, F.col("_ties")).alias("sigma"), "_ties")
+
+
+def _sigma(nx: Column, ny: Column, ties: Column) -> Column:
+    """Standard deviation of the rank sum, with the sum of t^3 - t over ties of t rows."""
     total = nx + ny
-    return sums.select(
-        *by,
-        "n_x",
-        "n_y",
-        (F.col("_ranks") - nx * (nx + 1.0) / 2.0).alias("statistic"),
-        F.sqrt(nx * ny / 12.0 * (total + 1.0 - ratio("_ties", total * (total - 1.0)))).alias("sigma"),
-    )
+    return F.sqrt(nx * ny / 12.0 * (total + 1.0 - ratio(ties, total * (total - 1.0))))
 
 
 def _correction(z: Column, alternative: str) -> Column:
     return {"two.sided": F.signum(z) * 0.5, "greater": F.lit(0.5), "less": F.lit(-0.5)}[alternative]
 
 
+# Both samples below this size, and no ties: the exact distribution is the default.
+EXACT_BELOW = 50
+
+
+def _exact(nx: Column, ny: Column, ties: Column, exact: bool | None) -> Column:
+    if exact is not None:
+        return F.lit(exact) & (ties == 0)
+    return (nx < EXACT_BELOW) & (ny < EXACT_BELOW) & (ties == 0)
+
+
 def rank_sum(
     df: DataFrame,
     by: list[str],
@@ -270,106 +280,70 @@ def rank_sum(
     alternative: str = "two.sided",
     ci: bool = False,
     level: float = 0.95,
-    tolerance: float = 1e-4,
     p_values: bool = True,
+    exact: bool | None = None,
 ) -> DataFrame:
-    """Wilcoxon rank-sum test of two value columns, with tie and continuity correction.
+    """Wilcoxon rank-sum test of two value columns.
 
-    ``ci`` adds the location shift and its confidence bounds; see ``shift_estimates``.  The normal
-    approximation is used for every sample size.
+    Without ties and with both samples under 50 the exact null distribution is used, else the normal approximation with tie and
+    continuity correction; ``exact`` asks for either (never exact with ties).  ``ci`` adds the location shift and its confidence
+    bounds; see ``shift_estimates``.
     """
     tails.check_alternative(alternative)
-    counts = _two_samples(df, by, a, b)
+    counts = computed_once(_two_samples(df, by, a, b))
     out = _rank_sums(counts, by)
-    centred = F.col("statistic") - F.col("n_x").cast("double") * F.col("n_y") / 2.0
-    out = out.withColumn("_z", ratio(centred - _correction(centred, alternative), "sigma"))
     if p_values:
-        out = out.withColumn("p_value", tails.z_p_value("_z", alternative))
-    out = out.drop("_z", "sigma")
+        centred = F.col("statistic") - F.col("n_x").cast("double") * F.col("n_y") / 2.0
+        small = _exact(F.col("n_x"), F.col("n_y"), F.col("_ties"), exact)
+        sizes = [F.when(small, F.col(c)) for c in ("n_x", "n_y")]
+        z = ratio(centred - _correction(centred, alternative), "sigma")
+        out = out.withColumn("p_value", F.coalesce(tails.rank_sum_p_value("statistic", *sizes, alternative), tails.z_p_value(z, alternative)))
+    out = out.drop("sigma", "_ties")
     if ci:
-        out = join_on_group(out, shift_estimates(counts, by, alternative, level, tolerance), by)
+        out = join_on_group(out, shift_estimates(counts, by, alternative, level, exact), by)
     return out
 
 
-# Sections each search interval is cut into per pass.
-SECTIONS = 16
+def shift_estimates(counts: DataFrame, by: list[str], alternative: str = "two.sided", level: float = 0.95, exact: bool | None = None) -> DataFrame:
+    """estimate, conf_low, conf_high of the shift between two samples given as value counts (value, na, nb).
 
-
-def shift_estimates(
-    counts: DataFrame, by: list[str], alternative: str = "two.sided", level: float = 0.95, tolerance: float = 1e-4
-) -> DataFrame:
-    """estimate, conf_low, conf_high of the shift between two samples given as value counts.
-
-    Each bound is the shift at which the standardised rank sum crosses a normal quantile.  It never
-    rises with the shift, so every pass tries a fixed number of shifts per interval on the value
-    counts and keeps the section with the crossing; no pair of values is ever formed.  The number of
-    passes follows from the widest interval and the tolerance.  Intervals of all groups are cut in
-    the same job and checkpointed, so lineage stays short.
+    With the normal approximation each is the largest shift at which the standardised rank sum is still above its quantile; with the
+    exact distribution the estimate is the median difference and bounds come from its quantiles.  Either way they are order
+    statistics of the differences, so only their ranks are computed here.  Ties inside a sample count for the variance; those between samples
+    depend on the shift and vanish beside it.
     """
     tails.check_alternative(alternative)
     if not by:
         whole = counts.withColumn("_all", F.lit(True))
-        return shift_estimates(whole, ["_all"], alternative, level, tolerance).drop("_all")
-    counts = computed_once(counts)
+        return shift_estimates(whole, ["_all"], alternative, level, exact).drop("_all")
     one_sided = alternative != "two.sided"
-    z = tails.normal_quantile(level if one_sided else 0.5 + level / 2)
-    # Name, quantile, and correction of each crossing.
-    correction = {"greater": 0.5, "less": -0.5}.get(alternative)
-    roots = [("estimate", 0.0, 0.0)]
+    tail = 1 - level if one_sided else (1 - level) / 2
+    z = -tails.normal_quantile(tail)
+    cube = lambda c: F.sum(F.pow(F.col(c).cast("double"), F.lit(3.0)) - F.col(c))
+    sums = counts.groupBy(*by).agg(
+        F.sum("na").alias("_nx"), F.sum("nb").alias("_ny"), (cube("na") + cube("nb")).alias("_within"), cube("n").alias("_ties")
+    ).where("_nx > 0 and _ny > 0")
+    nx, ny = F.col("_nx").cast("double"), F.col("_ny").cast("double")
+    sums = sums.withColumn("_exact", _exact(F.col("_nx"), F.col("_ny"), F.col("_ties"), exact))
+    sums = sums.withColumns({"_pairs": F.col("_nx") * F.col("_ny"), "_reach": F.lit(z) * _sigma(nx, ny, F.col("_within")) + 0.5})
+    sizes = [F.when(F.col("_exact"), F.col(c)) for c in ("_nx", "_ny")]
+    sums = sums.withColumn("_q", F.greatest(F.lit(1), tails.rank_sum_quantile(tail, *sizes).cast("bigint")))
+    # As many differences lie above the one sought as the count at the crossing; the rank is one more.
+    half = F.col("_pairs") / 2.0
+    under = lambda count: (F.floor(count) + 1).cast("bigint")
+    chosen = {
+        # The median of an even number of differences is the mean of two.
+        "estimate": F.when(F.col("_exact"), F.floor((F.col("_pairs") + 2) / 2).cast("bigint")).otherwise(under(half)),
+        "estimate_too": F.when(F.col("_exact"), F.floor((F.col("_pairs") + 1) / 2).cast("bigint")).otherwise(under(half)),
+    }
     if alternative != "less":
-        roots.append(("conf_low", z, correction))
+        chosen["conf_low"] = F.when(F.col("_exact"), F.col("_pairs") + 1 - F.col("_q")).otherwise(under(half + F.col("_reach")))
     if alternative != "greater":
-        roots.append(("conf_high", -z, correction))
-
-    in_a, in_b = F.when(F.col("na") > 0, F.col("value")), F.when(F.col("nb") > 0, F.col("value"))
-    span = counts.groupBy(*by).agg(
-        (F.min(in_a) - F.max(in_b)).alias("_lo"), (F.max(in_a) - F.min(in_b)).alias("_hi")
-    )
-    span = span.where(F.col("_lo").isNotNull())
-    state = computed_once(span.withColumn("_root", F.explode(F.array(*[F.lit(name) for name, _, _ in roots]))))
-    widest = state.agg(F.max(F.col("_hi") - F.col("_lo"))).first()[0]
-    passes = max(1, math.ceil(math.log(max(widest or 0.0, tolerance) / tolerance, SECTIONS)))
-
-    quantile = F.create_map(*[x for name, q, _ in roots for x in (F.lit(name), F.lit(q))])
-    fixed = F.create_map(
-        *[x for name, _, c in roots for x in (F.lit(name), F.lit(c).cast("double"))]
-    )
-    key = [*by, "_root", "_cut"]
-    for _ in range(passes):
-        step = (F.col("_hi") - F.col("_lo")) / F.lit(float(SECTIONS))
-        tries = state.withColumn("_cut", F.explode(F.sequence(F.lit(1), F.lit(SECTIONS - 1)))).withColumn(
-            "_shift", F.col("_lo") + step * F.col("_cut")
-        )
-        moved = join_on_group(counts, tries.select(*key, "_shift"), by)
-        sides = moved.withColumn(
-            "_s",
-            F.explode(
-                F.array(
-                    F.struct((F.col("value") - F.col("_shift")).alias("v"), F.col("na").alias("a"), F.lit(0).cast("bigint").alias("b")),
-                    F.struct(F.col("value").alias("v"), F.lit(0).cast("bigint").alias("a"), F.col("nb").alias("b")),
-                )
-            ),
-        ).where(F.col("_s.a") + F.col("_s.b") > 0)
-        shifted = sides.groupBy(*key, (F.col("_s.v") + F.lit(0.0)).alias("value")).agg(
-            F.sum(F.col("_s.a") + F.col("_s.b")).alias("n"), F.sum("_s.a").alias("na"), F.sum("_s.b").alias("nb")
-        )
-        dz = F.col("statistic") - F.col("n_x").cast("double") * F.col("n_y") / 2.0
-        correct = F.coalesce(fixed[F.col("_root")], F.signum(dz) * 0.5)
-        crossing = (
-            _rank_sums(shifted, key, measured=False)
-            .withColumn("_above", F.coalesce(ratio(dz - correct, "sigma"), F.lit(0.0)) > quantile[F.col("_root")])
-            .groupBy(*by, "_root")
-            .agg(F.coalesce(F.max(F.when(F.col("_above"), F.col("_cut"))), F.lit(0)).alias("_section"))
-        )
-        state = computed_once(
-            join_on_group(state, crossing, [*by, "_root"])
-            .withColumn("_low", F.col("_lo") + step * F.col("_section"))
-            .select(*by, "_root", F.col("_low").alias("_lo"), (F.col("_low") + step).alias("_hi"))
-        )
-    middle = (F.col("_lo") + F.col("_hi")) / 2.0
-    out = state.groupBy(*by).agg(
-        *[F.max(F.when(F.col("_root") == name, middle)).alias(name) for name, _, _ in roots]
-    )
+        chosen["conf_high"] = F.when(F.col("_exact"), F.col("_q")).otherwise(under(half - F.col("_reach")))
+    ranks = sums.select(*by, F.explode(F.array(*[F.struct(F.lit(name).alias("root"), rank.alias("rank")) for name, rank in chosen.items()])).alias("_r")).select(*by, "_r.*")
+    found = ranked_differences(counts, by, computed_once(ranks))
+    out = found.groupBy(*by).agg(*[F.max(F.when(F.col("root") == name, F.col("shift"))).alias(name) for name in chosen])
+    out = out.withColumn("estimate", (F.col("estimate") + F.col("estimate_too")) / 2.0).drop("estimate_too")
     infinite = F.lit(float("inf"))
     if alternative == "greater":
         out = out.withColumn("conf_high", infinite)

@@ -16,7 +16,7 @@ from clozeframe.functions.measures import (
     share,
     std_error,
 )
-from clozeframe.operators.joins import PAIR_KEYS, counted_relations
+from clozeframe.operators.joins import PAIR_KEYS, counted_relations, natural_join
 
 BUCKET_KEYS = ("model", "bucket", "context_type", "dataset")
 
@@ -42,13 +42,13 @@ def relation_summary(
 ) -> DataFrame:
     """Facilitation by relation, for the counted relations, with a ``relation (n)`` label.
 
-    The lexicon is cut to the counted relations before it meets the results.  Add ``model`` to
-    ``by`` for one summary per model.
+    The lexicon is cut to the counted relations before it meets the results; missing keys match missing ones.  Add ``model``
+    to ``by`` for one summary per model.
     """
     relations = counted_relations(lex, counts)
     f = facilitation()
     out = (
-        df.join(relations, list(PAIR_KEYS))
+        natural_join(df, relations, PAIR_KEYS)
         .withColumn("_f", f)
         .groupBy(*by, "relation", "n")
         .agg(
@@ -149,10 +149,10 @@ def fix_summary(df: DataFrame, by: tuple[str, ...] = FIX_KEYS) -> DataFrame:
 def fix_summary_by_relation(
     df: DataFrame, lex: DataFrame, counts: DataFrame, by: tuple[str, ...] = FIX_KEYS
 ) -> DataFrame:
-    """Share of primed rows and mean probability difference per relation."""
+    """Share of primed rows and mean probability difference per relation; missing keys match missing ones."""
     relations = counted_relations(lex, counts)
     d = facilitation(kind="difference")
-    out = df.join(relations, list(PAIR_KEYS)).groupBy(*by, "relation", "n").agg(
+    out = natural_join(df, relations, PAIR_KEYS).groupBy(*by, "relation", "n").agg(
         share(d > 0).alias("primed"), F.avg(d).alias("facilitation")
     )
     return out.withColumn("label", labels.fmt_count("relation", "n", space=False))

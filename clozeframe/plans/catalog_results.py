@@ -164,6 +164,12 @@ def results_with_relation_salted(v):
     return out.select("model", "bucket", "target", "related", "unrelated", "unrelated_rank", "relation")
 
 
+@query("select model, bucket, target, related, unrelated, unrelated_rank, relation from related_results")
+def results_with_relation_split(v):
+    out = joins.split_join(v.kept, v.lex.select(*KEYS3, "relation"), KEYS3)
+    return out.select("model", "bucket", "target", "related", "unrelated", "unrelated_rank", "relation")
+
+
 _NORMS_SQL = """
     select model, bucket, kept.target, unrelated_rank, f, task, delta
     from kept join (select target, related, unrelated, 'delta_200ms' as task, delta_200ms as delta from lex
@@ -700,6 +706,40 @@ _INSTANCES = """
 _INSTANCE_COLUMNS = ["model", "constraint", "context_type", *KEYS3]
 
 
+# Pairs with a missing prime on both sides: missing keys match missing ones.
+_MISSING = """
+    select k.*, l.relation, n
+    from (select * replace (case when right(target, 1) = '3' then null else related end as related) from kept) k
+    join (select * replace (case when right(target, 1) = '3' then null else related end as related) from lex) l
+      on k.target is not distinct from l.target and k.related is not distinct from l.related
+         and k.unrelated is not distinct from l.unrelated
+    join top using (relation)"""
+
+
+def _without_some_primes(df):
+    return df.withColumn("related", F.when(F.substring("target", -1, 1) != "3", F.col("related")))
+
+
+@query(f"""
+    select *, f + se as high, f - se as low, relation || ' (' || n || ')' as label
+    from (select bucket, context_type, relation, n, avg(f) as f, 1.96::double * stddev_samp(f) / sqrt(count(f)) as se,
+                 avg(cast(f > 0 as double)) as facilitated from ({_MISSING}) r group by bucket, context_type, relation, n)""", _R_DOUBLES)
+def relation_summary_missing_keys(v):
+    return summaries.relation_summary(_without_some_primes(v.kept), _without_some_primes(v.lex), v.top)
+
+
+@query(f"""
+    select model, dataset, bucket, relation, n, avg(cast(diff > 0 as double)) as primed, avg(diff) as facilitation,
+           relation || '(' || n || ')' as label from ({_MISSING}) r group by model, dataset, bucket, relation, n""", "primed facilitation")
+def fix_summary_missing_keys(v):
+    return summaries.fix_summary_by_relation(_without_some_primes(v.kept), _without_some_primes(v.lex), v.top, ("model", "dataset", "bucket"))
+
+
+@query(f"""select model, "constraint", context_type, target, related, unrelated, relation, n, f as facilitation from ({_MISSING}) r""", "constraint facilitation")
+def instance_table_missing_keys(v):
+    return reshape.instance_table(_without_some_primes(v.kept), _without_some_primes(v.lex), v.top, _INSTANCE_COLUMNS)
+
+
 @query(_INSTANCES.format(f="f"), "constraint facilitation")
 def instance_table(v):
     return reshape.instance_table(v.kept, v.lex, v.top, _INSTANCE_COLUMNS)

@@ -1,7 +1,6 @@
 """Queries on regressions, tests and mixed models.
 
-Statistics are checked against SQL; the ``*_p`` queries add tail probabilities, which the checking
-engine does not offer.
+The ``*_p`` queries add tail probabilities and confidence bounds, which SQL gets by quadrature (``statistics_sql``).
 """
 
 from __future__ import annotations
@@ -10,6 +9,8 @@ from pyspark.sql import functions as F
 
 from clozeframe.functions import measures
 from clozeframe.operators import joins, lexicon, mixed, reshape, stats
+from clozeframe.plans import statistics_sql as tail
+from clozeframe.plans.catalog_results import _TITLE
 from clozeframe.plans.registry import query
 from clozeframe.plans.reports import lrt_report
 from clozeframe.plans.views import NORMS
@@ -43,14 +44,15 @@ def _binned(v):
     return v.kept.where(F.col("bucket") != 0)
 
 
-@query(
-    _glance_sql('(select * from kept where bucket <> 0)', "model, context_type", "f", '"constraint"'), _GLANCE_DOUBLES
-)
+_ON_CONSTRAINT = _glance_sql("(select * from kept where bucket <> 0)", "model, context_type", "f", '"constraint"')
+
+
+@query(_ON_CONSTRAINT, _GLANCE_DOUBLES)
 def regression_on_constraint(v):
     return stats.lm_glance(_binned(v), CELL, _bits(), "constraint", p_values=False)
 
 
-@query()
+@query(f"""select *, {tail.f_upper("statistic", "df", "df_residual")} as p_value from ({_ON_CONSTRAINT})""", f"{_GLANCE_DOUBLES} p_value")
 def regression_on_constraint_p(v):
     return stats.lm_glance(_binned(v), CELL, _bits(), "constraint")
 
@@ -106,7 +108,7 @@ def constraint_correlation_test(v):
     return stats.cor_test(v.kept, ["model"], "constraint", "isolated_probability", p_values=False)
 
 
-@query()
+@query(f"""select *, {tail.t_two_sided("statistic", "parameter")} as p_value from ({_COR_SQL})""", "estimate statistic conf_low conf_high p_value")
 def constraint_correlation_test_p(v):
     return stats.cor_test(v.kept, ["model"], "constraint", "isolated_probability")
 
@@ -120,7 +122,16 @@ def facilitation_t_test(v):
     return stats.t_test_1(v.kept, ["model", "bucket", "context_type"], _bits(), p_values=False)
 
 
-@query()
+_Z_95, _Z_975 = "1.6448536269514722::double", "1.959963984540054::double"
+
+
+@query(
+    f"""select * exclude (se), {tail.t_upper("statistic", "parameter")} as p_value,
+               estimate - {tail.t_quantile(_Z_95, "parameter")} * se as conf_low, 'inf'::double as conf_high
+        from (select model, bucket, context_type, avg(f) as estimate, avg(f) / (stddev_samp(f) / sqrt(count(f))) as statistic,
+                     count(f) - 1 as parameter, stddev_samp(f) / sqrt(count(f)) as se from kept group by model, bucket, context_type)""",
+    "estimate statistic p_value conf_low",
+)
 def facilitation_t_test_p(v):
     return stats.t_test_1(v.kept, ["model", "bucket", "context_type"], _bits())
 
@@ -159,7 +170,12 @@ def context_welch_test(v):
     return stats.t_test_2(_context_pairs(v), ["model", "bucket"], "sentence", "word", "greater", p_values=False)
 
 
-@query()
+@query(
+    f"""select *, {tail.t_upper("statistic", "parameter")} as p_value,
+               estimate - {tail.t_quantile(_Z_95, "parameter")} * (estimate / statistic) as conf_low, 'inf'::double as conf_high
+        from ({_BY_CONTEXT})""",
+    f"{_WELCH_DOUBLES} p_value conf_low",
+)
 def context_welch_test_p(v):
     return stats.t_test_2(_context_pairs(v), ["model", "bucket"], "sentence", "word", "greater")
 
@@ -169,48 +185,73 @@ def model_welch_test(v):
     return stats.t_test_2(_model_pairs(v), ["context_type", "bucket"], "A", "R", "less", p_values=False)
 
 
-@query(
-    """select model, bucket, count(*) filter (where side = 'a') as n_x, count(*) filter (where side = 'b') as n_y,
-              sum(mid) filter (where side = 'a') - n_x * (n_x + 1.0::double) / 2.0::double as statistic
-       from (select model, bucket, side,
-                    rank() over (partition by model, bucket order by x)
-                    + (count(*) over (partition by model, bucket, x) - 1) / 2.0::double as mid
-             from (select model, bucket, 'a' as side, related_probability as x from kept
-                   union all select model, bucket, 'b', unrelated_probability from kept))
-       group by model, bucket""",
-    "statistic",
-)
+_RANK_SUM = """
+    select model, bucket, n_x, n_y, statistic,
+           sqrt(n_x * n_y / 12.0::double * (n_x + n_y + 1 - ties / ((n_x + n_y) * (n_x + n_y - 1.0::double)))) as sigma, within
+    from (select model, bucket, count(*) filter (where side = 'a') as n_x, count(*) filter (where side = 'b') as n_y,
+                 sum(mid) filter (where side = 'a') - n_x * (n_x + 1.0::double) / 2.0::double as statistic,
+                 sum(t * t - 1.0::double) as ties, sum(own * own - 1.0::double) as within
+          from (select model, bucket, side, count(*) over (partition by model, bucket, x) as t,
+                       count(*) over (partition by model, bucket, side, x) as own,
+                       rank() over (partition by model, bucket order by x) + (t - 1) / 2.0::double as mid
+                from (select model, bucket, 'a' as side, related_probability as x from kept
+                      union all select model, bucket, 'b', unrelated_probability from kept))
+          group by model, bucket)"""
+_RANK_Z = "(statistic - n_x * n_y / 2.0::double - {0}) / sigma"
+
+
+@query(f"select model, bucket, n_x, n_y, statistic from ({_RANK_SUM})", "statistic")
 def probability_rank_sum(v):
     return stats.rank_sum(
         v.kept, ["model", "bucket"], "related_probability", "unrelated_probability", p_values=False
     )
 
 
-@query()
+@query(
+    f"""select model, bucket, n_x, n_y, statistic, least(1.0::double, 2 * {tail.normal_upper("abs(z)")}) as p_value
+        from (select *, {_RANK_Z.format("sign(statistic - n_x * n_y / 2.0::double) * 0.5::double")} as z from ({_RANK_SUM}))""",
+    "statistic p_value",
+)
 def probability_rank_sum_p(v):
     return stats.rank_sum(v.kept, ["model", "bucket"], "related_probability", "unrelated_probability")
 
 
-@query()
+# All differences of distinct values, largest first, with how many lie above or at each.
+@query(
+    f"""with tested as (
+            select *, floor(n_x * n_y / 2.0::double) + 1 as half,
+                   floor(n_x * n_y / 2.0::double + 0.5::double + {_Z_95}
+                         * sqrt(n_x * n_y / 12.0::double * (n_x + n_y + 1 - within / ((n_x + n_y) * (n_x + n_y - 1.0::double))))) + 1 as low
+            from ({_RANK_SUM})),
+        a as (select model, bucket, related_probability as x, count(*) as n from kept where related_probability is not null group by all),
+        b as (select model, bucket, unrelated_probability as y, count(*) as n from kept where unrelated_probability is not null group by all),
+        d as (select model, bucket, x - y as d, sum(a.n * b.n) as w from a join b using (model, bucket) group by all),
+        u as (select *, sum(w) over (partition by model, bucket order by d desc) as up_to from d)
+        select model, bucket, n_x, n_y, statistic, {tail.normal_upper("z")} as p_value, estimate, conf_low, 'inf'::double as conf_high
+        from (select model, bucket, any_value(n_x) as n_x, any_value(n_y) as n_y, any_value(statistic) as statistic,
+                     any_value({_RANK_Z.format("0.5::double")}) as z, max(d) filter (up_to >= half) as estimate, max(d) filter (up_to >= low) as conf_low
+              from tested join u using (model, bucket) group by model, bucket)""",
+    "statistic p_value estimate conf_low",
+)
 def probability_rank_sum_interval(v):
-    neutral = v.kept.where(F.col("bucket") == 0)
-    return stats.rank_sum(neutral, ["model"], "related_probability", "unrelated_probability", "greater", ci=True)
+    return stats.rank_sum(v.kept, ["model", "bucket"], "related_probability", "unrelated_probability", "greater", ci=True)
 
 
-@query(
-    """select model, context_type, k - 1 as df, cast(n - k as bigint) as df_residual, ssb as sumsq, ssw as sumsq_residual,
+_ANOVA = """select model, context_type, k - 1 as df, cast(n - k as bigint) as df_residual, ssb as sumsq, ssw as sumsq_residual,
               ssb / (k - 1) as meansq, ssw / (n - k) as meansq_residual, (ssb / (k - 1)) / (ssw / (n - k)) as statistic
        from (select model, context_type, count(*) as k, sum(n) as n, sum(n * power(m - grand, 2)) as ssb, sum(v * n) as ssw
              from (select model, context_type, bucket, count(*) as n, avg(diff) as m, var_pop(diff) as v from kept group by all)
              join (select model, context_type, avg(diff) as grand from kept group by all) using (model, context_type)
-             group by model, context_type)""",
-    "sumsq sumsq_residual meansq meansq_residual statistic",
-)
+             group by model, context_type)"""
+_ANOVA_DOUBLES = "sumsq sumsq_residual meansq meansq_residual statistic"
+
+
+@query(_ANOVA, _ANOVA_DOUBLES)
 def bucket_anova(v):
     return stats.anova_1(v.kept, CELL, measures.facilitation(kind="difference"), "bucket", p_values=False)
 
 
-@query()
+@query(f"""select *, {tail.f_upper("statistic", "df", "df_residual")} as p_value from ({_ANOVA})""", f"{_ANOVA_DOUBLES} p_value")
 def bucket_anova_p(v):
     return stats.anova_1(v.kept, CELL, measures.facilitation(kind="difference"), "bucket")
 
@@ -218,21 +259,25 @@ def bucket_anova_p(v):
 _POINTS = 20
 
 
-@query(
-    f"""select model, cast(i as integer) as point, lo + i * (hi - lo) / {_POINTS - 1} as x,
+_FIT_LINE = f"""select model, cast(i as integer) as point, lo + i * (hi - lo) / {_POINTS - 1} as x,
                intercept + slope * (lo + i * (hi - lo) / {_POINTS - 1}) as fit,
                sqrt(syy * (1 - r2) / (n - 2)) * sqrt(1.0::double / n + power(lo + i * (hi - lo) / {_POINTS - 1} - mx, 2) / sxx) as se
         from (select model, regr_slope(f, "constraint") as slope, regr_intercept(f, "constraint") as intercept,
                      regr_r2(f, "constraint") as r2, regr_syy(f, "constraint") as syy, regr_sxx(f, "constraint") as sxx,
                      avg("constraint") as mx, count(*) as n, min("constraint") as lo, max("constraint") as hi
-              from kept group by model) cross join (select unnest(range({_POINTS})) as i)""",
-    "x fit se",
-)
+              from kept group by model) cross join (select unnest(range({_POINTS})) as i)"""
+
+
+@query(_FIT_LINE, "x fit se")
 def constraint_fit_line(v):
     return stats.fit_band(v.kept, ["model"], _bits(), "constraint", grid=_POINTS, band=False)
 
 
-@query()
+@query(
+    f"""select * exclude (df), fit - {tail.t_quantile(_Z_975, "df")} * se as lower, fit + {tail.t_quantile(_Z_975, "df")} * se as upper
+        from ({_FIT_LINE}) join (select model, count(*) - 2 as df from kept where f is not null and "constraint" is not null group by model) using (model)""",
+    "x fit se lower upper",
+)
 def constraint_fit_band(v):
     return stats.fit_band(v.kept, ["model"], _bits(), "constraint", grid=_POINTS)
 
@@ -265,12 +310,39 @@ def mixed_model_deviance(v):
     return mixed.deviance_at(classes, CELL, _RATIOS)
 
 
-@query()
+_ML_FIT = tail.mixed_fit("kept", "model, context_type", "f", '"constraint"', "target")
+
+
+@query(
+    f"""with {_ML_FIT}
+        select model, context_type, case when ws then slope end as slope, b0 + cy - slope * cx as intercept, case when known then r end as ratio,
+               case when ok and known then rss / total end as sigma2, case when known then r * rss / total end as tau2,
+               case when ok then -dev / 2 end as "logLik", case when ok then dev end as deviance, cast(total as bigint) as nobs, groups
+        from fit""",
+    "slope intercept ratio sigma2 tau2 logLik deviance",
+)
 def mixed_model_ml(v):
     return mixed.lmm_ml(v.kept, CELL, _bits(), "constraint", "target")
 
 
-@query()
+def _lrt_sql(source: str, by: str) -> str:
+    """CTEs and a statement for the likelihood-ratio test of the slope."""
+    full = tail.mixed_fit(source, by, "f", '"constraint"', "target", "_full")
+    null = tail.mixed_fit(source, by, "f", '"constraint"', "target", "_null", slope=False)
+    return f"""with {full},
+        {null},
+        lrt as materialized (
+            select {by}, case when a.ws and a.ok and b.ok then greatest(b.dev - a.dev, 0) end as statistic, 1 as df,
+                   case when a.ws then a.slope end as fixed_effect
+            from fit_full a join fit_null b using ({by}))"""
+
+
+_LRT = f"""statistic, df, 2 * {tail.normal_upper("sqrt(statistic)")} as p_value, fixed_effect from lrt"""
+_LRT_DOUBLES = "statistic p_value fixed_effect"
+_RELATION_LRT = _lrt_sql("related_results join top using (relation)", "model, dataset, relation, n")
+
+
+@query(f"""{_lrt_sql("kept", "model, dataset")} select model, dataset, {_LRT}""", _LRT_DOUBLES)
 def mixed_model_lrt(v):
     return mixed.lmm_lrt(v.kept, ["model", "dataset"], _bits(), "constraint", "target")
 
@@ -281,22 +353,60 @@ def _relation_lrt(v):
     return mixed.lmm_lrt(rows, ["model", "dataset", "relation", "n"], "facilitation", "constraint", "target")
 
 
-@query()
+@query(f"{_RELATION_LRT} select model, dataset, relation, n, {_LRT}", _LRT_DOUBLES)
 def mixed_model_lrt_by_relation(v):
     return _relation_lrt(v)
 
 
-@query()
+def _side(value: str) -> str:
+    return ", ".join(f"max(round_even({value}, 2)) filter (where dataset = '{d}') as {value}_{d}" for d in ("sentence", "word"))
+
+
+@query(
+    f"""{_RELATION_LRT} select model, {_TITLE.format("relation")} as relation, n, {_side("statistic")}, {_side("fixed_effect")}
+        from lrt group by 1, 2, 3""",
+    "statistic_sentence statistic_word fixed_effect_sentence fixed_effect_word",
+)
 def mixed_model_lrt_report(v):
     return lrt_report(_relation_lrt(v), ["sentence", "word"])
 
 
-@query()
+_BINNED_FIT = tail.mixed_fit("(select * from kept where bucket <> 0)", "model, context_type", "f", '"constraint"', "target", reml=True)
+# The curvature of the restricted deviance in the ratio and the residual variance, and the derivatives of the coefficients' variances.
+_REML_TABLE = f"""
+    select model, context_type, term, estimate, std_error, freedom as df, statistic,
+           case when freedom is not null then {tail.t_two_sided("statistic", "freedom")} end as p_value
+    from (select *, estimate / std_error as statistic,
+                 case when r = 0 then free when rr > 0 and rr * ss - rs * rs > 1e-12 * rr * ss
+                      then 2 * v * v * (rr * ss - rs * rs) / (2 * (ss * by_r * by_r - 2 * rs * by_r * i + rr * i * i)) end as freedom
+          from (select model, context_type, term, estimate, r, free, i, rr, rs, ss, -spread * s as by_r, i * s as v, sqrt(i * s) as std_error
+                from (select *, -hs2 + rss2 / s + turn as rr, -rss1 / (s * s) as rs, -free / (s * s) + 2 * rss / (s * s * s) as ss,
+                             unnest(case when ws then ['intercept', 'slope'] else ['intercept'] end) as term,
+                             unnest([b0 + cy, slope]) as estimate, unnest([i11, i22]) as i, unnest([s11, s22]) as spread
+                      from (select *, q2 - 2 * (b0 * u2 + slope * v2) + b0 * b0 * a2 + 2 * b0 * slope * b2 + slope * slope * d2
+                                   - 2 * (p1 * p1 * i11 + 2 * p1 * p2 * i12 + p2 * p2 * i22) as rss2,
+                                   i11 * a2 + 2 * i12 * b2 + i22 * d2 - (s11 * a1 + 2 * s12 * b1 + s22 * d1) as turn
+                            from (select *, i11 * i11 * a1 + 2 * i11 * i12 * b1 + i12 * i12 * d1 as s11,
+                                         i12 * i12 * a1 + 2 * i12 * i22 * b1 + i22 * i22 * d1 as s22,
+                                         i11 * i12 * a1 + (i11 * i22 + i12 * i12) * b1 + i12 * i22 * d1 as s12,
+                                         u1 - (a1 * b0 + b1 * slope) as p1, v1 - (b1 * b0 + d1 * slope) as p2,
+                                         q1 - 2 * (b0 * u1 + slope * v1) + b0 * b0 * a1 + 2 * b0 * slope * b1 + slope * slope * d1 as rss1
+                                  from (select *, case when ok then rss / freedom end as s, freedom as free,
+                                               case when ws then d / det else 1 / a end as i11, case when ws then -b / det else 0 end as i12,
+                                               case when ws then a / det else 0 end as i22 from fit)))))
+          where term is not null)"""
+
+
+@query(f"with {_BINNED_FIT} {_REML_TABLE}", "estimate std_error df statistic p_value")
 def mixed_model_reml(v):
     return mixed.lmm_reml(_binned(v), CELL, _bits(), "constraint", "target")
 
 
-@query()
+@query(
+    f"""with {tail.mixed_fit("(select * from related_results join top using (relation) where bucket <> 0)", "model, context_type, relation", "f", '"constraint"', "target", reml=True)}
+        select model, context_type, relation, slope from fit where ws""",
+    "slope",
+)
 def mixed_model_reml_slopes_by_relation(v):
     rows = reshape.instance_table(_binned(v), v.lex, v.top, ["model", "context_type", "constraint", "target"])
     out = mixed.lmm_reml(rows, [*CELL, "relation"], "facilitation", "constraint", "target")

@@ -10,7 +10,7 @@ from clozeframe.functions import text
 from clozeframe.operators import cloze, corpus, lexicon, reshape, scoring, stimuli, windows
 from clozeframe.plans.experiment import run_constraint, run_entropy, run_legacy, run_priming, run_priming_cloze
 from clozeframe.plans.registry import query
-from clozeframe.plans.views import sql_context_tokens
+from clozeframe.plans.views import PIECE_COUNT, sql_context_tokens
 from clozeframe.sources.provenance import parse_provenance
 
 SMOOTHING = 0.5
@@ -106,7 +106,10 @@ def carrier_sample(v):
     return _sample(v).select("target", text.join_tokens("tokens").alias("sentence"))
 
 
-@query("select target, sense from word_lex join pieces using (target)")
+@query(f"""
+    with counted as materialized (select token, n from vocab),
+    repeated as (select token as target, cast(unnest(range(1, case when n >= 20 then 3 else 2 end)) as integer) as sense from counted)
+    select target, sense from repeated where target in (select token from counted where n >= {PIECE_COUNT})""")
 def single_piece_targets(v):
     return lexicon.single_piece(v.word_lex, v.pieces)
 

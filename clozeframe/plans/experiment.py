@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clozeframe.functions.text import mask_index
 from clozeframe.operators.cloze import ClozeModel, mask_neighbours, score_cloze
 from clozeframe.operators.joins import join_on_group
-from clozeframe.operators.scoring import Scorer, assemble_results, prime_metrics, score
+from clozeframe.operators.scoring import Scorer, ScoreStore, assemble_results, prime_metrics, score
 from clozeframe.operators.stimuli import build_stimuli, conditions_long
 from clozeframe.sources.schemas import (
     CONDITIONS,
@@ -88,17 +89,46 @@ def run_legacy(stimuli: DataFrame, load_scorer: Callable[[], Scorer], **options)
     return wide.withColumn("_copy", copy).select(*LEGACY_PRIMING_RESULT.fieldNames())
 
 
+def finished_cells(spark: SparkSession, path: str) -> set[tuple[str, str]]:
+    """(model, scenario) of the cells that a run matrix has written completely."""
+    try:
+        rows = spark.read.schema("model string, scenario string").parquet(f"{path}{FINISHED}").distinct().collect()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return set()
+    return {(r["model"], r["scenario"]) for r in rows}
+
+
+# Beside the result table: one row per finished cell.
+FINISHED = "_finished"
+
+
 def run_experiments(
     stimuli: DataFrame,
     scorers: dict[str, Callable[[], Scorer]],
     modes: list[str],
     path: str,
     fmt: str = "parquet",
+    store: ScoreStore | None = None,
+    again: bool = False,
 ) -> None:
-    """Every model in every mode, written to one table partitioned by model and scenario."""
+    """Every model in every mode, written to one table partitioned by model and scenario.
+
+    A cell replaces its own partition and is then entered in a table of finished cells, so a run that is stopped and started again
+    goes on where it was and has every row once; ``again`` runs finished cells too.  With a ``store`` contexts that
+    several modes share are scored once per model.
+    """
+    spark = stimuli.sparkSession
+    finished = set() if again else finished_cells(spark, path)
     for model, load_scorer in scorers.items():
         for mode in modes:
-            result = run_priming(stimuli, load_scorer, mode).withColumns(
+            if (model, mode) in finished:
+                continue
+            options = {} if store is None else {"store": store, "model": model}
+            result = run_priming(stimuli, load_scorer, mode, **options).withColumns(
                 {"model": F.lit(model), "scenario": F.lit(mode)}
             )
-            write_table(result, path, fmt, ("model", "scenario"), mode="append")
+            write_table(result, path, fmt, ("model", "scenario"), mode="overwrite")
+            done = spark.createDataFrame([(model, mode)], "model string, scenario string")
+            write_table(done.coalesce(1), f"{path}{FINISHED}", mode="append")

@@ -199,6 +199,35 @@ def test_salted_join_equals_plain_join(spark):
         assert plain.exceptAll(salted).isEmpty() and salted.exceptAll(plain).isEmpty()
 
 
+def test_split_join_repeats_hot_keys_only(spark):
+    facts = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 100 != 1, F.col("id").cast("string")).alias("k"), (F.col("id") % 7).alias("v")
+    )
+    lookup = spark.range(60_000).select(F.col("id").cast("string").alias("k"), F.col("id").alias("w")).unionByName(
+        spark.createDataFrame([("hot", -1), ("hot", -2), (None, -3)], "k string, w bigint")
+    )
+    assert len(joins.hot_keys(facts, ["k"])) == 1 and joins.hot_keys(lookup, ["k"]) == []
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        plain, split = joins.lookup_join(facts, lookup, ["k"], how), joins.split_join(facts, lookup, ["k"], how)
+        assert plain.columns == split.columns and plain.exceptAll(split).isEmpty() and split.exceptAll(plain).isEmpty()
+    plan = joins.split_join(facts.hint("merge"), lookup, ["k"])
+    shuffled = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" in shuffled
+    # The hot key spreads over sub-keys, and its lookup rows alone are repeated.
+    repeated = lookup.withColumn("hot", F.xxhash64("k").isin(joins.hot_keys(facts, ["k"])))
+    assert repeated.where("hot").count() == 2
+
+
+def test_ordinals_of_many_levels(spark):
+    n = 200_000
+    df = spark.range(n).select(F.format_string("level%06d", F.col("id")).alias("name"), (F.col("id") * 7919 % 1000).alias("size"))
+    out = reshape.with_levels(df, "name", "size")
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+    got = out.toPandas().sort_values("name_ord")
+    want = sorted(((-(i * 7919 % 1000), f"level{i:06d}") for i in range(n)))
+    assert got.name_ord.tolist() == list(range(1, n + 1)) and got.name.tolist() == [name for _, name in want]
+
+
 def test_softmax_extremes_and_ties(spark):
     df = spark.createDataFrame([([1000.0, 0.0, 1000.0, -1000.0],)], "s array<double>").withColumn("p", dist.softmax("s"))
     p, rank0, rank1, best, h, outside = df.select(
@@ -223,6 +252,18 @@ def test_null_keys_match_in_natural_joins(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(None, 0.0), ("r", 1.0)], key=str)
 
 
+def test_null_keys_match_in_summaries(spark):
+    keys = "target string, related string, unrelated string"
+    results = spark.createDataFrame(
+        [("a", None, "c", 0.2, 0.1), ("a", "b", None, 0.1, 0.4), ("a", "b", "c", 0.3, 0.3)], keys + ", related_probability double, unrelated_probability double"
+    ).withColumns({"bucket": lit(1), "context_type": lit("word"), "model": lit("m"), "dataset": lit("word"), "constraint": lit(0.5)})
+    lex = spark.createDataFrame([("a", None, "c", "r"), ("a", "b", None, "r"), ("x", "b", "c", "r")], keys + ", relation string")
+    top = spark.createDataFrame([("r", 3)], "relation string, n int")
+    assert reshape.instance_table(results, lex, top, ["target", "related", "unrelated"]).count() == 2
+    assert summaries.relation_summary(results, lex, top).first().facilitated == 0.5
+    assert summaries.fix_summary_by_relation(results, lex, top).first().primed == 0.5
+
+
 def test_levels_keep_null(spark):
     df = spark.createDataFrame([("a", 1), (None, 3), ("b", 2)], "name string, n int")
     assert {r["name"]: r["name_ord"] for r in reshape.with_levels(df, "name", "n").collect()} == {None: 1, "b": 2, "a": 3}

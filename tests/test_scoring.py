@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from clozeframe.operators import cloze, corpus, scoring, stimuli
 from clozeframe.plans.catalog_text import LengthScorer
+from clozeframe.operators.scoring import ScoreStore
 from clozeframe.plans.experiment import (
+    finished_cells,
     run_constraint,
     run_entropy,
     run_experiments,
@@ -82,6 +84,70 @@ def test_experiments_are_partitioned(spark, frame, tmp_path):
     assert back.groupBy("model", "scenario").count().count() == 4 and back.count() == 16
 
 
+def counting(folder, fail_on=None):
+    """Loads a scorer that notes every context it is asked for in a folder."""
+    folder = str(folder)
+
+    def load():
+        import os
+        import uuid
+
+        # Defined here, so that workers get the class itself.
+        class Counting(LengthScorer):
+            def __call__(self, contexts, positions):
+                with open(os.path.join(folder, uuid.uuid4().hex), "w") as f:
+                    f.write("\n".join(contexts))
+                if fail_on and any(fail_on in c for c in contexts):
+                    raise RuntimeError("stopped")
+                return super().__call__(contexts, positions)
+
+        return Counting()
+
+    return load
+
+
+def asked_contexts(folder):
+    return [line for path in sorted(folder.iterdir()) for line in path.read_text().split("\n")]
+
+
+def test_a_stopped_run_goes_on_where_it_was(spark, frame, tmp_path):
+    path, one, two = str(tmp_path / "runs"), tmp_path / "one", tmp_path / "two"
+    one.mkdir(), two.mkdir()
+    stopped = {"a": LengthScorer, "b": counting(one, "next word")}
+    with pytest.raises(Exception, match="stopped"):
+        run_experiments(frame, stopped, ["word", "sentence"], path)
+    assert finished_cells(spark, path) == {("a", "word"), ("a", "sentence"), ("b", "word")}
+    # A cell that was written but not entered as finished is replaced, not added to.
+    spark.read.parquet(path).where("model = 'b'").withColumn("scenario", F.lit("sentence")).write.mode("append").partitionBy("model", "scenario").parquet(path)
+    run_experiments(frame, {"a": counting(two), "b": counting(two)}, ["word", "sentence"], path)
+    back = spark.read.parquet(path)
+    whole = str(tmp_path / "whole")
+    run_experiments(frame, {"a": LengthScorer, "b": LengthScorer}, ["word", "sentence"], whole)
+    rows = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
+    assert rows(back) == rows(spark.read.parquet(whole)) and back.count() == 16
+    # Only the unfinished cell was scored.
+    assert set(asked_contexts(two)) >= {"[CLS] it was [MASK] [SEP]"} and not any(c.startswith("[CLS] dog.") for c in asked_contexts(two))
+
+
+def test_a_second_mode_scores_no_isolated_context(spark, frame, tmp_path):
+    first, second = tmp_path / "first", tmp_path / "second"
+    first.mkdir(), second.mkdir()
+    store = ScoreStore(str(tmp_path / "scores"))
+    plain = {mode: run_priming(frame, LengthScorer, mode) for mode in ("word", "sentence")}
+    got = {"word": run_priming(frame, counting(first), "word", store=store, model="m").collect()}
+    got["sentence"] = run_priming(frame, counting(second), "sentence", store=store, model="m").collect()
+    isolated = {r.context for r in frame.collect()}
+    assert isolated <= set(asked_contexts(first)) and not isolated & set(asked_contexts(second)) and asked_contexts(second)
+    for mode, rows in got.items():
+        assert sorted(map(repr, rows)) == sorted(map(repr, plain[mode].collect()))
+    # All is known now; another model is not.
+    before = len(list(second.iterdir()))
+    run_priming(frame, counting(second), "word", store=store, model="m").collect()
+    assert len(list(second.iterdir())) == before
+    run_priming(frame, counting(second), "word", store=store, model="other").collect()
+    assert len(list(second.iterdir())) > before
+
+
 CORPUS = ["the cat sat .", "the cat ran .", "the dog sat .", "a cat sat .", "the cat sat ."]
 
 
