@@ -50,25 +50,24 @@ def _text_key(text: str = "text") -> list[Column]:
     return [F.xxhash64(text).alias("text_key"), F.octet_length(text).alias("text_size")]
 
 
-def _hashes(masked: Column, n_words: Column) -> Column:
-    """Struct of the line's own hash and of its templates with one variable part (from ``PARTS`` words on)."""
+def _templates(masked: Column, n_words: Column) -> Column:
+    """Hashes of the line itself and, from ``PARTS`` words on, of its templates with one variable part."""
 
-    def of(words: Column) -> Column:
+    def hashes(words: Column) -> Column:
         edge = lambda i: F.floor(n_words * i / PARTS).cast("int")
         parts = F.array(*[F.xxhash64(F.lit(i), F.array_join(F.slice(words, edge(i) + 1, edge(i + 1) - edge(i)), " ")) for i in range(PARTS)])
         without = lambda p, k: F.xxhash64(n_words, F.lit(k), *[p[i] for i in range(PARTS) if i != k])
-        return bind(parts, lambda p: F.struct(F.xxhash64(n_words, p).alias("line"), F.array(*[without(p, k) for k in range(PARTS)]).alias("templates")))
+        return bind(parts, lambda p: F.array(F.xxhash64(n_words, p), *[without(p, k) for k in range(PARTS)]))
 
-    short = F.struct(F.xxhash64(masked).alias("line"), F.array().cast("array<bigint>").alias("templates"))
-    return F.when(n_words >= PARTS, bind(F.split(masked, " "), of)).otherwise(short)
+    return F.when(n_words >= PARTS, bind(F.split(masked, " "), hashes)).otherwise(F.array(F.xxhash64(masked)))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Long enough lines as hashes: key of the text, at (position), n_words, line, templates."""
+    """Long enough lines as hashes: id, key of the text, at (position), n_words, templates (the line's own hash first)."""
     lines = docs.select(*_text_key(), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     lines = lines.where(F.length(F.trim("line")) >= MIN_CHARS).select(*KEY, "at", _masked(F.col("line")).alias("masked"))
     lines = lines.withColumn("n_words", F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1)
-    return lines.select(*KEY, "at", "n_words", _hashes(F.col("masked"), F.col("n_words")).alias("h")).select(*KEY, "at", "n_words", "h.*")
+    return lines.select(F.monotonically_increasing_id().alias("id"), *KEY, "at", "n_words", _templates(F.col("masked"), F.col("n_words")).alias("templates"))
 
 
 def _sketches(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -85,16 +84,21 @@ def _sketches(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return whole.select(*KEY, F.transform(classes, two).alias("sketches"))
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows of templates that are in at least two different texts."""
-    shared = rows.groupBy("template").agg(F.min("text_key").alias("_a"), F.max("text_key").alias("_b")).where("_a <> _b").select("template")
-    return kept(attach(rows, kept(shared), ["template"], BOUND))
+def _shared(lines: DataFrame) -> DataFrame:
+    """Rows (template, k, id, key, at, n_words) of templates that are in at least two different texts; k is 0 for a line's own hash.
+
+    Until it is known which templates these are, rows are a template and a number.
+    """
+    each = lines.select("id", "text_key", F.posexplode("templates").alias("k", "template"))
+    shared = each.groupBy("template").agg(F.min("text_key").alias("_a"), F.max("text_key").alias("_b")).where("_a <> _b").select("template")
+    rows = kept(attach(each.drop("text_key"), kept(shared), ["template"], BOUND))
+    return kept(rows.join(lines.drop("templates"), "id"))
 
 
-def _recurring(docs: DataFrame, rows: DataFrame, min_docs: int) -> DataFrame:
-    """Templates, out of rows (key, at, n_words, template) of shared templates, that are in enough families of texts."""
+def _judged(rows: DataFrame, sketches: DataFrame, min_docs: int) -> DataFrame:
+    """(template, recurring, copies) of the templates of rows (template, key, at, n_words): in enough families of texts, or in copies."""
     rows = rows.groupBy("template", *KEY).agg(F.min("at").alias("at"), F.max("n_words").alias("n_words"))
-    each = attach(rows, kept(_sketches(docs, kept(rows.select(*KEY).distinct()))), KEY)
+    each = attach(rows, sketches, KEY)
     # A line says nothing about the rest of its text; a text without any other is a family of its own.
     other = lambda two: F.get(F.filter(two, lambda s: s["at"] != F.col("at")), F.lit(0))["hash"]
     family = lambda two: F.coalesce(other(two), F.col("text_key"))
@@ -105,20 +109,20 @@ def _recurring(docs: DataFrame, rows: DataFrame, min_docs: int) -> DataFrame:
     least = F.when(F.col("n_words") >= LONG, MIN_LONG).otherwise(min_docs)
     apart = F.col("families") - 1 > (F.col("texts") - 1) * (SHARE + MARGIN / F.col("texts"))
     # Half a family is left to chance.
-    return kept(counted.where((F.col("families") >= least - 0.5) & apart).select("template"))
+    return kept(counted.select("template", (apart & (F.col("families") >= least - 0.5)).alias("recurring"), (~apart).alias("copies")))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(key, drop: positions of recurring lines) of every distinct text that has one."""
     # The word limit is applied to the kept rows: pushed below, it would mask every line once more.
-    lines = kept(_lines(docs)).where(F.col("n_words") >= MIN_WORDS)
-    same = _shared(lines.select(*KEY, "at", "n_words", F.col("line").alias("template")))
-    found = kept(attach(same, _recurring(docs, same, min_docs), ["template"], BOUND).select(*KEY, "at"))
-    # Other lines are looked at by their templates.
-    others = lines.join(found, [*KEY, "at"], "left_anti").select(*KEY, "at", "n_words", F.explode("templates").alias("template"))
-    alike = _shared(others)
-    more = attach(alike, _recurring(docs, alike, min_docs), ["template"], BOUND).select(*KEY, "at")
-    return found.unionByName(more).groupBy(*KEY).agg(F.collect_set("at").alias("drop"))
+    rows = _shared(kept(_lines(docs)).where(F.col("n_words") >= MIN_WORDS))
+    sketches = kept(_sketches(docs, kept(rows.select(*KEY).distinct())))
+    whole = kept(attach(rows.where("k = 0"), _judged(rows.where("k = 0"), sketches, min_docs), ["template"], BOUND))
+    # Lines that recur as they are, and lines of copies, are settled; the others are looked at by their templates.
+    others = kept(rows.where("k > 0").join(whole.where("recurring or copies").select("id"), "id", "left_anti"))
+    alike = attach(others, _judged(others, sketches, min_docs), ["template"], BOUND)
+    found = whole.where("recurring").select(*KEY, "at").unionByName(alike.where("recurring").select(*KEY, "at"))
+    return found.groupBy(*KEY).agg(F.collect_set("at").alias("drop"))
 
 
 def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
