@@ -4,8 +4,8 @@ Equal vectors of a label are one vector with a count.  Vectors of one label and
 ``SHARD`` distinct vectors; one task builds the graph of a shard, and the graphs are kept as rows of bounded size.
 Every vector then asks every shard of its label, in blocks of the same bound: a beam search leads to its
 neighbourhood, and from there the search goes on over all graph links between vectors above the threshold.  In
-each task a sample of the queries is also answered by comparing all; while the share of links found is below
-``RECALL`` the beam is doubled and the block is asked again.  A task returns the number of links of each query and
+each task samples of the queries are also answered by comparing all, until ``TRUE_LINKS`` true links to other vectors were seen or all
+queries were compared; while the share of them found is below ``RECALL`` the beam is doubled and the block is asked again.  A task returns the number of links of each query and
 a spanning forest of the links, never all pairs; the forests are joined into components.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import io
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,8 @@ NEIGHBOURS = 12
 BEAM_BUILD = 48
 BEAM = 24
 RECALL = 0.999
-AUDITED = 64
+# Queries that are compared with all at a time, and true links that an audit wants to see.
+AUDITED, TRUE_LINKS = 64, 64
 
 
 class Graph:
@@ -179,35 +181,48 @@ def _build(key, shard: pd.DataFrame) -> pd.DataFrame:
     shard = shard.sort_values("node")
     graph = Graph.build(unit(shard["embedding"])).dumps()
     return pd.DataFrame(
-        {"label": [key[0]], "dim": [key[1]], "shard": [key[2]], "nodes": [shard["node"].tolist()], "copies": [shard["copies"].tolist()], "vectors": [np.array(shard["embedding"].tolist(), dtype=np.float32).tobytes()], "graph": [graph]}
+        {"label": [key[0]], "dim": [key[1]], "shard": [key[2]], "nodes": [shard["node"].tolist()], "copies": [shard["copies"].tolist()], "vectors": [np.array(shard["embedding"].tolist(), dtype=np.float64).tobytes()], "graph": [graph]}
     )
 
 
-def _roots(size: int, pairs: list[tuple[int, int]]) -> list[int]:
-    root = list(range(size))
+class Forest:
+    """Spanning forest of the links of a task: each node knows the least node it was joined to."""
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b in pairs:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    return [find(x) for x in range(size)]
+    def __init__(self, size: int):
+        self.root = list(range(size))
 
+    def find(self, x: int) -> int:
+        while self.root[x] != x:
+            self.root[x] = self.root[self.root[x]]
+            x = self.root[x]
+        return x
 
-def answer(graph: Graph, queries: np.ndarray, threshold: float, recall: float = RECALL) -> list[np.ndarray]:
-    """What each query finds, with a beam that passes the audit on a sample of the queries."""
-    sample = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(int))
-    true = queries[sample] @ graph.vectors.T >= threshold
+    def join(self, a: int, others: np.ndarray) -> None:
+        for b in others.tolist():
+            x, y = self.find(a), self.find(b)
+            self.root[max(x, y)] = min(x, y)
+
+
+def answer(graph: Graph, queries: np.ndarray, threshold: float, own: np.ndarray, recall: float = RECALL) -> Iterator[np.ndarray]:
+    """What each query finds but itself (``own``: its place in the graph, or -1), with a beam that passes the audit."""
+    order = np.random.default_rng(len(queries)).permutation(len(queries))
+    true: dict[int, int] = {}
+    # Without a true link nothing is audited, so samples are drawn until enough were seen.
+    for at in range(0, len(order), AUDITED):
+        sample = order[at : at + AUDITED]
+        near = queries[sample] @ graph.vectors.T >= threshold
+        inside = own[sample] >= 0
+        near[np.flatnonzero(inside), own[sample][inside]] = False
+        true.update(zip(sample.tolist(), near.sum(axis=1).tolist(), strict=True))
+        if sum(true.values()) >= TRUE_LINKS:
+            break
+    linked = [i for i, n in true.items() if n]
+    wanted = recall * sum(true.values())
+    found = lambda i, width: (lambda h: h[h != own[i]])(graph.within(queries[i], threshold, width))
     width = BEAM
-    while True:
-        audit = {int(i): graph.within(queries[i], threshold, width) for i in sample}
-        if width >= len(graph.vectors) or sum(len(x) for x in audit.values()) >= recall * true.sum():
-            return [audit[i] if i in audit else graph.within(queries[i], threshold, width) for i in range(len(queries))]
+    while width < len(graph.vectors) and sum(len(found(i, width)) for i in linked) < wanted:
         width *= 2
+    return (found(i, width) for i in range(len(queries)))
 
 
 def _ask(threshold: float):
@@ -216,21 +231,22 @@ def _ask(threshold: float):
         if len(graphs) and len(block):
             g = graphs.iloc[0]
             nodes, copies = list(g["nodes"]), np.array(g["copies"])
-            stored = np.frombuffer(g["vectors"], dtype=np.float32).reshape(len(nodes), -1).astype(np.float64)
+            stored = np.frombuffer(g["vectors"], dtype=np.float64).reshape(len(nodes), -1)
             graph = Graph.loads(stored / np.sqrt((stored * stored).sum(axis=1, keepdims=True)), g["graph"])
             queries, asking = unit(block["embedding"]), block["node"].tolist()
-            hits = answer(graph, queries, threshold)
             place = {n: i for i, n in enumerate(nodes)}
-            own = [place.get(n, -1) for n in asking]
-            hits = [h[h != o] for h, o in zip(hits, own, strict=True)]
+            own = np.array([place.get(n, -1) for n in asking])
             # Nodes of the task: the shard's, then the queries that are not in the shard.
             names = nodes + [n for n, o in zip(asking, own, strict=True) if o < 0]
             new = iter(range(len(nodes), len(names)))
-            at = [o if o >= 0 else next(new) for o in own]
-            roots = _roots(len(names), [(a, j) for a, h in zip(at, hits, strict=True) for j in h.tolist()])
+            forest, found = Forest(len(names)), []
+            for o, hits in zip(own.tolist(), answer(graph, queries, threshold, own), strict=True):
+                forest.join(o if o >= 0 else next(new), hits)
+                found.append(int(copies[hits].sum()))
+            roots = [forest.find(i) for i in range(len(names))]
             out = {
                 "node": asking + [n for n, r in zip(names, roots, strict=True) if n != names[r]],
-                "found": [int(copies[h].sum()) for h in hits] + [0] * sum(r != i for i, r in enumerate(roots)),
+                "found": found + [0] * sum(r != i for i, r in enumerate(roots)),
                 "other": [None] * len(asking) + [names[r] for i, r in enumerate(roots) if r != i],
             }
         return pd.DataFrame(out).astype({"node": "object", "found": "int64", "other": "object"})
@@ -245,7 +261,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard_size
     or non-finite component have no links and are their own component.  Repeated rows count as other
     vectors.  component_id is the smallest vec_id of the component (NULL if all are NULL); kept marks it.
     """
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("embedding"), "label")
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     valid = F.coalesce(finite & F.col("label").isNotNull(), F.lit(False))
     node = F.concat(F.hex(F.xxhash64("label", "embedding")), F.lit("-"), F.hex(F.xxhash64("embedding", F.lit(SHARD))))

@@ -12,17 +12,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clozeframe.llm.common import giving_back, held_out, kept, slices
+from clozeframe.llm.common import attach, giving_back, held_out, kept, slices
 
 UNKNOWN = "und"
-# At most so many documents are learnt from, an equal number per language in the order of a hash of their ids; and so many languages.
-SAMPLE, LANGUAGES = 4_000, 200
+# At most so many documents are learnt from, an equal number per language in the order of a hash of their ids, and at least LEAST of a language.
+SAMPLE, LEAST = 4_000, 20
 BUCKETS = 1 << 12
 CENTROIDS = 3
 ROUNDS = 8
@@ -91,20 +90,18 @@ class Model:
         return names, np.where(given, score, 0.0).astype(float), rejected
 
 
-def fit(sample: pd.DataFrame, seed: int = 3) -> Model:
-    """Fit on rows (lang, text); languages in code-point order."""
-    sample = sample[[has_letter(t) for t in sample["text"]]] if len(sample) else sample
-    languages = sorted(sample["lang"].unique().tolist()) if len(sample) else []
+def fit(names: list[str], counts: np.ndarray, seed: int = 3) -> Model:
+    """Fit on the languages and n-gram counts of texts that have a letter; languages in code-point order."""
+    languages = sorted(set(names))
     if not languages:
         return Model([], np.zeros(BUCKETS), np.zeros((0, BUCKETS)), np.zeros(0), np.zeros(0))
-    counts = vectors(pa.array(sample["text"], pa.string()))
     idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    np.log1p(counts, out=counts)
+    counts = np.log1p(counts, dtype=np.float32)
     counts *= idf
     x = counts / np.sqrt((counts * counts).sum(axis=1, keepdims=True))
     centroids, owner, nearest = [], [], []
     for k, language in enumerate(languages):
-        rows = x[(sample["lang"] == language).to_numpy()]
+        rows = x[np.array(names) == language]
         c = rows[np.random.default_rng(seed).permutation(len(rows))[: min(CENTROIDS, len(rows))]]
         for _ in range(ROUNDS):
             member = (rows @ c.T).argmax(axis=1)
@@ -120,20 +117,54 @@ def fit(sample: pd.DataFrame, seed: int = 3) -> Model:
     return Model(languages, idf, np.concatenate(centroids), np.array(owner), np.array(nearest))
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from at most ``sample`` documents of at most ``LANGUAGES`` languages whose crc32 does not leave 1 modulo 3.
+def sampled(known: DataFrame, sample: int, least: int) -> DataFrame:
+    """(id, lang) of an equal number of documents per language, in the order of a hash of their ids.
 
-    The languages are the most frequent ones of those documents (of equal ones the first by code point).
+    From the size of a language follows a hash threshold below which there are a little more than enough, and only those are ranked.
+    """
+    ids = kept(known.select(F.col("doc_id").alias("id"), "lang").distinct())
+    sizes = kept(ids.groupBy("lang").agg(F.count("*").alias("n")))
+    each = max(least, sample // max(1, sizes.count()))
+    share = (each + 6 * each**0.5 + 50) / F.col("n")
+    hashed = F.xxhash64("id")
+    near = attach(ids, sizes, ["lang"]).where((share >= 1) | (hashed <= (share * 2.0**64 - 2.0**63)))
+    order = Window.partitionBy("lang").orderBy(hashed, "id")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each).select("id", "lang")
+
+
+def counted(texts: DataFrame) -> DataFrame:
+    """lang, buckets, counts: the n-gram counts of texts that have a letter; at most ``BUCKETS`` of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                given = pa.array([has_letter(t) for t in part.column("text").to_pylist()], pa.bool_())
+                part = part.filter(given)
+                for at in range(0, part.num_rows, 1024):
+                    rows = part.slice(at, 1024)
+                    dense = vectors(rows.column("text"))
+                    found = [np.flatnonzero(v) for v in dense]
+                    columns = [rows.column("lang"), pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32()))]
+                    columns.append(pa.array([v[f] for v, f in zip(dense, found, strict=True)], pa.list_(pa.float32())))
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "buckets", "counts"])
+
+    return texts.select("lang", "text").mapInArrow(giving_back(run), "lang string, buckets array<int>, counts array<float>")
+
+
+def learn(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> Model:
+    """Learn from at most ``sample`` documents whose crc32 does not leave 1 modulo 3, or ``least`` of each language if these are more.
+
+    Texts are reduced to at most ``BUCKETS`` counts in the tasks, so what comes to the driver is bounded in bytes.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
-    top = kept(known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).select("lang"))
-    each = max(1, sample // max(1, top.count()))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").join(F.broadcast(top), "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= each)
-    chosen = kept(ids.select(F.col("doc_id").alias("id")).distinct())
-    # Ids are bounded by the sample, and so are the texts that one task fits on.
-    texts = known.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("lang", "text")
-    return fit(texts.join(F.broadcast(top), "lang").toPandas())
+    chosen = kept(sampled(known, sample, least).select(F.col("id").alias("doc_id"), F.col("lang").alias("_lang")))
+    # Ids are bounded by the sample.
+    texts = known.join(F.broadcast(chosen), (known["doc_id"].eqNullSafe(chosen["doc_id"])) & (known["lang"] == chosen["_lang"])).select("lang", "text")
+    rows = counted(texts).orderBy("lang", F.xxhash64("buckets", "counts")).collect()
+    dense = np.zeros((len(rows), BUCKETS), dtype=np.float32)
+    for i, r in enumerate(rows):
+        dense[i, r["buckets"]] = r["counts"]
+    return fit([r["lang"] for r in rows], dense)
 
 
 def predicted(docs: DataFrame, model: Model | None = None) -> DataFrame:

@@ -1,6 +1,6 @@
 """Quality rules: base limits, then robust multivariate outliers by minimum covariance determinant.
 
-Per language and source the operator looks for the half of the documents (``SHARE``) whose statistic vectors have the
+Per language and source the operator looks for the share ``SHARE`` of the documents whose statistic vectors have the
 covariance of least determinant, by concentration steps: from a mean and covariance take the documents with the
 smallest Mahalanobis distances, estimate both from them, and repeat.  The start is the coordinate-wise
 median and spread.  Distances go to a histogram per group, so the nearest part is found by counts and no group is gathered or
