@@ -72,7 +72,8 @@ def hot_keys(facts: DataFrame, on: tuple[str, ...] | list[str]) -> list[int]:
     of keys.  A key that only seems hot costs a few repeated lookup rows.
     """
     parts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    row = facts.select(F.xxhash64(*on).alias("_k")).agg(F.approx_top_k("_k", F.lit(HOT_KEYS), F.lit(100 * HOT_KEYS)).alias("top"), F.count("*").alias("n")).first()
+    top = F.expr(f"approx_top_k(_k, {HOT_KEYS}, {100 * HOT_KEYS})")
+    row = facts.select(F.xxhash64(*on).alias("_k")).agg(top.alias("top"), F.count("*").alias("n")).first()
     return [r["item"] for r in row["top"] or [] if r["count"] * parts > HOT_SHARE * row["n"]]
 
 

@@ -6,7 +6,7 @@ narrow the variance ratio, each round one group-by over size classes.
 
 from __future__ import annotations
 
-_PANELS = 400
+_PANELS = 2000
 
 
 def _simpson(value: str, start: str, end: str) -> str:
@@ -73,28 +73,28 @@ def mixed_fit(source: str, by: str, y: str, x: str, group: str, tag: str = "", s
                          {f"total - {p}" if reml else "total"} as freedom, {p} as p
                   from (select *, (u - b * slope) / a as b0
                         from (select *, case when ws then (a * v - b * u) / (a * d - b * b) else 0 end as slope
-                              from (select {keys}, k, r, max(total) as total, bool_and(ws) as ws, sum(m * ln(1 + r * n)) as logs,
-                                           sum(m * n / h) as hs, sum(m * n * n / h / h) as hs2,
-                                           sum(m * n / h) as a, sum(sx / h) as b, sum(sxx - r / h * x2) as d,
+                              from (select {keys}, k, r, max(total) as total, bool_and(ws) as ws, sum(m * ln(1 + r * rows_)) as logs,
+                                           sum(m * rows_ / h) as hs, sum(m * rows_ * rows_ / h / h) as hs2,
+                                           sum(m * rows_ / h) as a, sum(sx / h) as b, sum(sxx - r / h * x2) as d,
                                            sum(sy / h) as u, sum(sxy - r / h * xy) as v, sum(syy - r / h * y2) as q,
-                                           -sum(m * n * n / h / h) as a1, -sum(n * sx / h / h) as b1, -sum(x2 / h / h) as d1,
-                                           -sum(n * sy / h / h) as u1, -sum(xy / h / h) as v1, -sum(y2 / h / h) as q1,
-                                           sum(2 * m * n * n * n / h / h / h) as a2, sum(2 * n * n * sx / h / h / h) as b2,
-                                           sum(2 * n * x2 / h / h / h) as d2, sum(2 * n * n * sy / h / h / h) as u2,
-                                           sum(2 * n * xy / h / h / h) as v2, sum(2 * n * y2 / h / h / h) as q2
-                                    from (select *, 1 + r * n as h from {points} join cls{tag} {using} join cell{tag} {using}) group by {keys}, k, r))))"""
+                                           -sum(m * rows_ * rows_ / h / h) as a1, -sum(rows_ * sx / h / h) as b1, -sum(x2 / h / h) as d1,
+                                           -sum(rows_ * sy / h / h) as u1, -sum(xy / h / h) as v1, -sum(y2 / h / h) as q1,
+                                           sum(2 * m * rows_ * rows_ * rows_ / h / h / h) as a2, sum(2 * rows_ * rows_ * sx / h / h / h) as b2,
+                                           sum(2 * rows_ * x2 / h / h / h) as d2, sum(2 * rows_ * rows_ * sy / h / h / h) as u2,
+                                           sum(2 * rows_ * xy / h / h / h) as v2, sum(2 * rows_ * y2 / h / h / h) as q2
+                                    from (select *, 1 + r * rows_ as h from {points} join cls{tag} {using} join cell{tag} {using}) group by {keys}, k, r))))"""
 
     first = "ln(1e-8::double) + i * (ln(1e8::double) - ln(1e-8::double)) / 128"
     ctes = [
         f"""rows{tag} as (select {keys}, {group} as g, y - avg(y) over w as y, x - avg(x) over w as x, avg(x) over w as cx, avg(y) over w as cy
                 from (select *, {y} as y, {x} as x from {source}) where y is not null and x is not null and {group} is not null
                 window w as (partition by {keys}))""",
-        f"""grp{tag} as (select {keys}, g, count(*) as n, sum(x) as sx, sum(y) as sy, sum(x * x) as sxx, sum(x * y) as sxy, sum(y * y) as syy,
+        f"""grp{tag} as (select {keys}, g, count(*) as rows_, sum(x) as sx, sum(y) as sy, sum(x * x) as sxx, sum(x * y) as sxy, sum(y * y) as syy,
                 max(cx) as cx, max(cy) as cy from rows{tag} group by {keys}, g)""",
-        f"""cls{tag} as materialized (select {keys}, n::double as n, count(*)::double as m, sum(sx) as sx, sum(sy) as sy, sum(sxx) as sxx, sum(sxy) as sxy, sum(syy) as syy,
-                sum(sx * sx) as x2, sum(sx * sy) as xy, sum(sy * sy) as y2 from grp{tag} group by {keys}, n)""",
+        f"""cls{tag} as materialized (select {keys}, rows_::double as rows_, count(*)::double as m, sum(sx) as sx, sum(sy) as sy, sum(sxx) as sxx, sum(sxy) as sxy, sum(syy) as syy,
+                sum(sx * sx) as x2, sum(sx * sy) as xy, sum(sy * sy) as y2 from grp{tag} group by {keys}, rows_)""",
         f"""cell{tag} as materialized (select *, {"txx > 1e-12 * greatest(1, total * cx * cx)" if slope else "false"} as ws
-                from (select {keys}, sum(n)::double as total, count(*) as groups, max(n) > 1 as identified, max(cx) as cx, max(cy) as cy, sum(sxx) as txx
+                from (select {keys}, sum(rows_)::double as total, count(*) as groups, max(rows_) > 1 as identified, max(cx) as cx, max(cy) as cy, sum(sxx) as txx
                       from grp{tag} group by {keys}))""",
         f"grid{tag} as (select {keys}, i as k, exp({first}) as r from cell{tag} cross join (select unnest(range(129)) as i))",
         f"""pick{tag}0 as materialized (select {keys}, max(dev) - min(dev) <= 1e-9 as flat,
