@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
-from clozeframe.llm import hnsw, langid, linededup, mixing, nearcopies, outliers, packing, pii, rules, simhash, toxicity
+from clozeframe.llm import bestfit, divergence, hnsw, langid, linededup, middle, mixing, outliers, packing, pii, rules, simhash, tokens, toxicity
 from clozeframe.llm.graph import components
-from clozeframe.llm.nearcopies import distance
+from test_queries import LOWER, WORD, fingerprint, reachable
 
 # Columns that operators use inside or return.
 EXTRA = ["row", "stats", "score", "node", "size", "target", "stage", "drop", "bits", "fingerprint", "shuffle", "n"]
@@ -66,6 +66,13 @@ OPERATORS = {
     "language": lambda d, lab: langid.predicted(d),
     "personal": lambda d, lab: pii.personal_data(d),
     "rules": lambda d, lab: rules.scored(d, lab),
+    "middle": lambda d, lab: middle.transform(d),
+}
+# Operators whose rows are not documents.
+OTHERS = {
+    "packing": lambda d, lab: packing.pack(d),
+    "bestfit": lambda d, lab: bestfit.pack(d),
+    "divergence": lambda d, lab: divergence.audit(d),
 }
 
 
@@ -75,17 +82,29 @@ def test_one_row_per_row(docs, labels, name):
     assert sorted(got.doc_id.dropna()) == [1, 1, 2, 3, 4, 5, 6, 7, 8] and got.doc_id.isna().sum() == 2
 
 
-@pytest.mark.parametrize("name", [*OPERATORS, "packing"])
+@pytest.mark.parametrize("name", [*OPERATORS, *OTHERS])
 def test_empty_table(empty, labels, name):
-    build = OPERATORS.get(name, lambda d, lab: packing.pack(d))
-    assert build(empty, labels.limit(0)).count() == 0
+    assert (OPERATORS | OTHERS)[name](empty, labels.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["packing", "bestfit"])
+def test_pieces_of_nulls_and_repeated_rows(docs, name):
+    """Every row is packed once: pieces of a document that is given twice come twice, a NULL text is the end id alone."""
+    got = OTHERS[name](docs, None).toPandas()
+    assert got[got.doc_id == 2][["start", "length", "offset"]].values[:, :2].tolist() == [[0, 1]]
+    once = got[got.doc_id == 8].length.sum()
+    ones = got[got.doc_id == 1]
+    assert ones.length.sum() % 2 == 0 and (ones.start == 0).sum() == 2 and once > 1
+    assert got[got.doc_id.isna()].start.eq(0).sum() == 2
+    for _, rows in got.sort_values("offset").groupby("sequence_id"):
+        assert rows.offset.tolist() == [0, *rows.length.cumsum().tolist()[:-1]]
 
 
 def test_stages_keep_columns(docs, empty, labels):
     for d in (docs, empty):
         for out in (
             toxicity.without_toxic(d, labels), linededup.without_recurring_lines(d).drop("_line_drops"),
-            nearcopies.one_of_each(d), mixing.resample(d),
+            simhash.one_of_each(d), mixing.resample(d),
         ):
             assert out.columns == d.columns and out.dtypes == d.dtypes
             out.count()
@@ -130,25 +149,24 @@ def test_components_of_a_path_a_star_and_loops(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200}
 
 
-def test_near_copies(spark):
+@pytest.mark.parametrize("pairwise", [1, 64])
+def test_one_of_each_component_stays(spark, pairwise):
+    """Chained families: each copy changes one word of the copy before it."""
     rng = random.Random(1)
     vocabulary = [f"w{i}" for i in range(3000)]
-    rows, number = [], 0
-    for family in range(30):
-        words = rng.choices(vocabulary, k=200)
-        for copy in range(40 if family == 0 else 3):
-            changed = list(words)
-            if copy:
-                changed[rng.randrange(200)] = "changed"
-            rows.append((number, " ".join(changed), "en", "a"))
-            number += 1
-    got = {r["doc_id"] for r in nearcopies.one_of_each(frame(spark, rows).repartition(4)).select("doc_id").collect()}
-    assert got == {0} | {40 + 3 * k for k in range(29)}
-    assert distance(1.0) == 0 and 140 < distance(0.8) < 170
+    rows = []
+    for family in range(12):
+        words = rng.choices(vocabulary, k=300)
+        for _ in range(30 if family == 0 else 4):
+            rows.append((len(rows), " ".join(words), "en", "a"))
+            words[rng.randrange(300)] = "changed"
+    want = reachable({i: fingerprint(t) for i, t, *_ in rows})
+    got = simhash.one_of_each(frame(spark, rows).repartition(4), pairwise=pairwise).select("doc_id").collect()
+    assert {r["doc_id"] for r in got} == set(want.values()) and len(set(want.values())) < len(rows)
 
 
 def test_repeated_rows_leave_one(spark):
-    got = nearcopies.one_of_each(frame(spark, [(1, "one text", "en", "a")] * 3 + [(2, "One text", "en", "a"), (3, "other", "en", "b")]))
+    got = simhash.one_of_each(frame(spark, [(1, "one text", "en", "a")] * 3 + [(2, "One text", "en", "a"), (3, "other", "en", "b")]))
     assert sorted(r["doc_id"] for r in got.collect()) == [1, 3]
 
 
@@ -164,9 +182,64 @@ def test_templates_with_variable_fields(spark):
 
 
 def test_copies_keep_their_lines(spark):
-    text = "a first line of some length\na second line of some length"
-    got = linededup.cleaned(frame(spark, [(i, text, "en", "a") for i in range(10)])).toPandas()
-    assert (got.text == text).all() and (got.n_dropped == 0).all()
+    """Equal texts, and near copies with a word changed in one line or in every line, in pairs and in large groups."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    rows = [(i, "a first line of some length\na second line of some length", "en", "a") for i in range(10)]
+    for size, changes in ((40, 1), (2, 1), (2, 1), (2, 1), (60, 5), (2, 5), (2, 5)):
+        base = [[word() for _ in range(30)] for _ in range(5)]
+        for _ in range(size):
+            text = [list(line) for line in base]
+            for line in rng.sample(range(5), changes):
+                text[line][rng.randrange(30)] = word()
+            rows.append((100 + len(rows), "\n".join(map(" ".join, text)), "en", "a"))
+    got = linededup.cleaned(frame(spark, rows)).toPandas().set_index("doc_id")
+    assert (got.n_dropped == 0).all() and all(got.text[i] == t for i, t, *_ in rows)
+
+
+@pytest.mark.parametrize("n_docs, n_words, own, drops", [(5, 60, 6, True), (30, 60, 1, True), (2, 25, 6, True), (5, 10, 6, False), (8, 10, 6, True)])
+def test_shared_lines_go(spark, n_docs, n_words, own, drops):
+    """One line in otherwise different texts goes: a long one from two texts on, a short one from six."""
+    rng = random.Random(n_docs)
+    line = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    shared = line(n_words)
+    rows = [(i, "\n".join([*(line(12) for _ in range(own)), shared]), "en", "a") for i in range(n_docs)]
+    got = linededup.cleaned(frame(spark, rows)).toPandas()
+    assert got.n_dropped.eq(int(drops)).all() and got.text.str.contains(shared).eq(not drops).all()
+
+
+def test_templates_brute_force(spark):
+    """Lines that agree but for one fifth of their words are one template, whatever else has their length and first words."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    own = lambda: "\n".join(" ".join(word() for _ in range(12)) for _ in range(8))
+    known = [word() for _ in range(9)]
+    rows, want = [], {}
+    for i in range(120):
+        line = list(known)
+        kind = i % 4
+        # 0: one variable word; 1: two beside each other in one fifth; 2: two far apart, all different; 3: other words.
+        if kind == 0:
+            line[4] = word()
+        elif kind == 1:
+            line[7], line[8] = word(), word()
+        elif kind == 2:
+            line[3], line[6] = word(), word()
+        else:
+            line[3:] = [word() for _ in range(6)]
+        rows.append((i, own() + "\n" + " ".join(line), "en", "a"))
+        want[i] = line
+
+    def parts(line):
+        edges = [len(line) * k // 5 for k in range(6)]
+        return {(k, tuple(line[: edges[k]]), tuple(line[edges[k + 1] :])) for k in range(5)}
+
+    from collections import Counter
+
+    counts = Counter(p for line in want.values() for p in parts(line))
+    got = linededup.cleaned(frame(spark, rows)).toPandas().set_index("doc_id")
+    assert {i for i in want if got.n_dropped[i]} == {i for i, line in want.items() if any(counts[p] >= 6 for p in parts(line))}
+    assert {i % 4 for i in want if got.n_dropped[i]} == {0, 1} and got.n_dropped.max() == 1
 
 
 def test_maximal_segments_brute_force():
@@ -185,18 +258,64 @@ def test_maximal_segments_brute_force():
             i, j = -best[2], -best[2] - best[1]
             return split(lo, i) + [(i, j)] + split(j + 1, hi)
 
-        assert sum(total[j + 1] - total[i] for i, j in got) == sum(total[j + 1] - total[i] for i, j in split(0, len(values)))
+        want = split(0, len(values))
+        assert sum(total[j + 1] - total[i] for i, j in got) == sum(total[j + 1] - total[i] for i, j in want)
+        # Without ties the segments are the same ones.
+        values = [v + rng.random() / 100 for v in values]
+        total = np.concatenate([[0], np.cumsum(values)])
+        hits = [i for i, v in enumerate(values) if v > 0]
+        got = [(hits[a], hits[b]) for a, b in toxicity.segments([float(total[i]) for i in hits], [float(total[i + 1]) for i in hits])]
+        assert got == split(0, len(values))
+
+
+def test_toxic_scores_brute_force(spark):
+    """Odds, segments, E-values and their sums, recomputed from the model's parameters."""
+    import math
+    import re
+
+    rng = random.Random(6)
+    plain, telling = [f"{a}{b}" for a in ("wort", "haus", "baum", "feld") for b in ("ung", "heit", "lich", "keit")], ["achlichung", "achlichkeit", "scum"]
+    rows, labels = [], []
+    for i in range(300):
+        words = rng.choices(plain, k=40)
+        toxic = i % 5 == 0
+        if toxic:
+            at = rng.randrange(30)
+            words[at : at + 3] = rng.choices(telling, k=3)
+        rows.append((i, " ".join(words), "de", "a"))
+        labels.append((i, 1, int(toxic)))
+    docs, labels = frame(spark, rows), spark.createDataFrame(labels, LABELS)
+    model = toxicity.learn(docs, labels)
+    assert model.odds["achli*"] > 1 and model.odds["scum"] > 1 and model.odds["worth*"] < 0.5
+    got = model.apply(docs.select("doc_id", "text")).toPandas().set_index("doc_id")
+    for i, text, *_ in rows:
+        scores = [toxicity.token_score(t, model.odds) for t in re.findall(r"[^\W\d_]+", text)]
+        best, total = -20.0, 0.0
+        for a in range(len(scores)):
+            for b in range(a, len(scores)):
+                best = max(best, -math.log(max(model.k * len(scores) * math.exp(-model.decay * sum(scores[a : b + 1])), 1e-300)))
+        for p in got.passages[i]:
+            assert p["score"] == pytest.approx(sum(scores[p["first"] : p["last"] + 1]))
+            assert p["e_value"] == pytest.approx(model.k * len(scores) * math.exp(-model.decay * p["score"])) and p["e_value"] <= toxicity.SIGNIFICANT
+            total -= math.log(p["e_value"])
+        if any(s > 0 for s in scores):
+            assert got.best[i] == pytest.approx(best)
+        assert got.total[i] == pytest.approx(total)
+    flags = toxicity.scored(docs, labels).toPandas()
+    held = flags[flags.held_out]
+    assert (held.predicted == (held.doc_id % 5 == 0)).all() and len(held) > 40
 
 
 def test_packing_of_many_sizes():
     rng = np.random.default_rng(2)
-    packer = packing.Packer(0, capacity=64, max_open=8)
+    packer = packing.Packer(0, capacity=64)
     given = {}
     for d in range(500):
         ids = rng.integers(0, 1000, rng.choice([1, 5, 33, 40, 63, 64, 65, 300])).astype(np.uint32)
         given[d] = len(ids)
         packer.add(d, ids)
-        assert packer.counts.sum() <= 8
+    # Before the end only full pieces and windows filled by the level array are closed.
+    assert packer.filled > 0 and packer.next_sequence == packer.filled + sum(n // 64 for n in given.values())
     packer.finish()
     lengths = {}
     for doc_id, start, length, _, total, sequence, offset in sorted(packer.done, key=lambda r: (r[5], r[6])):
@@ -206,16 +325,130 @@ def test_packing_of_many_sizes():
     assert all(n == 64 or n & (n - 1) == 0 for n in lengths.values())
 
 
-def test_word_ids_equal_the_tokenizer():
+@pytest.mark.parametrize("kind, name", [(tokens.LowerWords, "word_bpe_49k.json"), (tokens.SpacedText, "byte_bpe_50k.json")])
+def test_ids_equal_the_tokenizer(kind, name):
     public_tokenizers = pytest.importorskip("public_tokenizers")
-    path = public_tokenizers.path("word_bpe_49k.json")
-    encoder = packing.WordIds(path)
+    encoder = kind(public_tokenizers.path(name))
     rng = random.Random(9)
-    alphabet = ["a", "Z", "é", "é", "ß", "İ", "'s", "'LL", ".", ",", ".,", "9", " ", "  ", "\n", "\t", " ", " ", "\x1c", "\x85", "日本", "<|endoftext|>", "<|x", "😀", "퟿", "ǅ", "Σ"]
-    texts = ["".join(rng.choices(alphabet, k=rng.randrange(0, 30))) for _ in range(400)]
-    for batch in ([t for t in texts if "<|" not in t], texts):
-        for text, ids in zip(batch, encoder.encode(pa.array(batch)), strict=True):
-            assert ids.tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1], repr(text)
+    alphabet = ["a", "Z", "é", "é", "ß", "İ", "'s", "'LL", ".", ",", ".,", "9", " ", "  ", "\n", "\t", "\xa0", "\u2009", "\x1c", "\x85", "日本", "<|endoftext|>", "<|x", "😀", "퟿", "ǅ", "Σ", "\x00", "×", "À"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(0, 30))) for _ in range(3000)]
+    texts += ["".join(rng.choices(alphabet[:6] + alphabet[8:15], k=rng.randrange(0, 30))) for _ in range(3000)]
+    for batch in ([t for t in texts if "<|" not in t], texts, []):
+        ids, ends = encoder.encode(pa.array(batch, pa.string()))
+        assert len(ends) == len(batch) + 1 and ends[-1] == len(ids)
+        want = encoder.pieces.tokenizer.encode_batch(batch, add_special_tokens=False)
+        for text, a, b, own in zip(batch, ends[:-1], ends[1:], want, strict=True):
+            assert ids[a:b].tolist() == own.ids, repr(text)
+
+
+def best_fit_windows(lengths, capacity):
+    """Windows of best fit decreasing, one piece at a time."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fits = [r for r in rooms if r >= n]
+        if fits:
+            rooms.remove(min(fits))
+            rooms.append(min(fits) - n)
+        else:
+            rooms.append(capacity - n)
+    return len(rooms)
+
+
+def test_plan_equals_best_fit_of_documents():
+    rng = random.Random(4)
+    for _ in range(60):
+        capacity = rng.choice([16, 64, 100])
+        lengths = [rng.randint(1, capacity) for _ in range(rng.randrange(1, 200))]
+        if rng.random() < 0.3:
+            lengths += [rng.randint(1, capacity)] * 500
+        counts = {n: lengths.count(n) for n in set(lengths)}
+        steps = bestfit.plan(counts, capacity)
+        windows = {}
+        for n in counts:
+            own = sorted(s for s in steps if s[0] == n)
+            for rank in range(counts[n]):
+                _, first, each, window, offset = [s for s in own if s[1] <= rank][-1]
+                windows.setdefault(window + (rank - first) // each, []).append((offset + (rank - first) % each * n, n))
+        for pieces in windows.values():
+            at = 0
+            for offset, n in sorted(pieces):
+                assert offset == at
+                at += n
+            assert at <= capacity
+        assert len(windows) == best_fit_windows(lengths, capacity)
+
+
+def test_fenwick_cuts():
+    rng = random.Random(2)
+    texts = ["", "\n", "\n\n\n", "no line feed", "é" * 700, "x\n" * 900] + ["".join(rng.choices("aé😀\n", k=rng.randrange(0, 400))) for _ in range(60)]
+    data = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    for block in (1, 3, 64, 512):
+        forest = middle.Forest(np.frombuffer(b"".join(data), np.uint8), offsets, block)
+        for i, text in enumerate(texts):
+            lines = text.splitlines(keepends=True) if "\n" in text else [text] * bool(text)
+            assert forest.n[i] == len(lines)
+            for units in range(len(lines) + 1):
+                start = "".join(lines[:units])
+                assert forest.cut(i, units) == (len(start.encode()), len(start))
+
+
+def test_middle_forms(spark):
+    rows = [(i, t, "en", "a") for i, t in enumerate(["a\nb\nc", "has <S> in it", "<P", "P>x\n<", "", "x\n" * 3000] * 8)]
+    got = middle.transform(frame(spark, rows)).withColumn("back", middle.restored(F.col("output"), F.col("form"))).toPandas().set_index("doc_id")
+    for i, t, *_ in rows:
+        assert got.back[i] == t and (got.form[i] == "plain") == (t == "" or "<S>" in t)
+        if got.form[i] != "plain":
+            p, m = int(got.prefix_chars[i]), int(got.middle_chars[i])
+            parts = t[:p], t[p : p + m], t[p + m :]
+            assert got.output[i] == ("<P>{0}<S>{2}<M>{1}" if got.form[i] == "psm" else "<S>{2}<P>{0}<M>{1}").format(*parts)
+    assert {"psm", "spm"} <= set(got.form)
+
+
+def test_perfect_hash_is_minimal():
+    names = [f"term{i}" for i in range(5000)] + ["é", "日本"]
+    shard = divergence.Shard(names)
+    assert sorted(shard.names) == sorted(names) and shard.unparted == 0
+    lookup = divergence.Lookup(1, [(0, 10, shard.words.tobytes(), shard.sizes, " ".join(shard.names), shard.unparted)])
+    slots = lookup.slots(pa.array([*shard.names, "other", "term5001"]))
+    assert slots.tolist() == [*range(10, 10 + len(names)), -1, -1]
+    # Terms that no level could part are found by name.
+    named = divergence.Lookup(1, [(0, 0, b"", [], " ".join(sorted(names)), len(names))])
+    assert named.slots(pa.array(["é", "nothing"])).tolist() == [sorted(names).index("é"), -1]
+
+
+def test_divergence_brute_force(spark):
+    """Several shards, blocks, and a source and a language without terms; exact integers throughout."""
+    import re
+    from collections import Counter
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(150):
+        text = " ".join(rng.choices([f"w{c}" if c != "c" else "É" + c for c in "abcdefghijklmn"], k=rng.randrange(0, 12)))
+        rows.append((i, text if i % 11 else None, ["en", "de", None][i % 3], [None, "x", "y", "z"][i % 4]))
+    rows += [(900, "5 5 5", "en", "empty"), (901, None, "xx", "a"), (902, None, "xx", "b"), (903, "W W", "one", "a")]
+    groups, texts = {}, {}
+    for _, text, lang, source in rows:
+        found = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+        groups.setdefault((lang or "", source or ""), Counter()).update(found)
+        texts.setdefault(lang or "", Counter()).update(set(found))
+    want = set()
+    for lang, of in texts.items():
+        kept = sorted(t for t, n in of.items() if n >= 10)
+        sources = sorted(s for k, s in groups if k == lang)
+        share = lambda c: {t: 1 + 10**9 * (c[t] + 2) // (sum(c[x] for x in kept) + 2 * len(kept)) for t in kept}  # noqa: E731, B023
+        p = {s: share(groups[lang, s]) for s in sources}
+        q = share(sum((groups[lang, s] for s in sources), Counter()))
+        f = lambda a, b: (a - b) ** 2 // (a + b)
+        for s in sources:
+            pairs = sorted((-sum(f(p[s][t], p[o][t]) for t in kept), o) for o in sources if o != s)
+            terms = sorted((-f(p[s][t], q[t]), t.encode(), t) for t in kept if groups[lang, s][t] and p[s][t] > q[t])[:10]
+            want |= {(lang, s, "pair", o, -v, r) for r, (v, o) in enumerate(pairs, 1)}
+            want |= {(lang, s, "term", t, -v, r) for r, (v, _, t) in enumerate(terms, 1)}
+    for options in ({}, {"shard_terms": 2, "cells": 6}):
+        got = divergence.audit(frame(spark, rows).repartition(5), **options).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_personal_data_that_touches():
@@ -233,12 +466,12 @@ def test_personal_data_that_touches():
 VECTORS = StructType([StructField("vec_id", LongType()), StructField("embedding", ArrayType(FloatType())), StructField("label", IntegerType()), StructField("copies", StringType())])
 
 
-def brute_links(rows, threshold=0.98):
+def brute_links(rows, threshold=0.98, kind=np.float32):
     n = len(rows)
     unit = []
     for _, v, label, *_ in rows:
         ok = label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)
-        a = np.array(v, dtype=np.float32).astype(float) if ok else None
+        a = np.array(v, dtype=kind).astype(float) if ok else None
         unit.append(a / np.sqrt(a @ a) if ok else None)
     near = [[j for j in range(n) if j != i and unit[i] is not None and unit[j] is not None and rows[i][2] == rows[j][2] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= threshold] for i in range(n)]
     component = list(range(n))
@@ -270,6 +503,16 @@ def test_embeddings(spark, shard):
     assert hnsw.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_embeddings_in_double_precision(spark):
+    """Components that no float can hold, and differences that a float does not see."""
+    schema = "vec_id long, embedding array<double>, label int"
+    near = [1.0, 0.2030586]  # cosine with (1, 0): 0.980000...
+    rows = [(1, [1e39, 0.0], 0), (2, [3e39, 0.0], 0), (3, [0.0, 1e-60], 0), (4, [0.0, 2e-60], 0), (5, [1.0, 0.0], 1), (6, near, 1), (7, [1.0, 0.2030588], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.near_duplicates(spark.createDataFrame(rows, schema)).collect()}
+    want = {r[0]: (n, c) for r, (_, n, c, _) in zip(rows, brute_links([(*r, "x") for r in rows], kind=np.float64), strict=True)}
+    assert got == want and want[1] == (1, 1) and want[3] == (1, 3)
+
+
 def test_mixing_limits(spark):
     rows = [(i, "word " * (i % 7), None, None if i % 5 == 0 else "abc"[i % 3]) for i in range(400)] + [(1000 + i, None, None, "wordless") for i in range(5)]
     got = mixing.taken_words(frame(spark, rows)).toPandas()

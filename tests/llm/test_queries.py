@@ -123,8 +123,7 @@ def test_toxicity(spark, labels):
     assert all(h == (zlib.crc32(str(d).encode()) % 4 == 2) for d, h in got.held_out.items())
     held = held[held.held_out]
     found = held[held.predicted == 1]
-    # A part of the labels is not visible in the text, so recall is bounded.
-    assert (found.toxic == 1).mean() > 0.9 and auc(held.score, held.toxic) > 0.6
+    assert (found.toxic == 1).mean() > 0.85 and auc(held.score, held.toxic) > 0.85
 
 
 def test_quality(spark):
@@ -181,18 +180,69 @@ def test_personal_data(spark):
 
 def test_lines(spark, docs):
     got = run(spark, "op5_templates").set_index("doc_id")
-    found = Counter(line for t in docs.text for line in set(t.split("\n")))
+    found = Counter(line for t in set(docs.text) for line in set(t.split("\n")))
     for d, t in zip(docs.doc_id, docs.text, strict=True):
         left = Counter(got.text[d].split("\n"))
         gone = Counter(t.split("\n")) - left
         assert got.n_lines[d] == len(t.split("\n")) and got.n_dropped[d] in (sum(gone.values()), sum(gone.values()) + 1)
-        # Without a digit only lines that recur as they are can be dropped here.
-        assert all(found[line] >= 6 or re.search("[0-9]", line) or len(line.split()) > 5 for line in gone)
-        recurring = sum(len(x) + 1 for x in t.split("\n") if found[x] >= 6)
-        if got.n_dropped[d] == 0 and recurring < 0.4 * len(t):
-            assert not any(found[x] >= 6 and len(x.split()) >= 3 and len(x.strip()) >= 15 for x in t.split("\n"))
+        # What is left is the text without some of its lines, and what goes is long enough and in another text too, or has a variable field.
+        assert not left - Counter([*t.split("\n"), ""])
+        for line in gone:
+            assert len(line.split()) >= 3 and len(line.strip()) >= 15
+            assert found[line] >= (2 if len(line.split()) >= 20 else 6) or re.search("[0-9]", line) or len(line.split()) >= 5
+    # Lines in the most texts, which otherwise differ, go everywhere.
+    often = [line for line, n in found.items() if n >= 12 and len(line.split()) >= 3 and len(line.strip()) >= 15]
+    assert often and not any(line in t.split("\n") for t in got.text for line in often)
+
+
+def test_bestfit(spark, docs):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from test_edges import best_fit_windows
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = run(spark, "op12_bestfit")
+    pieces = {d: rows.sort_values("piece") for d, rows in got.groupby("doc_id")}
+    for d, t in zip(docs.doc_id, docs.text, strict=True):
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        n = -(-len(ids) // 1024)
+        first = len(ids) - 1024 * (n - 1)
+        starts = [0, *range(first, len(ids), 1024)]
+        assert pieces[d].piece.tolist() == list(range(n)) and pieces[d].start.tolist() == starts[:n]
+        assert pieces[d].length.tolist() == [first, *[1024] * (n - 1)]
+        assert pieces[d].ids_crc32.tolist() == [zlib.crc32(ids[a : a + k].tobytes()) for a, k in zip(starts, pieces[d].length, strict=False)]
+    for _, rows in got.sort_values("offset").groupby("sequence_id"):
+        assert rows.offset.tolist() == [0, *rows.length.cumsum().tolist()[:-1]] and rows.length.sum() <= 1024
+    assert got.sequence_id.nunique() == best_fit_windows(got.length.tolist(), 1024)
 
 
 def test_pipeline(spark, docs):
-    got = run(spark, "pipeline")
-    assert set(got.doc_id) <= set(docs.doc_id) and len(set(got.doc_id)) > 0.5 * len(docs)
+    """Each stage on what the one before it kept, against brute force where there is one."""
+    import corpus_pipeline
+
+    rows = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    outputs = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = rows
+        rows = stage(spark, before, FOLDER).checkpoint()
+        outputs[name] = (before.toPandas(), rows.toPandas())
+        if name != "packing":
+            assert rows.columns == before.columns
+    before, after = outputs["toxicity"]
+    labels = pd.read_parquet(f"{FOLDER}/labels.parquet").set_index("doc_id").toxic
+    gone = before[~before.doc_id.isin(after.doc_id)].join(labels, on="doc_id")
+    assert set(after.doc_id) <= set(before.doc_id) and (gone.toxic.dropna() == 1).mean() > 0.8
+    before, after = outputs["line dedup"]
+    assert sorted(before.doc_id) == sorted(after.doc_id)
+    texts = before.set_index("doc_id").text
+    assert all(not Counter(t.split("\n")) - Counter([*texts[d].split("\n"), ""]) for d, t in zip(after.doc_id, after.text, strict=True))
+    before, after = outputs["near-dedup"]
+    want = reachable({d: fingerprint(t) for d, t in zip(before.doc_id, before.text, strict=True)})
+    assert sorted(after.doc_id) == sorted(set(want.values()))
+    before, after = outputs["mixing"]
+    assert set(after.doc_id) <= set(before.doc_id) and after.doc_id.value_counts().max() <= 2
+    sizes = before.set_index("doc_id").text.map(lambda t: len(WORD.findall(t)))
+    assert abs(after.doc_id.map(sizes).sum() / sizes.sum() - 1.5) < 0.1
+    before, after = outputs["packing"]
+    assert Counter(after.loc[after.start == 0, "doc_id"]) == Counter(before.doc_id)
+    assert set(run(spark, "pipeline").doc_id) == set(after.doc_id)
