@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from clozeframe import sources
 from clozeframe.functions import labels, measures, text
 from clozeframe.operators import joins, lexicon, ordered, reshape, summaries, windows
 from clozeframe.plans.registry import query
 from clozeframe.plans.reports import neutral_report
 from clozeframe.plans.views import NORMS
+from clozeframe.session import shared_folder
 from clozeframe.sources.readers import union_files
+from clozeframe.sources.schemas import LEGACY_PRIMING_RESULT, STIMULI
+from clozeframe.sources.writers import write_table
 
 KEYS3 = ["target", "related", "unrelated"]
 
@@ -766,3 +772,38 @@ _NEUTRAL_TEXT = f"""
     from ({_NEUTRAL_TEXT}) group by 1, 2""")
 def neutral_report_text(v):
     return neutral_report(summaries.relation_summary(v.kept, v.lex, v.top), ["sentence", "word"])
+
+
+# --- files ----------------------------------------------------------------------------------------
+
+
+def _written(v, df, *partition_by: str) -> str:
+    """A new CSV folder with the rows, beside the session's checkpoints."""
+    folder = f"{shared_folder(v.spark)}/csv-{uuid.uuid4().hex}"
+    write_table(df, folder, "csv", partition_by)
+    return folder
+
+
+@query("select * from raw_lex", "delta_200ms delta_1200ms")
+def lexicon_csv_round_trip(v):
+    return sources.read_lexicon(v.spark, _written(v, v.raw_lex))
+
+
+@query("select target, related, unrelated, relation, context from stimuli")
+def stimuli_csv_round_trip(v):
+    return sources.read_stimuli(v.spark, _written(v, v.stimuli.select(*STIMULI.fieldNames())))
+
+
+@query(
+    """select category, "constraint", target, related, unrelated, isolated_context, related as related_context, unrelated as unrelated_context,
+              isolated_probability, unrelated_rank as isolated_rank, related_probability, unrelated_rank as related_rank,
+              unrelated_probability, unrelated_rank from kept""",
+    "constraint isolated_probability related_probability unrelated_probability",
+)
+def results_csv_round_trip(v):
+    """One folder per model, read in one scan of many files."""
+    ranks = {f"{c}_rank": F.col("unrelated_rank") for c in ("isolated", "related")}
+    contexts = {f"{c}_context": F.col(c) for c in ("related", "unrelated")}
+    rows = v.kept.withColumns(ranks | contexts).select(*LEGACY_PRIMING_RESULT.fieldNames(), "model")
+    folder = _written(v, rows, "model")
+    return sources.read_results(v.spark, f"{folder}/*", glob="*.csv").drop("file")

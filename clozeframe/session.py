@@ -38,3 +38,14 @@ def computed_once(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None and shared:
         context.setCheckpointDir(shared)
     return df.persist() if context.getCheckpointDir() is None else df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the checkpoint folder, or ``spark.checkpoint.dir``; a local master gets one of its own."""
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        if shared is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="clozeframe-checkpoint-"))
+    return context.getCheckpointDir()
