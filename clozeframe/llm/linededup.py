@@ -51,15 +51,12 @@ def _text_key(text: str = "text") -> list[Column]:
 
 
 def _templates(masked: Column, n_words: Column) -> Column:
-    """Hashes of the line itself and, from ``PARTS`` words on, of its templates with one variable part."""
-
-    def hashes(words: Column) -> Column:
-        edge = lambda i: F.floor(n_words * i / PARTS).cast("int")
-        parts = F.array(*[F.xxhash64(F.lit(i), F.array_join(F.slice(words, edge(i) + 1, edge(i + 1) - edge(i)), " ")) for i in range(PARTS)])
-        without = lambda p, k: F.xxhash64(n_words, F.lit(k), *[p[i] for i in range(PARTS) if i != k])
-        return bind(parts, lambda p: F.array(F.xxhash64(n_words, p), *[without(p, k) for k in range(PARTS)]))
-
-    return F.when(n_words >= PARTS, bind(F.split(masked, " "), hashes)).otherwise(F.array(F.xxhash64(masked)))
+    """Hashes of the line itself and, from ``PARTS`` words on, of its templates with one variable part: what is before and behind it."""
+    edge = lambda i: F.floor(n_words * i / PARTS).cast("int")
+    head = lambda k: F.call_function("substring_index", masked, F.lit(" "), edge(k))
+    rest = lambda k: F.call_function("substring_index", masked, F.lit(" "), edge(k + 1) - n_words)
+    without = [F.xxhash64(n_words, F.lit(k), head(k), rest(k)) for k in range(PARTS)]
+    return F.when(n_words >= PARTS, F.array(F.xxhash64(masked), *without)).otherwise(F.array(F.xxhash64(masked)))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
