@@ -101,12 +101,12 @@ def mask_neighbours(df: DataFrame, context: str = "cloze", mask_index: str = "ma
     )
 
 
-def _answers(asked: DataFrame, model: ClozeModel) -> DataFrame:
+def _answers(asked: DataFrame, model: ClozeModel, materialise: bool = True) -> DataFrame:
     """Adds probability, rank and context metrics to rows with prev, next and token.
 
     The upper two levels are one relation, keyed by the neighbours that a level looks at.  It is cut to the keys that are asked and
-    shuffled once by key; totals and ranks need no further shuffle.  Each distinct context takes its highest level with totals, and
-    each word is looked up once, under the key of that level.
+    shuffled once by key, which serves the ranks too, and is computed once.  Each distinct context takes its highest level with totals,
+    and each word is looked up once, under the key of that level.
     """
     key = ["key_prev", "key_next"]
     tagged = model.counts[3].select(F.col("prev").alias("key_prev"), F.col("next").alias("key_next"), "token", "n").unionByName(
@@ -114,7 +114,10 @@ def _answers(asked: DataFrame, model: ClozeModel) -> DataFrame:
     )
     places = F.array(*[F.struct(F.lit(level).alias("level"), F.col("prev").alias("key_prev"), n.alias("key_next")) for level, n in ((3, F.col("next")), (2, F.lit(ANY)))])
     contexts = asked.select("prev", "next", F.explode(places).alias("_k")).select("prev", "next", "_k.*")
-    words = tagged.join(contexts.select(*key).distinct(), key, "left_semi")
+    rank = F.rank().over(Window.partitionBy(*key).orderBy(F.desc("n")))
+    words = tagged.join(contexts.select(*key).distinct(), key, "left_semi").withColumn("rank", rank)
+    if materialise:
+        words = computed_once(words)
     totals = words.groupBy(*key).agg(*_totals(model.k))
     found = contexts.distinct().join(totals, key)
     answer = F.struct("level", *key, "total", "types", "logs", "top")
@@ -125,8 +128,7 @@ def _answers(asked: DataFrame, model: ClozeModel) -> DataFrame:
     q = asked.select("*", place).join(highest.select(place, "_c"), "_place", "left").drop("_place")
     q = q.withColumn("_c", F.coalesce("_c", lowest.scalar()))
     q = q.withColumns({"key_prev": F.col("_c.key_prev"), "key_next": F.col("_c.key_next")})
-    rank = F.rank().over(Window.partitionBy(*key).orderBy(F.desc("n")))
-    ranked = words.withColumn("rank", rank).unionByName(_all_words(model.counts[1]))
+    ranked = words.unionByName(_all_words(model.counts[1]))
     q = q.join(ranked.withColumnRenamed("n", "_n").withColumnRenamed("rank", "_rank"), [*key, "token"], "left")
     k = F.lit(model.k)
     mass = F.col("_c.total") + k * (F.col("_c.types") + 1)
@@ -160,7 +162,7 @@ def score_cloze(
         *inputs, F.col("_t.name").alias("_name"), F.col("_t.token").alias("token")
     )
     shared = ["level", "argmax", "maxprob", "entropy"]
-    wide = _answers(asked, model).groupBy(*inputs).agg(
+    wide = _answers(asked, model, materialise).groupBy(*inputs).agg(
         *[F.first(c).alias(c) for c in shared],
         *[
             F.max(F.when(F.col("_name") == w, F.col(metric))).alias(f"{w}_{metric}")
