@@ -11,7 +11,7 @@ a text has the least hash of each class over its other lines, and texts with the
 the classes, must be enough, and over half as large as that of the texts (by a margin for the chance in few texts).  So a group of near
 copies of any size keeps its lines for near-duplicate removal, while a line that different texts share goes.
 
-Lines are shuffled as hashes, never as text.  All counts combine before the shuffle, and a table of recurring templates is broadcast
+Lines are shuffled as hashes, never as text.  All counts combine before the shuffle; a table of texts with recurring lines is broadcast
 only when its measured size allows.
 """
 
@@ -88,14 +88,14 @@ def _shared(lines: DataFrame) -> DataFrame:
     """
     each = lines.select("id", "text_key", F.posexplode("templates").alias("k", "template"))
     shared = each.groupBy("template").agg(F.min("text_key").alias("_a"), F.max("text_key").alias("_b")).where("_a <> _b").select("template")
-    rows = kept(attach(each.drop("text_key"), kept(shared), ["template"], BOUND))
+    rows = each.drop("text_key").join(shared, "template")
     return kept(rows.join(lines.drop("templates"), "id"))
 
 
 def _judged(rows: DataFrame, sketches: DataFrame, min_docs: int) -> DataFrame:
     """(template, recurring, copies) of the templates of rows (template, key, at, n_words): in enough families of texts, or in copies."""
     rows = rows.groupBy("template", *KEY).agg(F.min("at").alias("at"), F.max("n_words").alias("n_words"))
-    each = attach(rows, sketches, KEY)
+    each = rows.join(sketches, KEY)
     # A line says nothing about the rest of its text; a text without any other is a family of its own.
     other = lambda two: F.get(F.filter(two, lambda s: s["at"] != F.col("at")), F.lit(0))["hash"]
     family = lambda two: F.coalesce(other(two), F.col("text_key"))
@@ -114,10 +114,10 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     # The word limit is applied to the kept rows: pushed below, it would mask every line once more.
     rows = _shared(kept(_lines(docs)).where(F.col("n_words") >= MIN_WORDS))
     sketches = kept(_sketches(docs, kept(rows.select(*KEY).distinct())))
-    whole = kept(attach(rows.where("k = 0"), _judged(rows.where("k = 0"), sketches, min_docs), ["template"], BOUND))
+    whole = kept(rows.where("k = 0").join(_judged(rows.where("k = 0"), sketches, min_docs), "template"))
     # Lines that recur as they are, and lines of copies, are settled; the others are looked at by their templates.
     others = kept(rows.where("k > 0").join(whole.where("recurring or copies").select("id"), "id", "left_anti"))
-    alike = attach(others, _judged(others, sketches, min_docs), ["template"], BOUND)
+    alike = others.join(_judged(others, sketches, min_docs), "template")
     found = whole.where("recurring").select(*KEY, "at").unionByName(alike.where("recurring").select(*KEY, "at"))
     return found.groupBy(*KEY).agg(F.collect_set("at").alias("drop"))
 
