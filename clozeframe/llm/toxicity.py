@@ -150,7 +150,7 @@ def score_histogram(docs: DataFrame, odds: dict[str, float]) -> tuple[np.ndarray
 def segment_scores(docs: DataFrame, odds: dict[str, float], decay_rate: float, k: float, keep: bool = False) -> DataFrame:
     """``docs`` (with a column ``text``, which only ``keep`` passes on) and columns n_tokens, passages (significant), best, total.
 
-    best and total are minus the log E-values of the best segment and summed over significant ones, floored at -20.
+    best and total are minus the log E-values of the best segment (of score 0 if there is none) and summed over significant ones.
     """
     shared = docs.sparkSession.sparkContext.broadcast(odds)
     names = docs.columns
@@ -167,7 +167,8 @@ def segment_scores(docs: DataFrame, odds: dict[str, float], decay_rate: float, k
                 after = np.cumsum(value)
                 hits = np.flatnonzero(value > 0)
                 sizes = np.diff(offsets)
-                best, total = np.full(len(sizes), -20.0), np.zeros(len(sizes))
+                # Without a segment the best score is 0.
+                best, total = -np.log(k * np.maximum(sizes, 1)), np.zeros(len(sizes))
                 passages: list[list] = [[] for _ in sizes]
                 bounds = np.searchsorted(hits, offsets)
                 for i in np.flatnonzero(np.diff(bounds)):
