@@ -27,7 +27,7 @@ from clozeframe.llm.common import bind, flat_words, giving_back, hash_sample, he
 # Labelled documents learnt from at most, in the order of a hash of their ids.
 SAMPLE = 20_000
 # Units with a score of their own at most, those with the strongest odds.
-UNITS = 200_000
+UNITS = 50_000
 # Pseudo-counts of a unit; lengths of the beginnings of words; what each token loses.
 PRIOR = 20.0
 BEGINNINGS = (4, 5, 6, 7, 8)
