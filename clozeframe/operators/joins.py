@@ -8,7 +8,8 @@ broadcast only if it fits.
 
 When both sides are shuffled, one key may hold a large part of the results.  Adaptive execution then
 splits the skewed partition; ``salts`` does the same without it, by spreading every key over that many
-sub-keys and repeating the lookup rows once per sub-key.
+sub-keys and repeating the lookup rows once per sub-key.  Spark's estimates leave the repeats out, so a salted
+join asks for a shuffle of both sides: the repeats are never collected for a broadcast.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def lookup_join(
     salt = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in facts.columns]), F.lit(salts))
     salted = facts.withColumn("_salt", salt.cast("int"))
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, on + ["_salt"], how).drop("_salt")
+    return salted.join(repeated.hint("merge"), on + ["_salt"], how).drop("_salt")
 
 
 # A key is hot if it has more than this share of the rows of an average partition; at most so many keys are looked at.

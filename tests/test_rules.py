@@ -267,3 +267,15 @@ def test_null_keys_match_in_summaries(spark):
 def test_levels_keep_null(spark):
     df = spark.createDataFrame([("a", 1), (None, 3), ("b", 2)], "name string, n int")
     assert {r["name"]: r["name_ord"] for r in reshape.with_levels(df, "name", "n").collect()} == {None: 1, "b": 2, "a": 3}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_salted_lookup_is_not_broadcast(spark):
+    # The repeats are not in Spark's size estimate, so a repeated lookup looks small enough to collect.
+    facts, lookup = spark.range(1000).withColumnRenamed("id", "k"), spark.range(100).withColumnRenamed("id", "k")
+    for how in ("inner", "left_anti"):
+        plan = _plan(joins.lookup_join(facts, lookup, ["k"], how, salts=8))
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
