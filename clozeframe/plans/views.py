@@ -139,9 +139,14 @@ class Views:
 
     @cached_property
     def eleven(self) -> DataFrame:
-        """Items with eleven ordered contexts, made of every part."""
+        """Items with eleven ordered contexts, made of every part.
+
+        A row becomes eleven that are sorted by item, and a short file of parts is one partition, so parts are spread first.
+        """
         c = F.col
-        part = self.table("part").select(
+        cores, parts = self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        part = spread(self.table("part").select("p_partkey", "p_retailprice", "p_size"), "p_partkey", tasks=max(cores, parts))
+        part = part.select(
             c("p_partkey").alias("item"), "p_retailprice", "p_size", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("ordinal")
         )
         varied = (c("item") * 7 + c("ordinal") * c("ordinal") * 5) % 23

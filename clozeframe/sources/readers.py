@@ -79,13 +79,13 @@ def read_lexicon(spark: SparkSession, path: str | list[str], schema: StructType
     return read_csv(spark, path, schema, by_header=True, na_text=True)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Redistribute by key when the scan gives fewer partitions than there are cores.
+def spread(df: DataFrame, *keys: str, tasks: int | None = None) -> DataFrame:
+    """Redistribute by key when the scan gives fewer partitions than ``tasks`` (default: the cores).
 
     That happens with a few small files; large inputs come in many partitions and stay where they are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    tasks = tasks or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks, *keys) if df.rdd.getNumPartitions() < tasks else df
 
 
 def sentences_from_text(df: DataFrame, text: ColumnLike, *keys: str) -> DataFrame:

@@ -279,3 +279,13 @@ def test_salted_lookup_is_not_broadcast(spark):
     for how in ("inner", "left_anti"):
         plan = _plan(joins.lookup_join(facts, lookup, ["k"], how, salts=8))
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_items_of_a_short_file_are_spread(spark, tmp_path):
+    from clozeframe.plans.views import Views
+
+    part = spark.range(50).selectExpr("id as p_partkey", "id * 1.5D as p_retailprice", "cast(id % 9 as int) as p_size")
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    eleven = Views(spark, str(tmp_path)).eleven
+    assert eleven.rdd.getNumPartitions() >= 8
+    assert windows.assign_bucket(eleven, ["item"], "ordinal").count() == 550
