@@ -89,8 +89,8 @@ def carrier_stats(v):
 
 
 def _sample(v):
-    carriers = corpus.select_carriers(v.sents.select("doc_id", "line", "tokens"), v.word_lex)
-    return corpus.sample_per_key(carriers, "target", ["doc_id", "line"])
+    sents = v.sents.select("doc_id", "line", "tokens", text.join_tokens("tokens").alias("sentence"))
+    return corpus.sample_carriers(sents, v.word_lex, ["doc_id", "line"])
 
 
 @query("select target, least(10, count(*)) as n from carriers group by target")
@@ -103,7 +103,7 @@ def carrier_sample_sizes(v):
     from (select *, row_number() over (partition by target order by md5(concat_ws('|', '{corpus.SEED}', target, doc_id, line)), doc_id, line) as r
           from carriers) join sents using (doc_id, line) where r <= {corpus.SAMPLE_SIZE}""")
 def carrier_sample(v):
-    return _sample(v).select("target", text.join_tokens("tokens").alias("sentence"))
+    return _sample(v).select("target", "sentence")
 
 
 @query(f"""

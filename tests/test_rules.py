@@ -281,6 +281,33 @@ def test_salted_lookup_is_not_broadcast(spark):
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_sample_cuts_frequent_keys_before_sorting(spark):
+    rows = [(k, i) for k, n in (("a", 4000), ("b", 60), ("c", 10), ("d", 3), (None, 500)) for i in range(n)] + [("a", 7)] * 30
+    df = spark.createDataFrame(rows, "k string, id int").repartition(5)
+    early = corpus._early_rows(df, "k", ["id"], 10, corpus.SEED)
+    kept = {r.k: r["count"] for r in early.groupBy("k").count().collect()}
+    assert kept["c"] == 10 and kept["d"] == 3
+    assert 10 <= kept["a"] < 100 and 10 <= kept["b"] < 60 and 10 <= kept[None] < 100
+    order = F.md5(F.concat_ws("|", lit(str(corpus.SEED)), "k", F.col("id").cast("string")).cast("binary"))
+    hashed = [(str(r.k), r.h, r.id) for r in df.select("k", "id", order.alias("h")).collect()]
+    want = sorted(x for k in {h[0] for h in hashed} for x in sorted(h for h in hashed if h[0] == k)[:10])
+    got = corpus.sample_per_key(df, "k", ["id"]).select("k", "id", order.alias("h")).collect()
+    assert sorted((str(r.k), r.h, r.id) for r in got) == want
+
+
+def test_sampled_carriers_are_a_sample_of_the_carriers(spark, monkeypatch):
+    sents = spark.createDataFrame([(i, 0, ["the", f"w{i % 7}", f"u{i}"] + ["x"] * (i % 3)) for i in range(300)], "doc_id int, line int, tokens array<string>")
+    lex = spark.createDataFrame([("the",), ("the",), ("w1",), ("u5",), ("u5",), ("x",)], "target string")
+    carriers = corpus.select_carriers(sents, lex)
+    rows = lambda d: sorted((r.target, r.doc_id, r.tokens) for r in d.collect())
+    want = rows(corpus.sample_per_key(carriers, "target", ["doc_id", "line"]))
+    for limit in (corpus.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(corpus, "BROADCAST_BYTES", limit)
+        assert rows(corpus.sample_carriers(sents, lex, ["doc_id", "line"])) == want
+    monkeypatch.setattr(corpus, "CUT_KEYS", 1)
+    assert rows(corpus.sample_carriers(sents, lex, ["doc_id", "line"])) == want
+
+
 def test_items_of_a_short_file_are_spread(spark, tmp_path):
     from clozeframe.plans.views import Views
 
