@@ -48,6 +48,7 @@ def score(
     dedupe: bool = True,
     tasks: int | None = None,
     salts: int = 1,
+    dealt: bool = False,
 ) -> DataFrame:
     """Adds argmax, maxprob, entropy, and probability and rank of each word column.
 
@@ -55,7 +56,9 @@ def score(
     work of a task follows from its contexts and not from their bytes.  Rows of one context go to one task, or with
     ``salts`` to that many, and lie together there, so a context is scored once per Arrow batch that holds it.  Score
     vectors are reduced to metrics inside the task and never leave it; memory follows from the batch
-    size and the vocabulary, not from the number of words.  With ``dedupe`` equal (context, words) rows are answered once.
+    size and the vocabulary, not from the number of words.  With ``dedupe`` equal (context, words) rows are answered once; answers
+    meet their rows by a 128-bit hash of the inputs, so a context moves once.  With ``dealt`` the rows already lie as the caller
+    wants them scored, and no row moves.
     """
     inputs = [context, mask_index, *words]
     metric_schema = ", ".join(
@@ -96,16 +99,30 @@ def score(
                     for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
                         rank[a:b] = ascending.shape[1] - np.searchsorted(ascending[k], word_p[a:b], side="right") + 1
                     out[f"{w}_rank"][rows] = rank
-            yield pdf.assign(**out)
+            yield pdf[passed].assign(**out)
 
     tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salt = F.pmod(F.xxhash64(*(words or [context])), F.lit(salts))
-    work = (df.select(*inputs) if dedupe else df).repartition(tasks, context, mask_index, salt)
-    # Equal rows are in one task already, so dropping repeats moves nothing.
-    work = (work.distinct() if dedupe else work).sortWithinPartitions(context, mask_index)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema.fields)
+    dedupe = dedupe and not dealt
+    df = df.withColumn("_id", row_id(inputs)) if dedupe else df
+    work = df.select("_id", *inputs) if dedupe else df
+    if not dealt:
+        work = work.repartition(tasks, context, mask_index, salt)
+        # Equal rows are in one task already, so dropping repeats moves nothing.
+        work = (work.distinct() if dedupe else work).sortWithinPartitions(context, mask_index)
+    passed = ["_id"] if dedupe else work.columns
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema.fields if f.name in passed)
     scored = work.mapInPandas(reduce_batches, f"{fields}, {metric_schema}")
-    return join_on_group(df, scored, inputs) if dedupe else scored
+    return df.join(scored, "_id").drop("_id") if dedupe else scored
+
+
+def row_id(columns: list[str]) -> Column:
+    """128-bit hash of the columns, NULL apart from any value."""
+    return F.unhex(F.md5(F.concat(*[_id_part(c) for c in columns]).cast("binary")))
+
+
+def _id_part(c: str) -> Column:
+    return F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
 
 
 def prime_metrics(
@@ -144,8 +161,7 @@ class ScoreStore:
     ) -> DataFrame:
         """What the operator ``score`` gives, from the store where it has it."""
         spark = df.sparkSession
-        part = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
-        key = lambda w: F.md5(F.concat(F.lit(f"{len(model)}:{model}"), part(context), part(mask_index), part(w)).cast("binary"))
+        key = lambda w: F.md5(F.concat(F.lit(f"{len(model)}:{model}"), *map(_id_part, (context, mask_index, w))).cast("binary"))
         rows = df.withColumns({f"_id_{w}": key(w) for w in words})
         pairs = F.array(*[F.struct(F.col(f"_id_{w}").alias("id"), F.col(w).alias("word")) for w in words])
         asked = rows.select(context, mask_index, F.explode(pairs).alias("_p")).select(context, mask_index, "_p.*").dropDuplicates(["id"])
@@ -203,12 +219,12 @@ def dist_metrics_long(
 
 
 def assemble_results(
-    long: DataFrame, keys: list[str], conditions: tuple[str, ...] = ("isolated", "related", "unrelated")
+    long: DataFrame, keys: list[str], conditions: tuple[str, ...] = ("isolated", "related", "unrelated"), **extra: Column
 ) -> DataFrame:
     """Wide result from one row per stimulus and condition.
 
     Per condition: target probability, rank, argmax and maxprob; then probability and rank of the
-    related prime in the isolated and the related context.  One grouping, no pivot job.
+    related prime in the isolated and the related context.  One grouping, no pivot job, which also gives ``extra`` aggregates.
     """
     cells = []
     for c in conditions:
@@ -224,4 +240,4 @@ def assemble_results(
         here = F.col("condition") == c
         for name in ("probability", "rank"):
             cells.append(F.max(F.when(here, F.col(f"related_{name}"))).alias(f"rp_{c}_{name}"))
-    return long.groupBy(*keys).agg(*cells)
+    return long.groupBy(*keys).agg(*cells, *[c.alias(name) for name, c in extra.items()])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from clozeframe.functions.text import mask_index
 from clozeframe.operators.cloze import ClozeModel, mask_neighbours, score_cloze
 from clozeframe.operators.joins import join_on_group
-from clozeframe.operators.scoring import Scorer, ScoreStore, assemble_results, prime_metrics, score
+from clozeframe.operators.scoring import Scorer, ScoreStore, assemble_results, prime_metrics, row_id, score
 from clozeframe.operators.stimuli import build_stimuli, conditions_long
 from clozeframe.sources.schemas import (
     CONDITIONS,
@@ -23,23 +23,41 @@ from clozeframe.sources.schemas import (
 )
 from clozeframe.sources.writers import write_table
 
-RESULT_KEYS = PRIMING_RESULT.fieldNames()[:7]
+# What a row of one stimulus and condition carries of the stimulus beside its id; contexts are long and move as little as can be.
+WORDS = ["target", "related", "unrelated", "relation"]
 
 
-def _run(stimuli: DataFrame, mode: str, score_long: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Copies of a stimulus are scored once and repeated at the end."""
-    built = build_stimuli(stimuli.select(*STIMULI.fieldNames()), mode)
-    masks = ["isolated_mask", "related_mask", "unrelated_mask"]
-    counted = built.groupBy(*RESULT_KEYS, *masks).agg(F.count(F.lit(1)).alias("_copies"))
-    long = score_long(conditions_long(counted, [*RESULT_KEYS, "_copies"]))
-    wide = assemble_results(long, [*RESULT_KEYS, "_copies"])
+def _dealt(rows: DataFrame, context: str, tasks: int | None = None) -> DataFrame:
+    """Rows of one isolated context together in one task, so that contexts made of it are scored there without moving again."""
+    tasks = tasks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, context).sortWithinPartitions(context)
+
+
+def _run(
+    stimuli: DataFrame, mode: str, score_long: Callable[[DataFrame], DataFrame], deal: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """Copies of a stimulus are scored once and repeated at the end.
+
+    A stimulus is known by a hash while it is scored.  Only its isolated row keeps a context; the primed ones are made again
+    from it at the end.
+    """
+    names = STIMULI.fieldNames()
+    counted = stimuli.groupBy(*names).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_id", row_id(names))
+    built = build_stimuli(deal(counted) if deal else counted, mode)
+    keys = ["_id", *WORDS, "_copies"]
+    long = score_long(conditions_long(built, keys))
+    isolated = F.max(F.when(F.col("condition") == "isolated", F.col("cloze")))
+    wide = build_stimuli(assemble_results(long, keys, context=isolated), mode)
     copy = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))
     return wide.withColumn("_copy", copy).select(*PRIMING_RESULT.fieldNames())
 
 
 def run_priming(stimuli: DataFrame, load_scorer: Callable[[], Scorer], mode: str = "word", **options) -> DataFrame:
     """The 23-column priming result with a batch model."""
-    return _run(stimuli, mode, lambda long: prime_metrics(long, load_scorer, **options))
+    if options.get("store") is not None or options.get("salts", 1) > 1:
+        return _run(stimuli, mode, lambda long: prime_metrics(long, load_scorer, **options))
+    deal = lambda rows: _dealt(rows, "context", options.get("tasks"))
+    return _run(stimuli, mode, lambda long: prime_metrics(long, load_scorer, **options, dealt=True), deal)
 
 
 def run_priming_cloze(stimuli: DataFrame, model: ClozeModel, mode: str = "word") -> DataFrame:
@@ -73,18 +91,32 @@ def run_legacy(stimuli: DataFrame, load_scorer: Callable[[], Scorer], **options)
     Copies of a stimulus are scored once and repeated at the end.
     """
     names = LEGACY_STIMULI.fieldNames()
-    counted = stimuli.groupBy(*names).agg(F.count(F.lit(1)).alias("_copies"))
+    texts = [f"{c}_context" for c in CONDITIONS]
+    counted = stimuli.groupBy(*names).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_id", row_id(names))
+    dealt = options.get("salts", 1) == 1
+    counted = _dealt(counted, texts[0], options.get("tasks")) if dealt else counted
+    # The isolated row carries the three contexts.
     cloze = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("condition"), F.col(f"{c}_context").alias("cloze")) for c in CONDITIONS])
+        F.array(
+            *[
+                F.struct(
+                    F.lit(c).alias("condition"),
+                    F.col(f"{c}_context").alias("cloze"),
+                    *[(F.col(t) if c == CONDITIONS[0] else F.lit(None).cast("string")).alias(t) for t in texts],
+                )
+                for c in CONDITIONS
+            ]
+        )
     )
-    long = counted.select(*names, "_copies", cloze.alias("_c")).select(*names, "_copies", "_c.*")
-    scored = score(long.withColumn("mask_index", mask_index("cloze")), load_scorer, ["target"], **options)
+    keys = ["_id", *[n for n in names if n not in texts], "_copies"]
+    long = counted.select(*keys, cloze.alias("_c")).select(*keys, "_c.*").withColumn("mask_index", mask_index("cloze"))
+    scored = score(long, load_scorer, ["target"], **options, dealt=dealt)
     cells = [
         F.max(F.when(F.col("condition") == c, F.col(f"target_{m}"))).alias(f"{c}_{m}")
         for c in CONDITIONS
         for m in ("probability", "rank")
     ]
-    wide = scored.groupBy(*names, "_copies").agg(*cells)
+    wide = scored.groupBy(*keys).agg(*cells, *[F.max(t).alias(t) for t in texts])
     copy = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))
     return wide.withColumn("_copy", copy).select(*LEGACY_PRIMING_RESULT.fieldNames())
 

@@ -251,3 +251,28 @@ def test_many_words_of_one_context(spark):
     some = scored.where("target = 'w77'").first()
     assert got[1] == 10_000 and got[0] < 900
     assert some.target_rank == (s > s[77]).sum() + 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_contexts_move_once_to_be_scored(spark):
+    rows = [("t", "r", "u", None, "[CLS] a [MASK] . [SEP]")] * 3 + [("t", "r", "u", "x", "[CLS] a [MASK] . [SEP]")]
+    df = spark.createDataFrame(rows, "target string, related string, unrelated string, relation string, context string")
+    result = run_priming(df, LengthScorer)
+    # Copies are counted, rows of a context gathered, conditions put side by side.
+    assert "Join" not in _plan(result) and _plan(result).count("Exchange hashpartitioning") == 3
+    assert Counter((r.relation, r.related_context) for r in result.collect()) == {(None, "[CLS] r. a [MASK] . [SEP]"): 3, ("x", "[CLS] r. a [MASK] . [SEP]"): 1}
+    legacy = df.selectExpr(
+        "1 as category", "0.5D as constraint", "target", "related", "unrelated", "context as isolated_context",
+        "concat(context, ' r') as related_context", "if(relation is null, null, context) as unrelated_context",
+    ).where("unrelated_context is not null")
+    result = run_legacy(legacy, LengthScorer)
+    assert "Join" not in _plan(result) and _plan(result).count("Exchange hashpartitioning") == 3
+    assert [(r.isolated_context, r.related_context) for r in result.collect()] == [("[CLS] a [MASK] . [SEP]", "[CLS] a [MASK] . [SEP] r")]
+    long = df.select("target", F.col("context").alias("cloze"), F.lit(2).alias("mask_index"), F.lit(1).alias("rest"))
+    scored = scoring.score(long, LengthScorer, ["target"])
+    joins = [line for line in _plan(scored).splitlines() if "Join" in line]
+    assert len(joins) == 1 and "_id" in joins[0] and "cloze" not in joins[0]
+    assert scored.count() == 4
