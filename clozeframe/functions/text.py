@@ -92,6 +92,20 @@ def mask_index(context: ColumnLike) -> Column:
     return F.size(context_tokens(F.split_part(as_column(context), F.lit(MASK), F.lit(1))))
 
 
+def token_before_mask(context: ColumnLike) -> Column:
+    """The last token before the first ``[MASK]``; NULL if there is none.  Without a ``[MASK]`` the last token.
+
+    Read backwards, so that the other tokens are not made.
+    """
+    backwards = F.reverse(F.substring_index(as_column(context), MASK, 1))
+    return F.reverse(extract(backwards, r"\A\s*(\][A-Z]+\[|" + TOKEN_PATTERN + ")"))
+
+
+def token_after_mask(context: ColumnLike) -> Column:
+    """The first token after the first ``[MASK]``; NULL if there is none."""
+    return extract(context, r"\[MASK\]\s*(" + CONTEXT_TOKEN_PATTERN + ")")
+
+
 def extract(text: ColumnLike, pattern: str, group: int = 1) -> Column:
     """Regex group, NULL (not an empty string) where the pattern does not match."""
     return F.nullif(F.regexp_extract(as_column(text), pattern, group), F.lit(""))

@@ -38,15 +38,16 @@ def build_stimuli(df: DataFrame, mode: str | Column = "word", context: str = "co
 
 
 def conditions_long(stimuli: DataFrame, keys: list[str], context: str = "context") -> DataFrame:
-    """One row per stimulus and condition: keys, condition, context, mask_index."""
+    """One row per stimulus and condition: keys, condition, context, mask_index.
+
+    The masks stay beside what is exploded, so those that nobody reads are not computed.
+    """
     names = {"isolated": context, "related": "related_context", "unrelated": "unrelated_context"}
-    rows = [
-        F.struct(
-            F.lit(c).alias("condition"), F.col(names[c]).alias("cloze"), F.col(f"{c}_mask").alias("mask_index")
-        )
-        for c in CONDITIONS
-    ]
-    return stimuli.select(*keys, F.explode(F.array(*rows)).alias("_c")).select(*keys, "_c.*")
+    rows = [F.struct(F.lit(c).alias("condition"), F.col(names[c]).alias("cloze")) for c in CONDITIONS]
+    masks = [F.col(f"{c}_mask").alias(f"_mask_{c}") for c in CONDITIONS]
+    long = stimuli.select(*keys, *masks, F.explode(F.array(*rows)).alias("_c"))
+    mask = F.coalesce(*[F.when(F.col("_c.condition") == c, F.col(f"_mask_{c}")) for c in CONDITIONS])
+    return long.select(*keys, "_c.*", mask.alias("mask_index"))
 
 
 def run_matrix(df: DataFrame, **parameters: list[str]) -> DataFrame:

@@ -481,7 +481,7 @@ def _cloze_model(v):
 def cloze_scores(v):
     built = stimuli.build_stimuli(v.stimuli)
     long = stimuli.conditions_long(built, ["doc_id", "line", "target", "related"])
-    asked = cloze.mask_neighbours(long)
+    asked = cloze.mask_neighbours(long, mask_index=None)
     scored = cloze.score_cloze(asked, _cloze_model(v), ("target", "related"))
     return scored.drop("cloze", "mask_index", "target", "related", "prev", "next")
 

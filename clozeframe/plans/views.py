@@ -204,7 +204,7 @@ class Views:
         t, n = F.col("tokens"), F.size("tokens")
         middle = F.floor(n / 2).cast("int")
         masked = F.concat(F.slice(t, F.lit(1), middle), F.array(F.lit(text.MASK)), F.slice(t, middle + 2, n - middle - 1))
-        return self.sents.where(n >= 1).select(
+        return self.sents.where(F.col("sentence").rlike(text.TOKEN_PATTERN)).select(
             "doc_id",
             "line",
             F.get(t, middle).alias("target"),

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from clozeframe.functions import text
 from clozeframe.operators import cloze, corpus, scoring, stimuli
 from clozeframe.plans.catalog_text import LengthScorer
 from clozeframe.operators.scoring import ScoreStore
@@ -194,6 +195,25 @@ def test_cloze_run(spark, frame):
     assert r.rp_related_rank == brute("the", "sat", "dog", 0.5)[2]
 
 
+def test_neighbours_of_the_first_mask(spark):
+    pieces = ["[MASK]", "[CLS]", "[SEP]", " ", "word", "it's", ".", "[", "]", "[AB]", "[ab]", "\u00a0", "\u00e9\u0301", "\t", "\U0001f600", "AB]", "MASK]"]
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(pieces, rng.integers(0, 9)).tolist()) for _ in range(3000)] + [None, "", "[MASK]", "a[MASK] [MASK] b"]
+    df = spark.createDataFrame([(t,) for t in texts], "cloze string").withColumn("mask_index", text.mask_index("cloze"))
+    want = cloze.mask_neighbours(df).select("cloze", "prev", "next").collect()
+    assert cloze.mask_neighbours(df, mask_index=None).select("cloze", "prev", "next").collect() == want
+
+
+def test_cloze_counts_only_what_is_asked(spark):
+    """The corpus is not written out as counts: the second level is counted for the contexts that the upper one lacks."""
+    sents = corpus.tokenize(spark.createDataFrame([(s,) for s in CORPUS], "sentence string"))
+    model = cloze.fit_cloze(sents, 0.5)
+    keys = spark.createDataFrame([("the", "sat"), ("the", "zebra"), (None, "sat")], "prev string, next string")
+    got = {(r.prev, r.next, r.token): r.n for r in model.among(3, keys).collect()}
+    all_counts = {(r.prev, r.next, r.token): r.n for r in model.counts[3].collect()}
+    assert got == {k: n for k, n in all_counts.items() if k[:2] == ("the", "sat")} and got
+
+
 def test_sparse_metrics_with_huge_scores_and_ties(spark):
     df = spark.createDataFrame(
         [("a", t, s) for t, s in (("w3", 900.0), ("w1", 900.0), ("w2", 0.0))] + [("b", "w9", 1.0)], "k string, t string, s double"
