@@ -63,7 +63,7 @@ def run_priming(stimuli: DataFrame, load_scorer: Callable[[], Scorer], mode: str
 def run_priming_cloze(stimuli: DataFrame, model: ClozeModel, mode: str = "word") -> DataFrame:
     """The 23-column priming result with the count-based cloze model."""
 
-    return _run(stimuli, mode, lambda long: score_cloze(mask_neighbours(long), model, ("target", "related")))
+    return _run(stimuli, mode, lambda long: score_cloze(mask_neighbours(long, mask_index=None), model, ("target", "related")))
 
 
 def run_constraint(stimuli: DataFrame, load_scorer: Callable[[], Scorer], **options) -> DataFrame:
