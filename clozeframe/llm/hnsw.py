@@ -11,7 +11,6 @@ a spanning forest of the links, never all pairs; the forests are joined into com
 
 from __future__ import annotations
 
-import heapq
 import io
 import math
 from collections.abc import Iterator
@@ -32,132 +31,209 @@ BEAM = 24
 RECALL = 0.999
 # Queries that are compared with all at a time, and true links that an audit wants to see.
 AUDITED, TRUE_LINKS = 64, 64
+# Vectors of the first batch and of any batch, vectors of a beam that are expanded in one step, and pairs that are compared at a time.
+FIRST_BATCH, BATCH, EXPANDED, PAIRS = 64, 256, 4, 8192
 
 
 class Graph:
-    """A small-world graph over unit vectors in double precision."""
+    """A small-world graph over unit vectors in double precision.
 
-    def __init__(self, vectors: np.ndarray, neighbours: int = NEIGHBOURS, levels: list[list[dict[int, np.ndarray]]] | None = None):
+    ``links[level]`` has a row of neighbours for every vector, padded with -1; rows of vectors that a level lacks are empty.  Vectors are
+    inserted and queries are answered in batches: every step of the beams of a batch is one array operation.
+    """
+
+    def __init__(self, vectors: np.ndarray, neighbours: int = NEIGHBOURS):
         self.vectors, self.m = vectors, neighbours
-        self.links: list[dict[int, np.ndarray]] = levels or []
+        self.links: list[np.ndarray] = []
         self.entry = -1
-        self.seen = np.zeros(len(vectors), dtype=np.int64)
-        self.tag = 0
 
     @classmethod
     def build(cls, vectors: np.ndarray, seed: int = 7) -> Graph:
         graph = cls(vectors)
         height = np.random.default_rng(seed).exponential(1 / math.log(NEIGHBOURS), len(vectors)).astype(int)
-        for i in range(len(vectors)):
-            graph.insert(i, int(height[i]))
+        at = 0
+        while at < len(vectors):
+            size = min(max(at // 2, FIRST_BATCH), BATCH)
+            graph.insert(np.arange(at, min(at + size, len(vectors))), height)
+            at += size
         return graph
 
-    def insert(self, i: int, height: int) -> None:
-        top = len(self.links) - 1
-        q = self.vectors[i]
-        near = [self.entry]
+    def insert(self, new: np.ndarray, height: np.ndarray) -> None:
+        """Each new vector gets links to those that its beam finds and to the nearest of its batch."""
+        queries, top = self.vectors[new], len(self.links) - 1
+        among = queries @ queries.T
+        np.fill_diagonal(among, -np.inf)
+        starts = np.full((len(new), 1), self.entry)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for level in range(top, -1, -1):
-            found = self.beam(q, near, BEAM_BUILD if level <= height else 1, level)
-            near = [j for _, j in found]
-            if level <= height:
-                self.connect(i, found, level)
-        for _ in range(top + 1, height + 1):
-            self.links.append({i: np.zeros(0, dtype=np.int32)})
-            self.entry = i
-        if self.entry < 0:
-            self.entry = i
-
-    def connect(self, i: int, found: list[tuple[float, int]], level: int) -> None:
-        links, most = self.links[level], self.m * (2 if level == 0 else 1)
-        chosen = self.spread(found, self.m)
-        links[i] = np.array(chosen, dtype=np.int32)
-        for j in chosen:
-            back = np.append(links[j], np.int32(i))
-            if len(back) > most:
-                sims = self.vectors[back] @ self.vectors[j]
-                order = np.argsort(-sims)
-                back = np.array(self.spread([(sims[k], int(back[k])) for k in order], most), dtype=np.int32)
-            links[j] = back
-
-    def spread(self, found: list[tuple[float, int]], most: int) -> list[int]:
-        """The nearest ones that are nearer to the base than to one chosen before; then the nearest others."""
-        if len(found) <= most:
-            return [j for _, j in found]
-        ids = [j for _, j in found]
-        among = self.vectors[ids] @ self.vectors[ids].T
-        chosen: list[int] = []
-        for k, (sim, _) in enumerate(found):
-            if len(chosen) == most:
-                break
-            if not chosen or among[k, chosen].max() < sim:
-                chosen.append(k)
-        rest = [k for k in range(len(ids)) if k not in set(chosen)]
-        return [ids[k] for k in chosen + rest[: most - len(chosen)]]
-
-    def beam(self, q: np.ndarray, starts: list[int], width: int, level: int) -> list[tuple[float, int]]:
-        """The best ``width`` vectors found on a level, best first."""
-        links, seen, vectors = self.links[level], self.seen, self.vectors
-        self.tag += 1
-        tag = self.tag
-        seen[starts] = tag
-        first = [(float(s), j) for s, j in zip(vectors[starts] @ q, starts, strict=True)]
-        todo = [(-s, j) for s, j in first]
-        heapq.heapify(todo)
-        best = list(first)
-        heapq.heapify(best)
-        while len(best) > width:
-            heapq.heappop(best)
-        while todo:
-            s, j = heapq.heappop(todo)
-            if len(best) == width and -s < best[0][0]:
-                break
-            near = links[j]
-            near = near[seen[near] != tag]
-            if not len(near):
-                continue
-            seen[near] = tag
-            sims = vectors[near] @ q
-            if len(best) == width:
-                better = sims > best[0][0]
-                near, sims = near[better], sims[better]
-            for s, j in zip(sims.tolist(), near.tolist(), strict=True):
-                if len(best) < width:
-                    heapq.heappush(best, (s, j))
-                elif s > best[0][0]:
-                    heapq.heapreplace(best, (s, j))
-                else:
-                    continue
-                heapq.heappush(todo, (-s, j))
-        return sorted(best, reverse=True)
-
-    def within(self, q: np.ndarray, threshold: float, width: int) -> np.ndarray:
-        """Ids found with a cosine of at least the threshold."""
-        near = [self.entry]
-        for level in range(len(self.links) - 1, 0, -1):
-            near = [j for _, j in self.beam(q, near, 1, level)]
-        hits = [j for s, j in self.beam(q, near, width, 0) if s >= threshold]
-        links, seen, tag = self.links[0], self.seen, self.tag
-        front = np.array(hits, dtype=np.int32)
-        found = [front]
-        self.tag += 1
-        tag = self.tag
-        seen[front] = tag
+            here = height[new] >= level
+            ids, sims = np.full((len(new), BEAM_BUILD), -1), np.full((len(new), BEAM_BUILD), -np.inf)
+            ids[here], sims[here] = self.beams(queries[here], starts[here], BEAM_BUILD, level)
+            ids[~here, :1], sims[~here, :1] = self.beams(queries[~here], starts[~here], 1, level)
+            starts = ids
+            found.append((ids, sims))
+        found.reverse()
+        for level in range(int(height[new].max()) + 1):
+            if level > top:
+                self.links.append(np.full((len(self.vectors), self.most(level)), -1, dtype=np.int32))
+            here = np.flatnonzero(height[new] >= level)
+            near = among[np.ix_(here, here)]
+            best = np.argsort(-near, axis=1, kind="stable")[:, : self.most(0)]
+            ids, sims = new[here][best], np.take_along_axis(near, best, axis=1)
+            ids[sims == -np.inf] = -1
+            if level <= top:
+                ids = np.concatenate([found[level][0][here], ids], axis=1)
+                sims = np.concatenate([found[level][1][here], sims], axis=1)
+            self.connect(new[here], ids, sims, level)
+        if int(height[new].max()) > top:
+            self.entry = int(new[np.argmax(height[new])])
+
+    def most(self, level: int) -> int:
+        return self.m * (2 if level == 0 else 1)
+
+    def connect(self, new: np.ndarray, ids: np.ndarray, sims: np.ndarray, level: int) -> None:
+        links, most = self.links[level], self.most(level)
+        chosen = self.spread(ids, sims, self.m)
+        links[new, : chosen.shape[1]] = chosen
+        rows, cols = np.nonzero(chosen >= 0)
+        ends, back = chosen[rows, cols], new[rows]
+        order = np.argsort(ends, kind="stable")
+        ends, back = ends[order], back[order]
+        # The number of an end among the links to the same vector; at most ``most`` are taken at a time.
+        first = np.searchsorted(ends, ends)
+        turn = np.arange(len(ends)) - first
+        for at in range(0, int(turn.max(initial=-1)) + 1, most):
+            now = (turn >= at) & (turn < at + most)
+            nodes, row = np.unique(ends[now], return_inverse=True)
+            more = np.full((len(nodes), most), -1, dtype=np.int32)
+            more[row, turn[now] - at] = back[now]
+            # A new vector may have chosen the one that chose it.
+            more[(more[:, :, None] == links[nodes][:, None, :]).any(axis=2)] = -1
+            both = np.concatenate([links[nodes], more], axis=1)
+            row, col = np.nonzero(both >= 0)
+            sims = np.full(both.shape, -np.inf)
+            sims[row, col] = self.cosines(self.vectors[nodes], row, both[row, col])
+            links[nodes] = self.spread(both, sims, most)
+
+    def cosines(self, queries: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        out = np.empty(len(rows))
+        for at in range(0, len(rows), PAIRS):
+            part = slice(at, at + PAIRS)
+            out[part] = np.einsum("ij,ij->i", queries[rows[part]], self.vectors[ids[part]])
+        return out
+
+    def spread(self, ids: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
+        """Of each row the nearest ones that are nearer to the base than to one chosen before; then the nearest others."""
+        order = np.argsort(-sims, axis=1, kind="stable")
+        ids, sims = np.take_along_axis(ids, order, axis=1), np.take_along_axis(sims, order, axis=1)
+        out = np.full((len(ids), most), -1, dtype=np.int32)
+        out[:, : ids.shape[1]] = ids[:, :most]
+        full = np.flatnonzero((ids >= 0).sum(axis=1) > most)
+        for at in range(0, len(full), BATCH):
+            part = full[at : at + BATCH]
+            near, own = ids[part], sims[part]
+            vectors = self.vectors[near]
+            among = vectors @ vectors.transpose(0, 2, 1)
+            nearest, chosen = np.full(near.shape, -np.inf), np.zeros(near.shape, dtype=bool)
+            left = np.full(len(part), most)
+            for k in range(near.shape[1]):
+                take = (near[:, k] >= 0) & (left > 0) & (nearest[:, k] < own[:, k])
+                chosen[:, k] = take
+                left -= take
+                nearest[take] = np.maximum(nearest[take], among[take, k])
+            picked = np.argsort(np.where(chosen, 0, np.where(near >= 0, 1, 2)), axis=1, kind="stable")[:, :most]
+            out[part] = np.take_along_axis(near, picked, axis=1)
+        return out
+
+    def beams(self, queries: np.ndarray, starts: np.ndarray, width: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best ``width`` vectors that each query finds on a level and their cosines, best first, padded with -1."""
+        links, n, size = self.links[level], len(self.vectors), len(queries)
+        seen = np.zeros(size * n, dtype=np.int32)
+        stamp = 0
+
+        def new(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+            """Which pairs were not met before; of equal ones the last."""
+            nonlocal stamp
+            keys = rows * n + ids
+            marks = np.arange(stamp + 1, stamp + 1 + len(keys), dtype=np.int32)
+            fresh = np.flatnonzero(seen[keys] == 0)
+            seen[keys[fresh]] = marks[fresh]
+            stamp += len(keys)
+            return fresh[seen[keys[fresh]] == marks[fresh]]
+
+        def scored(rows: np.ndarray, near: np.ndarray) -> np.ndarray:
+            sims = np.full(near.shape, -np.inf)
+            row, col = np.nonzero(near >= 0)
+            kept = new(rows[row], near[row, col])
+            row, col = row[kept], col[kept]
+            sims[row, col] = self.cosines(queries, rows[row], near[row, col])
+            return sims
+
+        ids, sims = np.full((size, width), -1), np.full((size, width), -np.inf)
+        done = np.ones((size, width), dtype=bool)
+
+        def merge(rows: np.ndarray, near: np.ndarray) -> None:
+            """The best of what the beams have and of what they see for the first time."""
+            s = np.concatenate([sims[rows], scored(rows, near)], axis=1)
+            i = np.concatenate([ids[rows], near], axis=1)
+            d = np.concatenate([done[rows], np.zeros(near.shape, dtype=bool)], axis=1)
+            best = np.argsort(-s, axis=1, kind="stable")[:, :width]
+            s, i, d = (np.take_along_axis(x, best, axis=1) for x in (s, i, d))
+            none = s == -np.inf
+            i[none], d[none] = -1, True
+            sims[rows], ids[rows], done[rows] = s, i, d
+
+        rows = np.arange(size)
+        merge(rows, starts)
+        while True:
+            rows = rows[~done[rows].all(axis=1)]
+            if not len(rows):
+                return ids, sims
+            # Beams are sorted, so the first that are not done are the best.
+            open_ = np.argsort(done[rows], axis=1, kind="stable")[:, :EXPANDED]
+            at = ids[rows[:, None], open_]
+            at[np.take_along_axis(done[rows], open_, axis=1)] = -1
+            done[rows[:, None], open_] = True
+            near = np.where(at[:, :, None] >= 0, links[at], -1).reshape(len(rows), -1)
+            merge(rows, near)
+
+    def within(self, queries: np.ndarray, own: np.ndarray, threshold: float, width: int) -> list[np.ndarray]:
+        """Ids that each query of a batch finds with a cosine of at least the threshold.
+
+        A beam leads to the neighbourhood, from the query's own place if it is in the graph, else from the entry; the search goes on
+        from what it found over links between vectors above the threshold.
+        """
+        starts, far = own[:, None].copy(), own < 0
+        if far.any():
+            near = np.full((int(far.sum()), 1), self.entry)
+            for level in range(len(self.links) - 1, 0, -1):
+                near, _ = self.beams(queries[far], near, 1, level)
+            starts[far] = near
+        ids, sims = self.beams(queries, starts, width, 0)
+        rows, cols = np.nonzero(sims >= threshold)
+        n, front = len(self.vectors), rows * len(self.vectors) + ids[rows, cols]
+        seen = np.zeros(len(queries) * n, dtype=bool)
+        hits = np.zeros(len(queries) * n, dtype=bool)
+        seen[front] = hits[front] = True
         while len(front):
-            near = np.unique(np.concatenate([links[j] for j in front.tolist()]))
-            near = near[seen[near] != tag]
-            seen[near] = tag
-            front = near[self.vectors[near] @ q >= threshold]
-            found.append(front)
-        return np.concatenate(found)
+            following = []
+            for at in range(0, len(front), PAIRS):
+                part = front[at : at + PAIRS]
+                near = self.links[0][part % n]
+                keys = ((part // n * n)[:, None] + near)[near >= 0]
+                keys = np.unique(keys[~seen[keys]])
+                seen[keys] = True
+                following.append(keys[self.cosines(queries, keys // n, keys % n) >= threshold])
+            front = np.concatenate(following)
+            hits[front] = True
+        return [np.flatnonzero(h) for h in hits.reshape(len(queries), n)]
 
     def dumps(self) -> bytes:
         out = io.BytesIO()
         parts = {"entry": np.array([self.entry, len(self.links)])}
         for level, links in enumerate(self.links):
-            ids = np.fromiter(links, np.int32, len(links))
-            parts[f"i{level}"] = ids
-            parts[f"n{level}"] = np.array([len(links[i]) for i in ids.tolist()], dtype=np.int32)
-            parts[f"l{level}"] = np.concatenate([links[i] for i in ids.tolist()])
+            ids = np.flatnonzero((links >= 0).any(axis=1)).astype(np.int32)
+            parts[f"i{level}"], parts[f"l{level}"] = ids, links[ids]
         np.savez(out, **parts)
         return out.getvalue()
 
@@ -167,8 +243,9 @@ class Graph:
         parts = np.load(io.BytesIO(data))
         graph.entry, levels = (int(x) for x in parts["entry"])
         for level in range(levels):
-            split = np.split(parts[f"l{level}"], np.cumsum(parts[f"n{level}"])[:-1])
-            graph.links.append(dict(zip(parts[f"i{level}"].tolist(), split, strict=True)))
+            links = np.full((len(vectors), graph.most(level)), -1, dtype=np.int32)
+            links[parts[f"i{level}"]] = parts[f"l{level}"]
+            graph.links.append(links)
         return graph
 
 
@@ -216,13 +293,19 @@ def answer(graph: Graph, queries: np.ndarray, threshold: float, own: np.ndarray,
         true.update(zip(sample.tolist(), near.sum(axis=1).tolist(), strict=True))
         if sum(true.values()) >= TRUE_LINKS:
             break
-    linked = [i for i, n in true.items() if n]
+    linked = np.array([i for i, n in true.items() if n], dtype=int)
     wanted = recall * sum(true.values())
-    found = lambda i, width: (lambda h: h[h != own[i]])(graph.within(queries[i], threshold, width))
+
+    def found(places: np.ndarray, width: int) -> Iterator[np.ndarray]:
+        for at in range(0, len(places), BATCH):
+            part = places[at : at + BATCH]
+            for i, hits in zip(part.tolist(), graph.within(queries[part], own[part], threshold, width), strict=True):
+                yield hits[hits != own[i]]
+
     width = BEAM
-    while width < len(graph.vectors) and sum(len(found(i, width)) for i in linked) < wanted:
+    while width < len(graph.vectors) and sum(map(len, found(linked, width))) < wanted:
         width *= 2
-    return (found(i, width) for i in range(len(queries)))
+    return found(np.arange(len(queries)), width)
 
 
 def _ask(threshold: float):

@@ -502,6 +502,37 @@ def test_embeddings(spark, shard):
     assert hnsw.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_graph_works_in_batches(monkeypatch):
+    """Links of all vectors, found from their own place and from the entry, without a Python step per vector."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(300, 32))
+    spread = [centres[i] + 0.02 * rng.normal(size=32) for i in range(300) for _ in range(1 + i % 5)] + [centres[0] + 0.01 * rng.normal(size=32) for _ in range(400)]
+    unit = np.array(spread) / np.linalg.norm(spread, axis=1, keepdims=True)
+    unit = unit[rng.permutation(len(unit))]
+    calls = {"insert": 0, "within": 0}
+    for name in ("insert", "within"):
+        run = getattr(hnsw.Graph, name)
+        monkeypatch.setattr(hnsw.Graph, name, lambda self, *a, _run=run, _name=name: (calls.update({_name: calls[_name] + 1}), _run(self, *a))[1])
+    built = hnsw.Graph.build(unit)
+    graph = hnsw.Graph.loads(unit, built.dumps())
+    assert all((a == b).all() for a, b in zip(graph.links, built.links, strict=True)) and len(graph.links) > 1
+    for links in graph.links:
+        for i, row in enumerate(links.tolist()):
+            ends = [j for j in row if j >= 0]
+            assert len(ends) == len(set(ends)) and i not in ends
+    near = unit @ unit.T >= 0.98
+    got = list(hnsw.answer(graph, unit, 0.98, np.full(len(unit), -1)))
+    assert all(near[i, h].all() and len(h) == len(set(h.tolist())) for i, h in enumerate(got)) and sum(map(len, got)) >= 0.99 * near.sum()
+    np.fill_diagonal(near, False)
+    got = list(hnsw.answer(graph, unit, 0.98, np.arange(len(unit))))
+    assert all(near[i, h].all() for i, h in enumerate(got)) and sum(map(len, got)) >= 0.999 * near.sum()
+    assert calls["insert"] < len(unit) / 50 and calls["within"] < len(unit) / 20
+    for n in (1, 2, 3, 65):
+        small = hnsw.Graph.loads(unit[:n], hnsw.Graph.build(unit[:n]).dumps())
+        near = unit[:n] @ unit[:n].T >= 0.98
+        assert [h.tolist() for h in hnsw.answer(small, unit[:n], 0.98, np.full(n, -1))] == [np.flatnonzero(r).tolist() for r in near]
+
+
 def test_embeddings_in_double_precision(spark):
     """Components that no float can hold, and differences that a float does not see."""
     schema = "vec_id long, embedding array<double>, label int"
