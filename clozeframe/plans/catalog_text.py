@@ -11,6 +11,7 @@ from clozeframe.operators import cloze, corpus, lexicon, reshape, scoring, stimu
 from clozeframe.plans.experiment import run_constraint, run_entropy, run_legacy, run_priming, run_priming_cloze
 from clozeframe.plans.registry import query
 from clozeframe.plans.views import PIECE_COUNT, sql_context_tokens
+from clozeframe.session import computed_once
 from clozeframe.sources.provenance import parse_provenance
 
 SMOOTHING = 0.5
@@ -481,9 +482,10 @@ def _cloze_model(v):
 def cloze_scores(v):
     built = stimuli.build_stimuli(v.stimuli)
     long = stimuli.conditions_long(built, ["doc_id", "line", "target", "related"])
-    asked = cloze.mask_neighbours(long, mask_index=None)
+    # Without the texts the rows are small: read from the text once, for what is asked and for the answers.
+    asked = computed_once(cloze.mask_neighbours(long, mask_index=None).drop("cloze", "mask_index"))
     scored = cloze.score_cloze(asked, _cloze_model(v), ("target", "related"))
-    return scored.drop("cloze", "mask_index", "target", "related", "prev", "next")
+    return scored.drop("target", "related", "prev", "next")
 
 
 def _assembled_sql() -> str:

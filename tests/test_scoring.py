@@ -214,6 +214,18 @@ def test_cloze_counts_only_what_is_asked(spark):
     assert got == {k: n for k, n in all_counts.items() if k[:2] == ("the", "sat")} and got
 
 
+@pytest.mark.parametrize("lacking", [False, True])
+def test_words_are_counted_only_for_contexts_that_lack_neighbours(spark, lacking):
+    sents = corpus.tokenize(spark.createDataFrame([(s,) for s in CORPUS], "sentence string"))
+    model = cloze.fit_cloze(sents, 0.5)
+    asked = [("the", "sat", "cat"), ("the", "slept", "dog")] + [("zebra", "sat", "cat")] * lacking
+    rows = cloze.score_cloze(spark.createDataFrame(asked, "prev string, next string, target string"), model).collect()
+    assert {(r.prev, r.next, r.target): (r.level, r.target_rank, r.argmax) for r in rows} == {
+        a: (w[0], w[2], w[3]) for a in asked for w in [brute(*a, 0.5)]
+    }
+    assert ("words" in vars(model)) == lacking
+
+
 def test_sparse_metrics_with_huge_scores_and_ties(spark):
     df = spark.createDataFrame(
         [("a", t, s) for t, s in (("w3", 900.0), ("w1", 900.0), ("w2", 0.0))] + [("b", "w9", 1.0)], "k string, t string, s double"
