@@ -3,9 +3,12 @@
 Equal vectors of a label are one vector with a count.  Vectors of one label and dimension are cut into shards of at most about
 ``SHARD`` distinct vectors; one task builds the graph of a shard, and the graphs are kept as rows of bounded size.
 Every vector then asks every shard of its label, in blocks of the same bound: a beam search leads to its
-neighbourhood, and from there the search goes on over all graph links between vectors above the threshold.  In
+neighbourhood, and from there the search goes on over all graph links between vectors above the threshold, in both directions.  Beams
+start from the graph's upper levels and from doors, vectors that share a hash of signs with the query, so that a family far from all
+others is met though greedy steps don't lead there.  In
 each task samples of the queries are also answered by comparing all, until ``TRUE_LINKS`` true links to other vectors were seen or all
-queries were compared; while the share of them found is below ``RECALL`` the beam is doubled and the block is asked again.  A task returns the number of links of each query and
+queries were compared; while the share of them found is below ``RECALL`` the beam is doubled and the sample is asked again.  A block that
+fails at ``WIDEST`` is compared with all of the shard, as a beam that holds the whole shard would do.  A task returns the number of links of each query and
 a spanning forest of the links, never all pairs; the forests are joined into components.
 """
 
@@ -20,32 +23,46 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clozeframe.llm.common import attach, kept
+from clozeframe.llm.common import attach, kept, ragged
 from clozeframe.llm.graph import components
 
 THRESHOLD = 0.98
 SHARD = 10_000
 NEIGHBOURS = 12
 BEAM_BUILD = 48
-BEAM = 24
+BEAM, WIDEST = 24, 96
 RECALL = 0.999
+# Hash tables of doors; each has several times as many places as there are vectors.
+DOORS = 24
 # Queries that are compared with all at a time, and true links that an audit wants to see.
 AUDITED, TRUE_LINKS = 64, 64
 # Vectors of the first batch and of any batch, vectors of a beam that are expanded in one step, and pairs that are compared at a time.
 FIRST_BATCH, BATCH, EXPANDED, PAIRS = 64, 256, 4, 8192
+# Links that are followed at a time.
+FOLLOWED = 1 << 18
 
 
 class Graph:
     """A small-world graph over unit vectors in double precision.
 
     ``links[level]`` has a row of neighbours for every vector, padded with -1; rows of vectors that a level lacks are empty.  Vectors are
-    inserted and queries are answered in batches: every step of the beams of a batch is one array operation.
+    inserted and queries are answered in batches: every step of the beams of a batch is one array operation.  ``doors`` holds the last
+    inserted vector of each place of the hash tables, or -1.
     """
 
     def __init__(self, vectors: np.ndarray, neighbours: int = NEIGHBOURS):
         self.vectors, self.m = vectors, neighbours
         self.links: list[np.ndarray] = []
         self.entry = -1
+        bits = len(vectors).bit_length() + 2
+        self.planes = np.random.default_rng(DOORS).normal(size=(vectors.shape[1], DOORS * bits))
+        self.doors = np.full((DOORS, 1 << bits), -1, dtype=np.int32)
+        self.walks: dict[float, tuple[np.ndarray, np.ndarray]] = {}
+
+    def places(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of each query's places in the doors: the signs of its products with the planes of each table."""
+        signs = (queries @ self.planes > 0).reshape(len(queries), DOORS, -1)
+        return np.arange(DOORS), (signs @ 2.0 ** np.arange(signs.shape[2])).astype(int)
 
     @classmethod
     def build(cls, vectors: np.ndarray, seed: int = 7) -> Graph:
@@ -63,10 +80,12 @@ class Graph:
         queries, top = self.vectors[new], len(self.links) - 1
         among = queries @ queries.T
         np.fill_diagonal(among, -np.inf)
-        starts = np.full((len(new), 1), self.entry)
+        starts, places = np.full((len(new), 1), self.entry), self.places(queries)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for level in range(top, -1, -1):
             here = height[new] >= level
+            if level == 0:
+                starts = np.concatenate([starts, self.doors[places]], axis=1)
             ids, sims = np.full((len(new), BEAM_BUILD), -1), np.full((len(new), BEAM_BUILD), -np.inf)
             ids[here], sims[here] = self.beams(queries[here], starts[here], BEAM_BUILD, level)
             ids[~here, :1], sims[~here, :1] = self.beams(queries[~here], starts[~here], 1, level)
@@ -87,6 +106,7 @@ class Graph:
             self.connect(new[here], ids, sims, level)
         if int(height[new].max()) > top:
             self.entry = int(new[np.argmax(height[new])])
+        self.doors[places] = new[:, None]
 
     def most(self, level: int) -> int:
         return self.m * (2 if level == 0 else 1)
@@ -200,8 +220,8 @@ class Graph:
     def within(self, queries: np.ndarray, own: np.ndarray, threshold: float, width: int) -> list[np.ndarray]:
         """Ids that each query of a batch finds with a cosine of at least the threshold.
 
-        A beam leads to the neighbourhood, from the query's own place if it is in the graph, else from the entry; the search goes on
-        from what it found over links between vectors above the threshold.
+        A beam leads to the neighbourhood, from the query's own place if it is in the graph, else from the entry, and from its doors; the
+        search goes on from what it found over links between vectors above the threshold.
         """
         starts, far = own[:, None].copy(), own < 0
         if far.any():
@@ -209,18 +229,20 @@ class Graph:
             for level in range(len(self.links) - 1, 0, -1):
                 near, _ = self.beams(queries[far], near, 1, level)
             starts[far] = near
+        starts = np.concatenate([starts, self.doors[self.places(queries)]], axis=1)
         ids, sims = self.beams(queries, starts, width, 0)
         rows, cols = np.nonzero(sims >= threshold)
         n, front = len(self.vectors), rows * len(self.vectors) + ids[rows, cols]
+        offsets, ends = self.walk(threshold)
         seen = np.zeros(len(queries) * n, dtype=bool)
         hits = np.zeros(len(queries) * n, dtype=bool)
         seen[front] = hits[front] = True
         while len(front):
             following = []
-            for at in range(0, len(front), PAIRS):
-                part = front[at : at + PAIRS]
-                near = self.links[0][part % n]
-                keys = ((part // n * n)[:, None] + near)[near >= 0]
+            count = np.cumsum(offsets[front % n + 1] - offsets[front % n])
+            for part in np.split(front, np.unique(np.searchsorted(count, np.arange(FOLLOWED, count[-1], FOLLOWED)))):
+                first, last = offsets[part % n], offsets[part % n + 1]
+                keys = np.repeat(part // n * n, last - first) + ends[ragged(first, last - first)]
                 keys = np.unique(keys[~seen[keys]])
                 seen[keys] = True
                 following.append(keys[self.cosines(queries, keys // n, keys % n) >= threshold])
@@ -228,6 +250,21 @@ class Graph:
             hits[front] = True
         return [np.flatnonzero(h) for h in hits.reshape(len(queries), n)]
 
+    def walk(self, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """The lowest level's links in both directions, as offsets and ends, but for those that no walk can take.
+
+        Two vectors within the threshold's angle of a query are within twice that angle of each other.
+        """
+        if threshold not in self.walks:
+            n = len(self.vectors)
+            rows, cols = np.nonzero(self.links[0] >= 0)
+            ends = self.links[0][rows, cols]
+            close = self.cosines(self.vectors, rows, ends) >= 2 * max(threshold, 0.0) ** 2 - 1 - 1e-9
+            rows, ends = rows[close], ends[close]
+            keys = np.unique(np.concatenate([rows * n + ends, ends.astype(int) * n + rows]))
+            self.walks[threshold] = np.searchsorted(keys, np.arange(n + 1) * n), keys % n
+        return self.walks[threshold]
+
     def dumps(self) -> bytes:
         out = io.BytesIO()
         parts = {"entry": np.array([self.entry, len(self.links)])}
@@ -246,6 +283,8 @@ class Graph:
             links = np.full((len(vectors), graph.most(level)), -1, dtype=np.int32)
             links[parts[f"i{level}"]] = parts[f"l{level}"]
             graph.links.append(links)
+        for at in range(0, len(vectors), BATCH):
+            graph.doors[graph.places(vectors[at : at + BATCH])] = np.arange(at, min(at + BATCH, len(vectors)))[:, None]
         return graph
 
 
@@ -281,7 +320,10 @@ class Forest:
 
 
 def answer(graph: Graph, queries: np.ndarray, threshold: float, own: np.ndarray, recall: float = RECALL) -> Iterator[np.ndarray]:
-    """What each query finds but itself (``own``: its place in the graph, or -1), with a beam that passes the audit."""
+    """What each query finds but itself (``own``: its place in the graph, or -1), with a beam that passes the audit.
+
+    If no beam up to ``WIDEST`` does, all queries are compared with all vectors.
+    """
     order = np.random.default_rng(len(queries)).permutation(len(queries))
     true: dict[int, int] = {}
     # Without a true link nothing is audited, so samples are drawn until enough were seen.
@@ -302,8 +344,16 @@ def answer(graph: Graph, queries: np.ndarray, threshold: float, own: np.ndarray,
             for i, hits in zip(part.tolist(), graph.within(queries[part], own[part], threshold, width), strict=True):
                 yield hits[hits != own[i]]
 
+    def compared() -> Iterator[np.ndarray]:
+        for at in range(0, len(queries), BATCH):
+            for i, near in enumerate(queries[at : at + BATCH] @ graph.vectors.T >= threshold, at):
+                hits = np.flatnonzero(near)
+                yield hits[hits != own[i]]
+
     width = BEAM
-    while width < len(graph.vectors) and sum(map(len, found(linked, width))) < wanted:
+    while sum(map(len, found(linked, width))) < wanted:
+        if width >= WIDEST:
+            return compared()
         width *= 2
     return found(np.arange(len(queries)), width)
 
@@ -316,6 +366,7 @@ def _ask(threshold: float):
             nodes, copies = list(g["nodes"]), np.array(g["copies"])
             stored = np.frombuffer(g["vectors"], dtype=np.float64).reshape(len(nodes), -1)
             graph = Graph.loads(stored / np.sqrt((stored * stored).sum(axis=1, keepdims=True)), g["graph"])
+            block = block.sort_values("node")
             queries, asking = unit(block["embedding"]), block["node"].tolist()
             place = {n: i for i, n in enumerate(nodes)}
             own = np.array([place.get(n, -1) for n in asking])

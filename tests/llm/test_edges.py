@@ -533,6 +533,60 @@ def test_graph_works_in_batches(monkeypatch):
         assert [h.tolist() for h in hnsw.answer(small, unit[:n], 0.98, np.full(n, -1))] == [np.flatnonzero(r).tolist() for r in near]
 
 
+def families(rng, size=32):
+    spread = [c + 0.01 * rng.normal(size=size) for i, c in enumerate(rng.normal(size=(300, size))) for _ in range(1 + i % 7)]
+    unit = np.array(spread) / np.linalg.norm(spread, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    return unit, near
+
+
+def asked_widths(monkeypatch):
+    widths = []
+    run = hnsw.Graph.within
+    monkeypatch.setattr(hnsw.Graph, "within", lambda self, queries, own, threshold, width: (widths.append(width), run(self, queries, own, threshold, width))[1])
+    return widths
+
+
+def test_graph_finds_families_that_greedy_steps_miss(monkeypatch):
+    """A batch that is inserted far from its families still gets links to them, and a query that starts there still meets them."""
+    unit, near = families(np.random.default_rng(5))
+    monkeypatch.setattr(hnsw, "BEAM_BUILD", 1)
+    graph = hnsw.Graph.build(unit[np.argsort(np.arange(len(unit)) % 7, kind="stable")])
+    near = near[np.ix_(*[np.argsort(np.arange(len(unit)) % 7, kind="stable")] * 2)]
+    widths = asked_widths(monkeypatch)
+    got = list(hnsw.answer(graph, graph.vectors, 0.98, np.arange(len(unit))))
+    assert [h.tolist() for h in got] == [np.flatnonzero(r).tolist() for r in near]
+    assert max(widths) == hnsw.BEAM
+
+
+def test_graph_without_links_to_a_vector():
+    """A vector that has links, but that no vector has a link to, is found from the ends of its links."""
+    unit, near = families(np.random.default_rng(6))
+    graph = hnsw.Graph.build(unit)
+    lost = np.flatnonzero(near.sum(axis=1) >= 4)[::5]
+    for links in graph.links:
+        links[np.isin(links, lost)] = -1
+    graph.doors[:] = -1
+    # Own places of the others only: those of the lost ones would be known.
+    asking = np.setdiff1d(np.arange(len(unit)), lost)
+    got = graph.within(unit[asking], asking, 0.98, 24)
+    assert [np.setdiff1d(h, [i]).tolist() for h, i in zip(got, asking.tolist(), strict=True)] == [np.flatnonzero(near[i]).tolist() for i in asking]
+
+
+def test_graph_that_fails_the_audit(monkeypatch):
+    """Wider beams can't mend a graph without links; the block is compared with all after few of them."""
+    unit, near = families(np.random.default_rng(7))
+    graph = hnsw.Graph.build(unit)
+    for links in graph.links:
+        links[:] = -1
+    graph.doors[:] = -1
+    widths = asked_widths(monkeypatch)
+    got = list(hnsw.answer(graph, unit, 0.98, np.arange(len(unit))))
+    assert [h.tolist() for h in got] == [np.flatnonzero(r).tolist() for r in near]
+    assert max(widths) <= hnsw.WIDEST
+
+
 def test_embeddings_in_double_precision(spark):
     """Components that no float can hold, and differences that a float does not see."""
     schema = "vec_id long, embedding array<double>, label int"
