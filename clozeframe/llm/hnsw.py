@@ -2,8 +2,8 @@
 
 Equal vectors of a label are one vector with a count.  Vectors of one label and dimension are cut into shards of at most about
 ``SHARD`` distinct vectors; one task builds the graph of a shard, and the graphs are kept as rows of bounded size.
-Every vector then asks every shard of its label, in blocks of the same bound: a beam search leads to its
-neighbourhood, and from there the search goes on over all graph links between vectors above the threshold, in both directions.  Beams
+Every vector then asks its own shard and those of a higher number, in blocks of the same bound, so two shards meet once and a
+link between them counts for both ends: a beam search leads to its neighbourhood, and from there the search goes on over all graph links between vectors above the threshold, in both directions.  Beams
 start from the graph's upper levels and from doors, vectors that share a hash of signs with the query, so that a family far from all
 others is met though greedy steps don't lead there.  In
 each task samples of the queries are also answered by comparing all, until ``TRUE_LINKS`` true links to other vectors were seen or all
@@ -373,11 +373,17 @@ def _ask(threshold: float):
             # Nodes of the task: the shard's, then the queries that are not in the shard.
             names = nodes + [n for n, o in zip(asking, own, strict=True) if o < 0]
             new = iter(range(len(nodes), len(names)))
-            forest, found = Forest(len(names)), []
-            for o, hits in zip(own.tolist(), answer(graph, queries, threshold, own), strict=True):
+            forest, found, back = Forest(len(names)), [], np.zeros(len(nodes), dtype=np.int64)
+            for o, c, hits in zip(own.tolist(), block["copies"].tolist(), answer(graph, queries, threshold, own), strict=True):
                 forest.join(o if o >= 0 else next(new), hits)
                 found.append(int(copies[hits].sum()))
+                # A query of another shard is not asked by this one.
+                if o < 0:
+                    back[hits] += c
             roots = [forest.find(i) for i in range(len(names))]
+            met = np.flatnonzero(back).tolist()
+            asking += [nodes[i] for i in met]
+            found += back[met].tolist()
             out = {
                 "node": asking + [n for n, r in zip(names, roots, strict=True) if n != names[r]],
                 "found": found + [0] * sum(r != i for i, r in enumerate(roots)),
@@ -412,10 +418,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard_size
         dealt.select("label", "dim", "shard", "node", "copies", "embedding").groupBy("label", "dim", "shard")
         .applyInPandas(_build, f"label {dict(distinct.dtypes)['label']}, dim int, shard int, nodes array<string>, copies array<bigint>, vectors binary, graph binary")
     )
-    every = F.sequence(F.lit(0), F.col("shards") - 1)
     keys = ["label", "dim", "shard", "block"]
-    asked = attach(graphs, groups, ["label", "dim"]).withColumn("block", F.explode(every)).drop("shards")
-    blocks = dealt.withColumnRenamed("shard", "block").withColumn("shard", F.explode(every)).select(*keys, "node", "embedding")
+    asked = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("shard"))))
+    later = F.sequence(F.col("block"), F.col("shards") - 1)
+    blocks = dealt.withColumnRenamed("shard", "block").withColumn("shard", F.explode(later)).select(*keys, "node", "copies", "embedding")
     found = kept(asked.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(_ask(threshold), "node string, found bigint, other string"))
 
     linked = found.where("other is null").groupBy("node").agg(F.sum("found").alias("found"))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -587,6 +588,19 @@ def test_graph_that_fails_the_audit(monkeypatch):
     assert max(widths) <= hnsw.WIDEST
 
 
+def test_two_shards_meet_once():
+    """Links between a shard and the queries of another count for both ends, with the copies of the other end."""
+    unit, near = families(np.random.default_rng(8))
+    frame = pd.DataFrame({"node": [f"n{i:04}" for i in range(len(unit))], "copies": 1 + np.arange(len(unit)) % 3, "embedding": list(unit)})
+    here, there = frame[::2], frame[1::2]
+    got = hnsw._ask(0.98)((0, 32, 1, 0), hnsw._build((0, 32, 1), here), there)
+    counts = got[got.other.isna()].groupby("node").found.sum()
+    between = near.copy()
+    between[::2, ::2] = between[1::2, 1::2] = False
+    want = between @ frame.copies.to_numpy()
+    assert [counts.get(n, 0) for n in frame.node] == want.tolist()
+
+
 def test_embeddings_in_double_precision(spark):
     """Components that no float can hold, and differences that a float does not see."""
     schema = "vec_id long, embedding array<double>, label int"
