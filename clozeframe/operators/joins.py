@@ -62,6 +62,29 @@ def lookup_join(
     return salted.join(repeated.hint("merge"), on + ["_salt"], how).drop("_salt")
 
 
+# Bits of a bitmap of keys: sixteen per key, at most 2**28 (32 MB); a broadcast row holds 1024 words of 64.
+MOST_BITS = 28
+
+
+def probable_members(df: DataFrame, keys: DataFrame, on: tuple[str, ...] | list[str]) -> DataFrame:
+    """Rows whose key is listed, and a few others, whose key shares the bit of a listed one; no row moves.
+
+    The bits are put together by the executors, whatever the number of keys; many more than 2**28 keys leave hardly a row out.
+    """
+    bits = 1 << min(MOST_BITS, max(16, (16 * keys.count()).bit_length()))
+    at = F.xxhash64(*on).bitwiseAND(F.lit(bits - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(63)).cast("int"))
+    ones = keys.select(F.shiftright(at, 6).alias("_word"), one.alias("_bits"))
+    every = df.sparkSession.range(bits >> 6).select(F.col("id").alias("_word"), F.lit(0).cast("bigint").alias("_bits"))
+    words = ones.unionByName(every).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    in_order = F.array_sort(F.collect_list(F.struct("_word", "_bits")))
+    blocks = words.groupBy(F.shiftright("_word", 10).alias("_block")).agg(F.transform(in_order, lambda w: w["_bits"]).alias("_map"))
+    word = F.get("_map", F.shiftright("_at", 6).bitwiseAND(F.lit(1023)).cast("int"))
+    found = F.getbit(word, F.col("_at").bitwiseAND(F.lit(63)).cast("int")) == 1
+    here = df.withColumn("_at", at)
+    return here.join(F.broadcast(blocks), (F.shiftright("_at", 16) == F.col("_block")) & found, "left_semi").drop("_at")
+
+
 # A key is hot if it has more than this share of the rows of an average partition; at most so many keys are looked at.
 HOT_SHARE, HOT_KEYS = 1.0, 100
 

@@ -61,9 +61,20 @@ def run_priming(stimuli: DataFrame, load_scorer: Callable[[], Scorer], mode: str
 
 
 def run_priming_cloze(stimuli: DataFrame, model: ClozeModel, mode: str = "word") -> DataFrame:
-    """The 23-column priming result with the count-based cloze model."""
+    """The 23-column priming result with the count-based cloze model.
 
-    return _run(stimuli, mode, lambda long: score_cloze(mask_neighbours(long, mask_index=None), model, ("target", "related")))
+    A stimulus is known by a hash while it is scored, by its words and neighbours alone.  Its texts move once, to where its
+    answers are put together; copies are counted on the way and repeated at the end.
+    """
+    names = STIMULI.fieldNames()
+    own = stimuli.select(*names).withColumn("_id", row_id(names))
+    long = mask_neighbours(conditions_long(build_stimuli(own, mode), ["_id", "target", "related"]), mask_index=None)
+    scored = score_cloze(long.drop("cloze", "mask_index"), model, ("target", "related")).drop("prev", "next", "target", "related")
+    parts = scored.unionByName(own.withColumn("_copies", F.lit(1).cast("bigint")), allowMissingColumns=True)
+    texts = {name: F.max(name) for name in names}
+    wide = build_stimuli(assemble_results(parts, ["_id"], _copies=F.sum("_copies"), **texts), mode)
+    copy = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))
+    return wide.withColumn("_copy", copy).select(*PRIMING_RESULT.fieldNames())
 
 
 def run_constraint(stimuli: DataFrame, load_scorer: Callable[[], Scorer], **options) -> DataFrame:

@@ -27,9 +27,16 @@ def local_session(cpus: int | str = "*", name: str = "clozeframe") -> SparkSessi
     return session
 
 
-def computed_once(df: DataFrame) -> DataFrame:
+# Whether Spark removes the shuffle files of a query as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def computed_once(df: DataFrame, release: bool = False) -> DataFrame:
     """The rows computed once: in the checkpoint folder if the session has one (it survives lost executors), else cached.
 
+    With ``release`` the shuffle files of the computation go when it has been written to that folder, and not when the driver next
+    collects garbage; a cached copy may need them again and keeps them.
+
     The library chooses no folder.  Set ``spark.checkpoint.dir`` on a cluster, and
     ``spark.cleaner.referenceTracking.cleanCheckpoints`` to have files of dropped tables removed.
     """
@@ -37,7 +44,17 @@ def computed_once(df: DataFrame) -> DataFrame:
     shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None and shared:
         context.setCheckpointDir(shared)
-    return df.persist() if context.getCheckpointDir() is None else df.checkpoint()
+    if context.getCheckpointDir() is None:
+        return df.persist()
+    if not release:
+        return df.checkpoint()
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        conf.set(CLEANUP, before)
 
 
 def shared_folder(spark: SparkSession) -> str:

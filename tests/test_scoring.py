@@ -1,6 +1,7 @@
 """Scoring runs against direct computation."""
 
 import math
+import time
 from collections import Counter
 
 import numpy as np
@@ -20,6 +21,7 @@ from clozeframe.plans.experiment import (
     run_priming,
     run_priming_cloze,
 )
+from clozeframe.session import CLEANUP, computed_once
 from clozeframe.sources.schemas import CONSTRAINT_RESULT, ENTROPY_RESULT, LEGACY_PRIMING_RESULT, PRIMING_RESULT
 
 STIMULI = [
@@ -226,6 +228,67 @@ def test_words_are_counted_only_for_contexts_that_lack_neighbours(spark, lacking
     assert ("words" in vars(model)) == lacking
 
 
+def shuffle_files(spark):
+    """Names and bytes of the shuffle data that lies on disk."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    found = [files.apply(i) for i in range(files.size())]
+    return {f.getName(): f.length() for f in found if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+
+def test_texts_move_once_in_a_cloze_run(spark):
+    rng = np.random.default_rng(3)
+    texts = ["[CLS] " + rng.bytes(3000).hex() + " the [MASK] sat . [SEP]" for _ in range(400)]
+    rows = [("cat", "dog", "pen", None, t) for t in texts] + [("cat", "dog", "pen", None, texts[0])] * 2
+    frame = spark.createDataFrame(rows, "target string, related string, unrelated string, relation string, context string")
+    model = cloze.fit_cloze(corpus.tokenize(spark.createDataFrame([(s,) for s in CORPUS], "sentence string")), 0.5)
+    before = shuffle_files(spark)
+    out = run_priming_cloze(frame, model).select("context", "related_context", "isolated_probability").collect()
+    moved = sum(n for name, n in shuffle_files(spark).items() if name not in before)
+    assert moved < 1.5 * sum(map(len, texts))
+    assert sorted(r.context for r in out) == sorted(r[4] for r in rows)
+    assert [r.isolated_probability for r in out] == pytest.approx([brute("the", "sat", "cat", 0.5)[1]] * len(rows))
+    assert all(r.related_context == r.context.replace("[CLS]", "[CLS] dog.") for r in out)
+
+
+def test_spots_of_other_contexts_do_not_move(spark):
+    sents = spark.createDataFrame([([f"a{i}", f"b{i}", f"c{i}"],) for i in range(5000)], "tokens array<string>")
+    keys = spark.createDataFrame([("a7", "c7"), ("[CLS]", "b9")], "prev string, next string")
+    got = {(r.prev, r.next, r.token) for r in cloze.fit_cloze(sents).near(3, keys).collect()}
+    assert {("a7", "c7", "b7"), ("[CLS]", "b9", "a9")} <= got and len(got) < 100
+
+
+def test_shuffle_files_go_with_a_checkpoint(spark):
+    rows = spark.range(20_000).groupBy("id").count()
+    before = shuffle_files(spark)
+    kept = computed_once(rows, release=True)
+    for _ in range(100):
+        if not (left := set(shuffle_files(spark)) - set(before)):
+            break
+        time.sleep(0.2)
+    assert not left and kept.count() == 20_000
+    assert spark.conf.get(CLEANUP) == "false"
+
+
+def test_cloze_of_odd_tokens(spark):
+    """Neighbours with breaks and signs of escapes are kept apart, a missing token is a word of its context, a missing word is unseen."""
+    parts = ["\n", "\\", "\\n", "a", "a\n", "", None]
+    sents = [[p, w, q] for p in parts for q in parts for w in ["x", "x\ny", None][: 1 + (parts.index(p) + parts.index(q)) % 3]]
+    model = cloze.fit_cloze(spark.createDataFrame([(s,) for s in sents], "tokens array<string>"), 0.5)
+    near = lambda p, mark: mark if p is None else p
+    asked = [(near(p, "[CLS]"), near(q, "[SEP]"), w) for p in parts for q in parts for w in ("x", "x\ny", None)]
+    asked += [(None, "a", "x"), ("a", None, "x"), (None, None, None)]
+    rows = cloze.score_cloze(spark.createDataFrame(asked, "prev string, next string, target string"), model).collect()
+    assert len(rows) == len(asked)
+    counts = Counter((near(s[0], "[CLS]"), near(s[2], "[SEP]"), s[1]) for s in sents)
+    for r in rows:
+        here = {t: n for (p, q, t), n in counts.items() if (p, q) == (r.prev, r.next)}
+        assert (r.level == 3) == bool(here)
+        if here and r.prev != "[CLS]" and r.next != "[SEP]":
+            n = here.get(r.target, 0) if r.target is not None else 0
+            assert r.target_probability == pytest.approx((n + 0.5) / (sum(here.values()) + 0.5 * (len(here) + 1)))
+            assert r.target_rank == (1 + sum(m > n for m in here.values()) if n else len(here) + 1)
+
+
 def test_sparse_metrics_with_huge_scores_and_ties(spark):
     df = spark.createDataFrame(
         [("a", t, s) for t, s in (("w3", 900.0), ("w1", 900.0), ("w2", 0.0))] + [("b", "w9", 1.0)], "k string, t string, s double"
